@@ -4,7 +4,7 @@ which Spark lacks and which only texts holding composable characters reach."""
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -111,8 +111,7 @@ def report_words(text: Column, stop_words: Sequence[str] = REPORT_STOP_WORDS) ->
     found = F.regexp_extract_all(
         F.lower(text), F.lit(rf"(?<![{_WORD}])([{REPORT_LETTERS}]{{3,}}+)(?![{_WORD}])"), F.lit(1)
     )
-    stops = F.array(*[F.lit(word) for word in stop_words])
-    return F.filter(found, lambda word: ~F.array_contains(stops, word))
+    return F.filter(found, lambda word: ~word.isin(*stop_words))
 
 
 def analyzer_tokens(text: Column) -> Column:
@@ -126,22 +125,31 @@ def alphabetic_tokens(text: Column) -> Column:
     return F.filter(runs, lambda token: token.rlike(r"^\p{L}+$"))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` refers to
+    it from inside a lambda, which would evaluate it per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """All n-grams of ``low``..``high`` tokens, joined by a blank."""
     if not 1 <= low <= high:
         raise ValueError(f"n-gram range must satisfy 1 <= low <= high, got ({low}, {high})")
-    grams = tokens
-    parts = [grams] if low == 1 else []
-    for n in range(2, high + 1):
-        width = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
-        grams = F.zip_with(
-            F.slice(grams, F.lit(1), width),
-            F.slice(tokens, F.lit(n), width),
-            lambda head, tail: F.concat_ws(" ", head, tail),
-        )
-        if n >= low:
-            parts.append(grams)
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    def build(words: Column) -> Column:
+        grams, parts = words, [words] if low == 1 else []
+        for n in range(2, high + 1):
+            width = F.greatest(F.size(words) - F.lit(n - 1), F.lit(0))
+            grams = F.zip_with(
+                F.slice(grams, F.lit(1), width),
+                F.slice(words, F.lit(n), width),
+                lambda head, tail: F.concat_ws(" ", head, tail),
+            )
+            if n >= low:
+                parts.append(grams)
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return tokens if high == 1 else _bind(tokens, build)
 
 
 # The named analyser modes.
@@ -153,16 +161,22 @@ def term_frequencies(terms: Column) -> Column:
 
     The terms are sorted once; each run of equal terms is one entry.
     """
-    ordered = F.sort_array(terms)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size(ordered), F.lit(1))),
-        lambda i: (i <= F.size(ordered))
-        & ((i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2))),
-    )
-    return F.transform(
-        starts,
-        lambda start, j: F.struct(
-            F.get(ordered, start - 1).alias("term"),
-            (F.coalesce(F.get(starts, j + 1), F.size(ordered) + 1) - start).cast("long").alias("tf"),
-        ),
-    )
+
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        starts = F.filter(
+            F.sequence(F.lit(0), size),
+            lambda i: (i < size) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))),
+        )
+        return _bind(starts, lambda at: entries(ordered, at))
+
+    def entries(ordered: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda start, j: F.struct(
+                F.get(ordered, start).alias("term"),
+                (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - start).cast("long").alias("tf"),
+            ),
+        )
+
+    return _bind(F.sort_array(terms), runs)

@@ -343,7 +343,7 @@ QUERIES = {
                     ELSE 'Outros' END AS strict_pole, {TWO_POLE} AS pole
         FROM v_reviews""",
     "drop_neutral": "SELECT review_id, overall_rating FROM v_reviews WHERE overall_rating IS DISTINCT FROM 3",
-    "coerce_rating": "SELECT review_id, TRY_CAST(coalesce(concat(' ', nullif(CAST(overall_rating AS VARCHAR), ''), '.5 '), reviewer_state) AS DOUBLE) AS value FROM v_reviews",
+    "coerce_rating": "SELECT review_id, TRY_CAST(coalesce(' ' || CAST(overall_rating AS VARCHAR) || '.5 ', reviewer_state) AS DOUBLE) AS value FROM v_reviews",
     "review_view": """
         SELECT product_id, concat(substr(reviewer_id, 1, 8), '...') AS reviewer_id, coalesce(review_title, '') AS review_title, overall_rating,
                recommend_to_a_friend, coalesce(review_text, '') AS review_text, CAST(reviewer_birth_year AS INTEGER) AS reviewer_birth_year,
