@@ -66,11 +66,13 @@ def encode(text: Column, factory: EncoderFactory, batch_size: int = 32) -> Colum
         return_type=T.ArrayType(T.FloatType()),
         batch_size=batch_size,
     )
-    return unit(run(F.coalesce(text, F.lit(""))))
+    return run(F.coalesce(text, F.lit("")))
 
 
 def _as_float_rows(run):
     def predict(texts):
-        return np.asarray(run(list(texts)), dtype=np.float32)
+        rows = np.asarray(run(list(texts)), dtype=np.float32)
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        return rows / np.where(length == 0.0, np.float32(1.0), length)
 
     return predict

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinarium.functions.labels import parse_answer
+from opinarium.functions.text import clean_field
 from opinarium.operators.features import raw_weight
 
 
@@ -77,12 +78,13 @@ _ANSWER = "raw_response string, client_error string, input_tokens bigint, output
 
 def ask(rows: DataFrame, key: str, prompt: Prompt, title: str, body: str, client_factory: Callable[[], Client]) -> DataFrame:
     """One independent prompt per row, answered by a user client on the workers.
+    Both fields are trimmed and a missing one is blank.
 
     Failed rows stay, with a message and no prediction, so that a later run can
     retry them. Only the key and the prompt enter the Python worker.
     """
     system = prompt.system
-    prompts = rows.select(F.col(key), prompt.render(F.col(title), F.col(body)).alias("_prompt"))
+    prompts = rows.select(F.col(key), prompt.render(clean_field(F.col(title)), clean_field(F.col(body))).alias("_prompt"))
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()

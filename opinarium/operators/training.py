@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,8 @@ def training_table(features: DataFrame, labels: DataFrame, key: str, class_weigh
     """Features, label, weight and any fold column, written once as a table.
 
     Fitting reads its input many times; the written copy keeps each pass a plain
-    scan and survives lost executors. Reading it back turns the struct into an
+    scan and survives lost executors. ``features`` is either a dense array or
+    the sparse struct of :func:`features.sparse_rows`, which is read back as an
     ML vector without a Python step. Rows without a label drop out.
     """
     spark = features.sparkSession
@@ -57,10 +59,12 @@ def training_table(features: DataFrame, labels: DataFrame, key: str, class_weigh
     )
     path = scratch_path(spark, "training")
     rows.write.parquet(path)
-    schema = T.StructType(
-        [T.StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in rows.schema.fields]
-    )
-    return spark.read.schema(schema).parquet(path)
+    dense = isinstance(rows.schema["features"].dataType, T.ArrayType)
+    fields = [
+        T.StructField(f.name, VectorUDT() if f.name == "features" and not dense else f.dataType) for f in rows.schema.fields
+    ]
+    table = spark.read.schema(T.StructType(fields)).parquet(path)
+    return table.withColumn("features", array_to_vector(F.col("features").cast("array<double>"))) if dense else table
 
 
 def ridge(c: float, total_weight: float) -> float:

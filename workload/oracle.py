@@ -503,7 +503,7 @@ QUERIES = {
                CASE WHEN NOT failed THEN CAST(s = 'positive' AS INTEGER) END AS predicted_polarity,
                CASE WHEN failed THEN 'ValueError: blank text' END AS error, length(p) AS input_tokens,
                CASE WHEN failed THEN 0 ELSE 7 END AS output_tokens, 0.0::DOUBLE AS response_time_s
-        FROM (SELECT review_id, p, length(split_part(p, chr(10), 2)) < 9 AS failed, CASE WHEN length(p) % 2 = 1 THEN 'positive' ELSE 'negative' END AS s FROM (
+        FROM (SELECT review_id, p, length(split_part(p, chr(10), 2)) <= 9 AS failed, CASE WHEN length(p) % 2 = 1 THEN 'positive' ELSE 'negative' END AS s FROM (
             SELECT review_id, concat('Título: "', coalesce(review_title, ''), '"', chr(10), 'Texto: "', coalesce(review_text, ''), '"') AS p FROM v_reviews))""",
     "embed_cache": "SELECT sha256(review_text) AS digest, bool_and(reviewer_id <> 'en') AS fresh FROM v_docs GROUP BY 1",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinarium.functions import labels, text, vectors
@@ -25,7 +25,7 @@ from opinarium.operators import (
 )
 from opinarium.plans import evaluation
 from opinarium.plans import sentiment as sentiment_plan
-from opinarium.session import scratch_path
+from opinarium.session import materialize, scratch_path
 from opinarium.streaming.scoring import score_arrivals
 from workload import views
 
@@ -43,10 +43,6 @@ def six(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def drop_array(df: DataFrame) -> DataFrame:
-    return df.drop("embedding", "query_vector")
-
-
 # --- per-product scores, catalog -------------------------------------------------
 
 
@@ -671,15 +667,13 @@ def lr_scores(spark, d):
 def dense_scores(spark, d):
     """The same classifier on dense vectors of the texts."""
     docs = views.documents(spark, d)
-    dense = features.embed(docs, "review_text", vectors.hashing_encoder(64)).select("doc_id", "embedding", F.col("polarity").alias("label"))
-    from pyspark.ml.functions import array_to_vector
-
-    weighted = sentiment.class_weights(dense, "label")
-    rows = dense.join(weighted, "label").select(
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double"), "class_weight"
+    dense = materialize(
+        features.embed(docs, "review_text", vectors.hashing_encoder(64)).select("doc_id", "embedding", "polarity"), "dense"
     )
-    model = training.fit(rows, 1.0, 50)
-    return drop_array(scoring.score_vectors(dense, model).drop("label"))
+    labelled = dense.select("doc_id", F.col("polarity").alias("label"))
+    rows = dense.select("doc_id", F.col("embedding").alias("features"))
+    table = training.training_table(rows, labelled, "doc_id", sentiment.class_weights(labelled))
+    return scoring.score_vectors(dense, training.fit(table, 1.0, 50)).select("doc_id", "pred_label", "pred_prob")
 
 
 @query
@@ -743,7 +737,7 @@ def stub_client():
         replies = []
         for prompt in prompts:
             body = prompt.partition("\n")[2]
-            failed = len(body) < 9
+            failed = len(body) <= 9
             replies.append({
                 "raw": None if failed else '{"sentiment": "%s"}' % ("positive" if len(prompt) % 2 else "negative"),
                 "error": "ValueError: blank text" if failed else None,
@@ -790,5 +784,5 @@ def stream_scores(spark, d):
         margin = F.when(tokens > 100, coefficients["grown"]).otherwise(coefficients["plain"])
         return rows.select("doc_id", tokens.cast("long").alias("tokens"), (margin > 0).cast("int").alias("pred_label"))
 
-    score_arrivals(spark, f"{d}/documents.parquet", schema, score, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    score_arrivals(spark, f"{d}/documents*.parquet", schema, score, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out")
