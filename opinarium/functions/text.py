@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,30 +28,13 @@ REPORT_LETTERS = "a-záâãéêíóôõúç"
 # Java's Unicode white space lacks the four separators U+001C..U+001F.
 _SPACE = r"\s\x1c-\x1f"
 _WORD = r"\p{L}\p{N}_"
-_TAG = r"<[^>]+>"
+_TAG = r"<[^>]++>"
 _URL = rf"(?U)https?://[^{_SPACE}]+|www\.[^{_SPACE}]+"
 
 
-@lru_cache(maxsize=1)
-def _composable_class() -> str:
-    """Regex class of code points that can change under NFC.
-
-    Marks, Hangul vowels and finals may combine with what precedes them; the
-    rest is found by asking which single characters NFC rewrites.
-    """
-    changed = [
-        cp
-        for cp in range(0x300, 0x110000)
-        if not 0xD800 <= cp <= 0xDFFF and not unicodedata.is_normalized("NFC", chr(cp))
-    ]
-    ranges: list[list[int]] = []
-    for cp in changed:
-        if ranges and cp == ranges[-1][1] + 1:
-            ranges[-1][1] = cp
-        else:
-            ranges.append([cp, cp])
-    listed = "".join(rf"\x{{{lo:X}}}-\x{{{hi:X}}}" for lo, hi in ranges)
-    return rf"[\p{{M}}\x{{130}}\x{{1161}}-\x{{1175}}\x{{11A8}}-\x{{11C2}}{listed}]"
+# Characters that NFC may change, alone or with what precedes them, all lie
+# outside these blocks: up to U+02FF, common punctuation, pictographs.
+_COMPOSABLE = r"[^\x{0}-\x{2FF}\x{2010}-\x{2027}\x{1F300}-\x{1FAFF}]"
 
 
 def _compose(raw: Column, text: Column) -> Column:
@@ -62,7 +44,7 @@ def _compose(raw: Column, text: Column) -> Column:
     def nfc(values: pd.Series) -> pd.Series:
         return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
-    return F.coalesce(nfc(F.when(raw.rlike(_composable_class()), text)), text)
+    return F.coalesce(nfc(F.when(raw.rlike(_COMPOSABLE), text)), text)
 
 
 def _strip_markup(text: Column) -> Column:

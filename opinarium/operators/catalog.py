@@ -11,6 +11,15 @@ from opinarium.schemas import CATALOG, CATALOG_ATTRIBUTES
 _TOTALS = -1
 
 
+def _cell(attribute: int, value: Column, hits: Column, base: Column) -> Column:
+    return F.struct(
+        F.lit(attribute).alias("attribute"),
+        value.cast("string").alias("value"),
+        hits.cast("long").alias("hits"),
+        base.cast("long").alias("base"),
+    )
+
+
 def build_catalog(
     reviews: DataFrame, scorer: Scorer, min_reviews: int = 1, limit: int | None = None
 ) -> DataFrame:
@@ -22,40 +31,21 @@ def build_catalog(
     without any value gets a blank.
     """
     share = scorer(reviews)
-    cells = [
-        F.struct(
-            F.lit(_TOTALS).alias("attribute"),
-            F.lit(None).cast("string").alias("value"),
-            share.hits.alias("hits"),
-            share.base.alias("base"),
-        )
-    ]
-    none = F.lit(0).cast("long")
-    for i, name in enumerate(CATALOG_ATTRIBUTES):
-        cells.append(
-            F.struct(
-                F.lit(i).alias("attribute"),
-                F.col(name).cast("string").alias("value"),
-                none.alias("hits"),
-                none.alias("base"),
-            )
-        )
+    none = F.lit(None).cast("long")
+    cells = [_cell(_TOTALS, F.lit(None), share.hits, share.base)]
+    cells += [_cell(i, F.col(name), none, none) for i, name in enumerate(CATALOG_ATTRIBUTES)]
     counted = (
         reviews.filter(F.col("product_id").isNotNull())
-        .select("product_id", F.inline(F.array(*cells)))
+        .select("product_id", F.inline_outer(F.array(*cells)))
         .filter((F.col("attribute") == _TOTALS) | F.col("value").isNotNull())
         .groupBy("product_id", "attribute", "value")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("hits").alias("hits"), F.sum("base").alias("base"))
     )
-    best = [
-        F.coalesce(
-            F.min(
-                F.when(F.col("attribute") == i, F.struct((-F.col("n")).alias("n"), F.col("value").alias("value")))
-            ).getField("value"),
-            F.lit(""),
-        ).alias(name)
-        for i, name in enumerate(CATALOG_ATTRIBUTES)
-    ]
+    best = []
+    for i, name in enumerate(CATALOG_ATTRIBUTES):
+        ranked = F.struct((-F.col("n")).alias("n"), F.col("value").alias("value"))
+        first = F.min(F.when(F.col("attribute") == i, ranked)).getField("value")
+        best.append(F.coalesce(first, F.lit("")).alias(name))
     products = (
         counted.groupBy("product_id")
         .agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium.functions.scorers import Share
+from opinarium.session import materialize
 
 
 def confusion(scored: DataFrame, by: Sequence[str] = ("model", "split"), truth: str = "polarity", predicted: str = "pred_label") -> DataFrame:
@@ -65,13 +66,14 @@ def hard_auc() -> Column:
     return (F.try_divide(tp.cast("double"), tp + fn) + F.try_divide(tn.cast("double"), tn + fp)) / 2
 
 
-def auc(scored: DataFrame, by: Sequence[str] = ("model", "split"), truth: str = "polarity", score: str = "pred_prob", buckets: int = 256) -> DataFrame:
+def auc(scored: DataFrame, by: Sequence[str] = ("model", "split"), truth: str = "polarity", score: str = "pred_prob") -> DataFrame:
     """Exact area under the ROC curve, ties counted half; null when a class is
     absent.
 
-    Outcomes are summed per distinct score. How many negatives lie below a score
-    is a running sum, taken in two levels: score ranges cut at quantiles, then
-    inside a range. No window ever spans a whole group.
+    Outcomes are summed per distinct score and laid out in score ranges. How
+    many negatives lie below a score is a running sum in two levels: over the
+    ranges, then inside one, so no window spans a whole group. The layout is
+    written out, which fixes the ranges for both levels.
     """
     keys = list(by)
     y = F.col(truth)
@@ -79,23 +81,23 @@ def auc(scored: DataFrame, by: Sequence[str] = ("model", "split"), truth: str =
         scored.filter(y.isNotNull() & F.col(score).isNotNull())
         .groupBy(*keys, F.col(score).alias("_score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+        .repartitionByRange(*keys, "_score")
+        .withColumn("_range", F.spark_partition_id())
     )
-    edges = per_score.groupBy(*keys).agg(
-        F.percentile_approx("_score", [i / buckets for i in range(1, buckets)], 10_000).alias("_edges")
-    )
-    ranged = per_score.join(edges, keys) if keys else per_score.withColumn("_edges", edges.scalar())
-    ranged = ranged.withColumn(
-        "_range", F.size(F.filter("_edges", lambda edge: edge < F.col("_score")))
-    ).drop("_edges")
-    totals = ranged.groupBy(*keys, "_range").agg(F.sum("neg").alias("_neg"))
+    ranged = materialize(per_score, "scores")
     upto = Window.partitionBy(*keys).orderBy("_range")
-    totals = totals.select(*keys, "_range", (F.sum("_neg").over(upto) - F.col("_neg")).alias("_before"))
+    totals = (
+        ranged.groupBy(*keys, "_range")
+        .agg(F.sum("neg").alias("_neg"))
+        .select(*keys, "_range", (F.sum("_neg").over(upto) - F.col("_neg")).alias("_before"))
+    )
     inside = F.sum("neg").over(Window.partitionBy(*keys, "_range").orderBy("_score")) - F.col("neg")
-    placed = ranged.join(totals, [*keys, "_range"]).withColumn("_below", F.col("_before") + inside)
-    sums = placed.groupBy(*keys).agg(
-        F.sum(F.col("pos") * (F.col("_below") + F.col("neg") * 0.5)).alias("_area"),
-        F.sum("pos").alias("_pos"),
-        F.sum("neg").alias("_neg"),
+    area = F.col("pos") * (F.col("_before") + F.col("_inside") + F.col("neg") * 0.5)
+    sums = (
+        ranged.withColumn("_inside", inside)
+        .join(totals, [*keys, "_range"])
+        .groupBy(*keys)
+        .agg(F.sum(area).alias("_area"), F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     )
     return sums.select(*keys, F.try_divide(F.col("_area"), F.col("_pos") * F.col("_neg").cast("double")).alias("auc"))
 

@@ -14,7 +14,8 @@ from opinarium.functions.labels import number
 
 def word_counts(reviews: DataFrame, column: str = "review_text", stop_words: Sequence[str] = text.REPORT_STOP_WORDS) -> DataFrame:
     return (
-        reviews.select(F.explode(text.report_words(F.col(column), stop_words)).alias("word"))
+        reviews.select(F.explode_outer(text.report_words(F.col(column), stop_words)).alias("word"))
+        .filter(F.col("word").isNotNull())
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -28,7 +29,8 @@ def words_by_class(reviews: DataFrame, n: int = 20, column: str = "review_text",
     """The most frequent words of each class, ranked."""
     counts = (
         reviews.filter(F.col(label).isNotNull())
-        .select(label, F.explode(text.report_words(F.col(column), stop_words)).alias("word"))
+        .select(label, F.explode_outer(text.report_words(F.col(column), stop_words)).alias("word"))
+        .filter(F.col("word").isNotNull())
         .groupBy(label, "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -163,7 +165,7 @@ def corpus_profile(reviews: DataFrame, text_column: str = "review_text") -> Data
         F.count_if(rating.isin(4, 5)).alias("positive"),
     )
     lengths = reviews.select(F.size(tokens).alias("len")).groupBy("len").agg(F.count(F.lit(1)).alias("n"))
-    words = reviews.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = reviews.select(F.explode_outer(tokens).alias("token")).filter("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     size = lengths.agg(
         F.coalesce(F.sum(F.col("len").cast("long") * F.col("n")), F.lit(0)).alias("tokens"),
         F.percentile("len", 0.5, F.col("n")).alias("median_tokens"),

@@ -45,10 +45,12 @@ def fit_vocabulary(terms: DataFrame, min_df: int = 2, max_features: int | None =
     ``max_features`` most frequent ones (ties by term).
 
     One shuffle, on the term, after a map-side sum. ``terms`` are the training
-    documents only.
+    documents only. The outer form of ``inline`` is used throughout because the
+    inner one makes the optimizer add a filter that counts all terms twice.
     """
     counts = (
-        terms.select(F.inline("terms"))
+        terms.select(F.inline_outer("terms"))
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
         .filter(F.col("df") >= min_df)
@@ -73,7 +75,7 @@ def tfidf(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """``(key, term, weight)`` with sublinear tf, smoothed idf and rows of unit
     length. Terms outside the vocabulary drop out before the only shuffle."""
     weighted = (
-        terms.select(key, F.inline("terms"))
+        terms.select(key, F.inline_outer("terms"))
         .join(vocabulary.select("term", "idf"), "term")
         .select(key, "term", raw_weight(F.col("tf"), F.col("idf")).alias("raw"))
     )

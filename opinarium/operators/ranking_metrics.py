@@ -67,16 +67,40 @@ def relevant_counts(relevance: DataFrame, queries: DataFrame, threshold: float =
     )
 
 
-def precision_recall(judged: DataFrame, totals: DataFrame, ks: Sequence[int] = (5, 10), threshold: float = RELEVANT) -> DataFrame:
-    """Precision (over k, however short the list) and recall at each k."""
+def _hits(ks: Sequence[int], threshold: float) -> list[Column]:
     good = relevant(F.col("relevance"), threshold)
-    counts = judged.groupBy("query_id").agg(*[F.count_if((F.col("rank") <= k) & good).alias(f"_hit{k}") for k in ks])
-    return counts.join(totals, "query_id", "left").select(
-        "query_id",
-        "total_relevant",
+    return [F.count_if((F.col("rank") <= k) & good).alias(f"_hit{k}") for k in ks]
+
+
+def _gains(ks: Sequence[int], exponential: bool) -> list[Column]:
+    """NDCG aggregates over rows that carry ``_best``, the ideal position."""
+    relevance = F.col("relevance")
+    gain = F.pow(F.lit(2.0), relevance) - 1.0 if exponential else relevance
+
+    def total(position: Column, k: int) -> Column:
+        return F.sum(F.when(position <= k, gain / F.log2(position + 1.0)).otherwise(0.0))
+
+    return [
+        Share.ratio(total(F.col("rank"), k), F.nullif(total(F.col("_best"), k), F.lit(0.0))).alias(f"ndcg_at_{k}") for k in ks
+    ]
+
+
+def _with_ideal(judged: DataFrame) -> DataFrame:
+    ideal = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc("rank"))
+    return judged.withColumn("_best", F.row_number().over(ideal))
+
+
+def _shares(ks: Sequence[int]) -> list[Column]:
+    return [
         *[(F.col(f"_hit{k}") / F.lit(float(k))).alias(f"precision_at_{k}") for k in ks],
         *[Share.ratio(F.col(f"_hit{k}"), F.col("total_relevant")).alias(f"recall_at_{k}") for k in ks],
-    )
+    ]
+
+
+def precision_recall(judged: DataFrame, totals: DataFrame, ks: Sequence[int] = (5, 10), threshold: float = RELEVANT) -> DataFrame:
+    """Precision (over k, however short the list) and recall at each k."""
+    counts = judged.groupBy("query_id").agg(*_hits(ks, threshold))
+    return counts.join(totals, "query_id", "left").select("query_id", "total_relevant", *_shares(ks))
 
 
 def ndcg(judged: DataFrame, ks: Sequence[int] = (5, 10), exponential: bool = False) -> DataFrame:
@@ -84,23 +108,19 @@ def ndcg(judged: DataFrame, ks: Sequence[int] = (5, 10), exponential: bool = Fal
 
     The ideal order is the returned list itself, best first; 0 without gain.
     """
-    relevance = F.col("relevance")
-    gain = F.pow(F.lit(2.0), relevance) - 1.0 if exponential else relevance
-    ideal = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc("rank"))
-    listed = Window.partitionBy("query_id").orderBy("rank")
-    rows = judged.select(
-        "query_id",
-        gain.alias("gain"),
-        F.row_number().over(listed).alias("place"),
-        F.row_number().over(ideal).alias("best"),
-    )
+    return _with_ideal(judged).groupBy("query_id").agg(*_gains(ks, exponential))
 
-    def total(position: str, k: int) -> Column:
-        place = F.col(position)
-        return F.sum(F.when(place <= k, F.col("gain") / F.log2(place + 1.0)).otherwise(0.0))
 
-    return rows.groupBy("query_id").agg(
-        *[Share.ratio(total("place", k), F.nullif(total("best", k), F.lit(0.0))).alias(f"ndcg_at_{k}") for k in ks]
+def list_metrics(judged: DataFrame, totals: DataFrame, ks: Sequence[int] = (5, 10), threshold: float = RELEVANT, exponential: bool = False) -> DataFrame:
+    """Precision, recall and NDCG of every query in ``totals`` out of one pass
+    over the lists; a query without a list scores 0."""
+    found = _with_ideal(judged).groupBy("query_id").agg(*_hits(ks, threshold), *_gains(ks, exponential))
+    names = [f"ndcg_at_{k}" for k in ks]
+    return (
+        totals.join(found, "query_id", "left")
+        .na.fill(0, [f"_hit{k}" for k in ks])
+        .na.fill(0.0, names)
+        .select("query_id", "total_relevant", *_shares(ks), *names)
     )
 
 

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from opinarium.operators import ranking_metrics as metrics
 from opinarium.operators.exploration import category_ratings
+from opinarium.session import materialize
 
 
 def graded_products(reviews: DataFrame, min_reviews: int = 5) -> DataFrame:
-    """Relevance of every product in every category it was reviewed under."""
-    return metrics.add_relevance(category_ratings(reviews, min_reviews))
+    """Relevance of every product in every category it was reviewed under.
+
+    An evaluation reads it several times, so it is written once."""
+    return materialize(metrics.add_relevance(category_ratings(reviews, min_reviews)), "graded")
 
 
 def evaluate(recommendations: DataFrame, graded: DataFrame, queries: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:
@@ -24,10 +27,7 @@ def evaluate(recommendations: DataFrame, graded: DataFrame, queries: DataFrame,
     """
     known = queries.join(_rated(graded), ["query_product", "query_category"], "left_semi")
     judged = metrics.judge(recommendations, graded, known.select("query_id", "query_category"))
-    totals = metrics.relevant_counts(graded, known)
-    lists = metrics.precision_recall(judged, totals, ks).join(metrics.ndcg(judged, ks), "query_id")
-    empty = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in lists.columns if "_at_" in c]
-    return totals.join(lists.drop("total_relevant"), "query_id", "left").select("query_id", "total_relevant", *empty)
+    return metrics.list_metrics(judged, metrics.relevant_counts(graded, known), ks)
 
 
 def unknown(graded: DataFrame, queries: DataFrame) -> DataFrame:

@@ -77,3 +77,16 @@ def reviews_or_fallback(spark: SparkSession, scored: str, splits: Sequence[str])
     return load_reviews(spark, splits).withColumns(
         {"pred_label": F.lit(None).cast("int"), "pred_prob": F.lit(None).cast("double")}
     )
+
+
+def spread(table: DataFrame, *keys: str, floor: int = 1 << 20, ceiling: int = 256 << 20) -> DataFrame:
+    """Cuts a small table over all cores by a hash of ``keys``.
+
+    A file with one row group is read by one task however many cores there are.
+    Only tables measured between ``floor`` and ``ceiling`` bytes are moved; a
+    large one has row groups enough and is left where it is.
+    """
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not floor <= size <= ceiling:
+        return table
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -319,7 +319,7 @@ def normalize_light(spark, d):
 
 @query
 def normalize_pages(spark, d):
-    return views.table(spark, d, "pages").select("page_id", text.normalize_text(F.col("html")).alias("text"))
+    return views.pages(spark, d).select("page_id", text.normalize_text(F.col("html")).alias("text"))
 
 
 @query

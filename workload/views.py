@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from opinarium.functions import labels
 from opinarium.functions.scorers import label_scorer
 from opinarium.operators.catalog import build_catalog
+from opinarium.session import materialize
+from opinarium.sources.reviews import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,7 +25,7 @@ def reviews(spark: SparkSession, folder: str, names: bool = True, brands: bool =
 
     Queries that need neither part nor supplier columns leave the joins out.
     """
-    lines = table(spark, folder, "lineitem")
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
     if names:
         lines = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if brands:
@@ -67,7 +69,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as review texts; quality labels give polarity and stars."""
     quality = F.col("quality")
     return (
-        table(spark, folder, "documents")
+        spread(table(spark, folder, "documents"), "doc_id")
         .join(table(spark, folder, "labels"), "doc_id", "left")
         .select(
             "doc_id",
@@ -81,6 +83,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "pages"), "page_id")
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(text("vec_id").alias("product_id"), "embedding")
 
@@ -90,8 +96,9 @@ def catalog(spark: SparkSession, folder: str, min_reviews: int = 1) -> DataFrame
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalog rows with their vector."""
-    return catalog(spark, folder).join(vectors(spark, folder), "product_id")
+    """Catalog rows with their vector, written as a build would leave them: the
+    search and the details both read it."""
+    return materialize(catalog(spark, folder).join(vectors(spark, folder), "product_id"), "corpus")
 
 
 def product_queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +143,7 @@ def lemmas(spark: SparkSession, folder: str) -> DataFrame:
     """A form table derived from the documents: a plural s is dropped."""
     from opinarium.functions.text import alphabetic_tokens
 
-    forms = documents(spark, folder).select(F.explode(alphabetic_tokens(F.col("review_text"))).alias("form")).distinct()
+    forms = documents(spark, folder).select(F.explode_outer(alphabetic_tokens(F.col("review_text"))).alias("form")).distinct()
     return forms.filter((F.length("form") > 3) & F.col("form").endswith("s")).select(
         "form", F.expr("substring(form, 1, length(form) - 1)").alias("lemma")
     )
