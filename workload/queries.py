@@ -603,8 +603,8 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    return ranking_metrics.judge(_recommend(spark, d), _graded(spark, d), _asked(spark, d).select("query_id", "query_category"))
+def _judged(spark: SparkSession, d: str, graded: DataFrame) -> DataFrame:
+    return ranking_metrics.judge(_recommend(spark, d), graded, _asked(spark, d).select("query_id", "query_category"))
 
 
 @query
@@ -614,19 +614,21 @@ def relevance(spark, d):
 
 @query
 def precision_recall_k(spark, d):
-    totals = ranking_metrics.relevant_counts(_graded(spark, d), _asked(spark, d))
-    found = ranking_metrics.precision_recall(_judged(spark, d), totals)
+    graded = _graded(spark, d)
+    totals = ranking_metrics.relevant_counts(graded, _asked(spark, d))
+    found = ranking_metrics.precision_recall(_judged(spark, d, graded), totals)
     return six(found, "precision_at_5", "precision_at_10", "recall_at_5", "recall_at_10")
 
 
 @query
 def ndcg_k(spark, d):
-    return six(ranking_metrics.ndcg(_judged(spark, d)), "ndcg_at_5", "ndcg_at_10")
+    return six(ranking_metrics.ndcg(_judged(spark, d, _graded(spark, d))), "ndcg_at_5", "ndcg_at_10")
 
 
 @query
 def ndcg_exp_k(spark, d):
-    return six(ranking_metrics.ndcg(_judged(spark, d), exponential=True), "ndcg_at_5", "ndcg_at_10")
+    judged = _judged(spark, d, _graded(spark, d))
+    return six(ranking_metrics.ndcg(judged, exponential=True), "ndcg_at_5", "ndcg_at_10")
 
 
 @query
