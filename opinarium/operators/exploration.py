@@ -205,17 +205,21 @@ def length_by_polarity(reviews: DataFrame, column: str = "review_text", label: s
 
 def category_ratings(reviews: DataFrame, min_reviews: int = 5) -> DataFrame:
     """Mean rating of each product inside each category, products with enough
-    reviews only. The name is the one of the lowest review id."""
-    first = "review_id" if "review_id" in reviews.columns else "product_name"
+    reviews only; of several names the smallest is shown.
+
+    Sums are taken per name first, so that the step that compares names sees a
+    few rows per product and not its reviews.
+    """
+    rating = number(reviews, "overall_rating")
     return (
         reviews.filter(F.col("site_category_lv1").isNotNull() & F.col("product_id").isNotNull())
+        .groupBy("site_category_lv1", "product_id", "product_name")
+        .agg(F.sum(rating).alias("_sum"), F.count(rating).alias("_rated"), F.count(F.lit(1)).alias("_n"))
         .groupBy("site_category_lv1", "product_id")
         .agg(
-            F.min(
-                F.when(F.col("product_name").isNotNull(), F.struct(F.col(first).alias("k"), F.col("product_name").alias("v")))
-            ).getField("v").alias("product_name"),
-            F.avg(number(reviews, "overall_rating")).alias("avg_rating"),
-            F.count(F.lit(1)).alias("num_reviews"),
+            F.min("product_name").alias("product_name"),
+            F.try_divide(F.sum("_sum"), F.sum("_rated")).alias("avg_rating"),
+            F.sum("_n").alias("num_reviews"),
         )
         .filter(F.col("num_reviews") >= min_reviews)
     )

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinarium.session import materialize
+
 # Similarities equal to this many decimals are ties and go by product id.
 TIE_DECIMALS = 12
 
@@ -218,7 +220,11 @@ def approximate_topk(
     product_block: int = PRODUCT_BLOCK,
 ) -> DataFrame:
     """Top-K among the products of the ``probes`` cells nearest to each query;
-    similarities are exact, and so is the list when every cell is probed."""
+    similarities are exact, and so is the list when every cell is probed.
+
+    Cells are assigned once and written, as they are read to size the blocks and
+    to fill them.
+    """
     schema = _schema(queries, corpus, query_id, product_id)
     queries = queries.filter(F.col(query_vector).isNotNull()).select(
         query_id, query_vector, F.explode(nearest_cells(F.col(query_vector), centroids, probes)).alias("_cell")
@@ -228,6 +234,7 @@ def approximate_topk(
         .filter(F.col(vector).isNotNull())
         .select(product_id, vector, nearest_cells(F.col(vector), centroids).getItem(0).alias("_cell"))
     )
+    queries, corpus = materialize(queries, "probes"), materialize(corpus, "cells")
     return _top(_in_blocks(queries, corpus, schema, k, query_block, product_block), k, query_id, product_id)
 
 

@@ -72,6 +72,10 @@ def split_stratified(
         ).alias("c"),
     ).filter((F.col("c.rank") > F.col("before")) & (F.col("c.rank") <= F.col("through")))
     cuts = cuts.select("_group", "_bucket", "c.cut", (F.col("c.rank") - F.col("before")).alias("wanted"))
+    # At most two rows per stratum, and likewise one below. Written out, their
+    # size is known when a join is planned, so the table is shuffled only if
+    # there are very many strata.
+    cuts = materialize(cuts, "split-cuts")
 
     place = F.row_number().over(Window.partitionBy("_group", "_bucket").orderBy("_draw"))
     edges = (
@@ -86,8 +90,6 @@ def split_stratified(
             F.max(F.when(F.col("cut") == 1, F.col("_draw"))).alias("_val"),
         )
     )
-    # One row per stratum. Written out, its size is known when the join is
-    # planned, so the table is shuffled only if there are very many strata.
     edges = materialize(edges, "split-edges")
     # A missing cut means that the split before it is empty; blank sorts first.
     return (

@@ -52,9 +52,11 @@ def training_table(features: DataFrame, labels: DataFrame, key: str, class_weigh
     ML vector without a Python step. Rows without a label drop out.
     """
     spark = features.sparkSession
+    # Two classes, hence two rows.
+    weights = class_weights.filter(F.col("label").isin(0, 1)).select("label", "class_weight")
     rows = (
         features.join(labels.filter(F.col("label").isNotNull()), key)
-        .join(class_weights.select("label", "class_weight"), "label")
+        .join(F.broadcast(weights), "label")
         .withColumn("label", F.col("label").cast("double"))
     )
     path = scratch_path(spark, "training")

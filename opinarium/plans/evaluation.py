@@ -15,8 +15,9 @@ from opinarium.session import materialize
 def graded_products(reviews: DataFrame, min_reviews: int = 5) -> DataFrame:
     """Relevance of every product in every category it was reviewed under.
 
-    An evaluation reads it several times, so it is written once."""
-    return materialize(metrics.add_relevance(category_ratings(reviews, min_reviews)), "graded")
+    The ratings are read for the bounds of each category and for each use in an
+    evaluation, so they are written once."""
+    return metrics.add_relevance(materialize(category_ratings(reviews, min_reviews), "ratings"))
 
 
 def evaluate(recommendations: DataFrame, graded: DataFrame, queries: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:

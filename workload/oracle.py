@@ -89,7 +89,7 @@ CTES = {
         SELECT * FROM (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, product_id) AS rank FROM scored)
         WHERE rank <= 10""",
     "ratings": f"""
-        SELECT site_category_lv1, product_id, arg_min(product_name, review_id) AS product_name,
+        SELECT site_category_lv1, product_id, min(product_name) AS product_name,
                avg(overall_rating) AS avg_rating, count(*) AS num_reviews
         FROM v_reviews GROUP BY site_category_lv1, product_id HAVING count(*) >= {MIN}""",
     "graded": """
