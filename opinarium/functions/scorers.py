@@ -46,7 +46,7 @@ def label_scorer(column: str = "pred_label", positive: int = 1, count_missing: b
 
     def score(df: DataFrame) -> Share:
         if column not in df.columns:
-            raise ValueError(f"Missing predicted-label column: {column}")
+            raise ValueError(f"no label column named {column}")
         label = number(df, column)
         base = F.lit(1).cast("long") if count_missing else label.isNotNull().cast("long")
         return Share(F.coalesce(label == positive, F.lit(False)).cast("long"), base)

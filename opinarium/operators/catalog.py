@@ -108,5 +108,5 @@ def counted_catalog(catalog: DataFrame, name: str = "catalog") -> tuple[DataFram
 def require_rows(seen: Observation) -> int:
     count = seen.get["products"]
     if count == 0:
-        raise ValueError("Catalog is empty; check the input and min_reviews")
+        raise ValueError("the catalog has no rows")
     return count

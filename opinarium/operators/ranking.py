@@ -19,7 +19,7 @@ ALPHA = 0.7
 
 def _check_alpha(alpha: float) -> None:
     if not 0.0 <= alpha <= 1.0:
-        raise ValueError(f"alpha must be in [0, 1], got {alpha}")
+        raise ValueError(f"alpha has to lie between 0 and 1: {alpha}")
 
 
 def _ranked(candidates: DataFrame, keys: Sequence[str], top_n: int | None, exclude: Column | None) -> DataFrame:
@@ -90,9 +90,9 @@ def resolve_queries(
         answered = F.lit(False)
     rejected = known.filter(F.col("query_vector").isNull() & ~answered).select(
         "query_id",
-        F.when(F.col("product_id").isNotNull(), F.concat(F.lit("Unknown product_id: "), F.col("product_id")))
-        .when(by_text, F.lit("No encoder for text queries"))
-        .otherwise(F.lit("Provide either product_id or text"))
+        F.when(F.col("product_id").isNotNull(), F.concat(F.lit("unknown product: "), F.col("product_id")))
+        .when(by_text, F.lit("no encoder for text queries"))
+        .otherwise(F.lit("neither product nor text given"))
         .alias("reason"),
     )
     return resolved, rejected

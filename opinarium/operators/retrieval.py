@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinarium.functions.vectors import dot
 from opinarium.session import materialize
 
 # Similarities equal to this many decimals are ties and go by product id.
@@ -238,6 +239,25 @@ def approximate_topk(
     return _top(_in_blocks(queries, corpus, schema, k, query_block, product_block), k, query_id, product_id)
 
 
+def rescore(
+    hits: DataFrame,
+    queries: DataFrame,
+    corpus: DataFrame,
+    query_id: str = "query_id",
+    query_vector: str = "query_vector",
+    product_id: str = "product_id",
+    vector: str = "embedding",
+) -> DataFrame:
+    """Hits of any index with the exact cosine of the stored unit vectors, so that
+    scores do not depend on how they were found. Unknown ids drop out."""
+    return (
+        hits.select(query_id, product_id)
+        .join(queries.select(query_id, query_vector), query_id)
+        .join(corpus.select(product_id, vector), product_id)
+        .select(query_id, product_id, dot(F.col(query_vector), F.col(vector)).alias("similarity"))
+    )
+
+
 def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id", product_id: str = "product_id") -> DataFrame:
     """Share of the exact list that was found, per query."""
     hits = found.select(query_id, product_id, F.lit(1).alias("_hit"))

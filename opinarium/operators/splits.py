@@ -16,7 +16,7 @@ _PREFIX = 4  # hex digits: 65 536 buckets per stratum
 
 def check_ratios(train: float, val: float, test: float) -> None:
     if abs(train + val + test - 1.0) > 1e-6:
-        raise ValueError(f"Ratios must sum to 1.0, got {train + val + test:.4f}")
+        raise ValueError(f"split shares add up to {train + val + test:.4f} instead of 1")
 
 
 def _draw(key: str, seed: int) -> Column:
@@ -168,7 +168,7 @@ def head_per_split(df: DataFrame, n: int, key: str, split: str = "split") -> Dat
 def union_splits(*parts: DataFrame) -> DataFrame:
     """All rows of all parts, columns matched by name."""
     if not parts:
-        raise ValueError("No splits provided")
+        raise ValueError("no splits given")
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part, allowMissingColumns=True)
@@ -183,4 +183,4 @@ def row_ids(df: DataFrame, columns: list[str], split: str = "split") -> DataFram
 def assert_no_neutrals(df: DataFrame, polarity: str = "true_polarity") -> None:
     """Fails when a row has no polarity; reads only until one is found."""
     if not df.filter(F.col(polarity).isNull()).isEmpty():
-        raise ValueError("found unexpected neutral rows")
+        raise ValueError("rows without a polarity")

@@ -51,7 +51,7 @@ def train_sparse(
     rows = features.sparse_rows(terms, vocabulary, key)
     folded = splits.stratified_folds(labelled.select(key, "label"), key, "label", k, seed)
     table = training.training_table(rows, folded, key, class_weights(labelled, "label", weights))
-    found = training.grid_search(table, grid, k, max_iter)
+    found = training.grid_search(table, grid, max_iter)
     return SparseModel(mode, vocabulary, found.model, found.best_c, found.best_f1)
 
 
@@ -59,3 +59,9 @@ def score(docs: DataFrame, model: SparseModel, key: str, text: str) -> DataFrame
     """Label and probability of every document, neutral ones included."""
     terms = features.document_terms(docs, key, text, model.mode)
     return scoring.score_terms(terms, model.coefficients, model.classifier.intercept, key)
+
+
+def scored_reviews(docs: DataFrame, model: SparseModel, key: str, text: str) -> DataFrame:
+    """All columns of the documents plus label and probability, the input of the
+    per-product scores and the catalog."""
+    return docs.drop("pred_label", "pred_prob").join(score(docs, model, key, text), key)

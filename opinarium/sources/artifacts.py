@@ -23,7 +23,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: S
     elif kind == "json":
         writer.option("ignoreNullFields", "false").json(path)
     else:
-        raise ValueError(f"Unknown table kind: {kind}")
+        raise ValueError(f"no such table kind: {kind}")
 
 
 def write_sentiment_scores(reviews: DataFrame, path: str, label_column: str = "pred_label") -> bool:

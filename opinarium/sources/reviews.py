@@ -24,14 +24,14 @@ def _csv_header(spark: SparkSession, path: str) -> list[str]:
 def _check_columns(columns: Sequence[str]) -> None:
     missing = [name for name in REQUIRED_REVIEW_COLUMNS if name not in columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"review columns are missing: {missing}")
 
 
 def load_reviews(spark: SparkSession, paths: Sequence[str], schema: T.StructType = REVIEWS) -> DataFrame:
     """The union of CSV files, product ids as text; rows without a product id or
     name drop. Columns outside ``schema`` are read as text."""
     if not paths:
-        raise ValueError("No review splits provided")
+        raise ValueError("no review files given")
     known = {f.name: f for f in schema.fields}
     frames = []
     for path in paths:
@@ -39,7 +39,7 @@ def load_reviews(spark: SparkSession, paths: Sequence[str], schema: T.StructType
             names = _csv_header(spark, path)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                raise FileNotFoundError(f"Review split not found: {path}") from error
+                raise FileNotFoundError(f"no such review file: {path}") from error
             raise
         _check_columns(names)
         # Numbers arrive as text and are coerced, so a bad value is a null.

@@ -54,7 +54,7 @@ def test_missing_labels_count_as_reviews_in_the_score_table(spark):
     df = spark.createDataFrame([("P", 1), ("P", None), ("Q", 0)], "product_id string, pred_label int")
     got = {r.product_id: (r.num_reviews, r.num_positive, r.sentiment_score) for r in sentiment.sentiment_scores(df).collect()}
     assert got == {"P": (2, 1, 0.5), "Q": (1, 0, 0.0)}
-    with pytest.raises(ValueError, match="Missing predicted-label column"):
+    with pytest.raises(ValueError, match="no label column"):
         sentiment.sentiment_scores(df, "absent")
 
 

@@ -127,7 +127,7 @@ def test_recommend_by_product_and_text(spark, shop):
     corpus, storefront = shop
     asked = ask(spark, ("s1", "S1", None), ("c1", "C1", None), ("t", None, "Smartphone Galaxy"), ("bad", "X", None), ("none", None, None))
     resolved, rejected = ranking.resolve_queries(asked, corpus, storefront, seeded_encoder())
-    assert {r.query_id: r.reason for r in rejected.collect()} == {"bad": "Unknown product_id: X", "none": "Provide either product_id or text"}
+    assert {r.query_id: r.reason for r in rejected.collect()} == {"bad": "unknown product: X", "none": "neither product nor text given"}
     got = ranking.recommend(resolved, corpus, min_reviews=1).collect()
     first = {r.query_id: r for r in got if r["rank"] == 1}
     assert first["s1"].product_id == "C1" and first["s1"].similarity > 0.99

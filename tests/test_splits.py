@@ -16,7 +16,7 @@ def rows(spark):
 
 
 def test_ratios_must_sum_to_one(rows):
-    with pytest.raises(ValueError, match="sum to 1.0"):
+    with pytest.raises(ValueError, match="add up"):
         splits.split_by_hash(rows, "key", 0.5, 0.2, 0.2)
 
 

@@ -404,6 +404,7 @@ QUERIES = {
     "union_splits": "SELECT doc_id, split FROM v_split WHERE split IN ('val', 'test')",
     "cosine_topk": TOP10,
     "blocked_topk": TOP10,
+    "rescore": TOP10,
     "ann_all_cells": TOP10,
     "filtered_topk": "SELECT query_id, product_id, round(similarity, 6) AS similarity FROM hits WHERE r <= 10",
     "rerank": """
@@ -428,7 +429,7 @@ QUERIES = {
                 WHERE r <= 20 AND product_id <> query_id)) WHERE rank <= 3""",
     "resolve_queries": """
         SELECT concat('q', p_partkey) AS query_id, v.product_id AS exclude_id,
-               CASE WHEN v.product_id IS NULL THEN concat('Unknown product_id: ', p_partkey) END AS reason
+               CASE WHEN v.product_id IS NULL THEN concat('unknown product: ', p_partkey) END AS reason
         FROM part LEFT JOIN v_vectors v ON v.product_id = CAST(p_partkey AS VARCHAR)""",
     "catalog_page": f"""
         SELECT {CATALOG}, round(sentiment_score, 6) AS sentiment_score FROM v_catalog

@@ -443,6 +443,13 @@ def blocked_topk(spark, d):
     )
 
 
+@query
+def rescore(spark, d):
+    """Hits of the search scored again from the stored vectors."""
+    queries, rows = views.product_queries(spark, d), views.vectors(spark, d)
+    return six(retrieval.rescore(retrieval.topk(queries, rows, k=10), queries, rows), "similarity")
+
+
 @query
 def rerank(spark, d):
     """Order lines as candidates of their order, the first line left out."""
