@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinarium.functions.vectors import dot
-from opinarium.session import materialize
+from opinarium.session import MAX_BROADCAST_BYTES, materialize
 
 # Similarities equal to this many decimals are ties and go by product id.
 TIE_DECIMALS = 12
@@ -166,8 +166,8 @@ def topk(
     """The exact K nearest eligible products of every query vector.
 
     ``(query_id, product_id, similarity)``; both ids are unique on their side.
-    Up to ``broadcast_queries`` queries are sent to the corpus; more than that
-    and both sides are cut into blocks.
+    Up to ``broadcast_queries`` queries of at most 64 MB are sent to the corpus;
+    beyond that both sides are cut into blocks.
     """
     schema = _schema(queries, corpus, query_id, product_id)
     queries = queries.filter(F.col(query_vector).isNotNull()).select(query_id, query_vector)
@@ -175,7 +175,7 @@ def topk(
     head = queries.limit(broadcast_queries + 1).toArrow()
     if not head.num_rows:
         return queries.sparkSession.createDataFrame([], schema)
-    if head.num_rows <= broadcast_queries:
+    if head.num_rows <= broadcast_queries and head.nbytes <= MAX_BROADCAST_BYTES:
         scored = _with_small_queries(head, corpus, schema, k)
     else:
         cell = F.lit(0).alias("_cell")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A side is broadcast by hand only below this many bytes of payload.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "opinarium", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC timestamps."""
@@ -41,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can read")
-    path = tempfile.mkdtemp(prefix="opinarium-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="opinarium-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
