@@ -10,11 +10,11 @@ appears in its own band and in the lower bands whose partners it can have.
 A block of ``BLOCK_BITS`` bits is kept as a 64-bit code of its set bits.
 
 No group of equal blocks is expanded into pairs. Equal sets are one class. In
-each block group every class is verified against one leader; verified classes
-belong to their leader's cluster. Clusters that meet in a block group and are
-not connected yet compare their leaders, and by the triangle inequality of the
-Jaccard distance only members whose distances to the leaders allow it are
-compared. So no link between different classes is lost.
+each block group every class is verified against one leader, the member with
+the fewest shingles of its own; verified classes belong to their leader's
+cluster, and own shingles alone rule most other pairs out. Clusters that meet in a block group and are
+not connected yet compare their leaders, and only members whose measured distances
+to one of the leaders leave room for a link are compared. So no link between different classes is lost.
 
 Defined cases. Null and empty texts have no shingles, size 0 and link with
 nothing; texts with fewer words than a shingle are one shingle. Repeated rows
@@ -98,7 +98,7 @@ def block_codes(shingles: np.ndarray, band: int, errors: int) -> np.ndarray:
     block = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
     bit = block * np.uint64(BLOCK_BITS) + shingles % np.uint64(BLOCK_BITS)
-    codes = textscan.mix(bit + np.uint64(band + 1) * np.uint64(0x2545F4914F6CDD1D))
+    codes = textscan.mix(bit + np.uint64(((band + 1) * 0x2545F4914F6CDD1D) % 2**64))
     parity = np.bitwise_xor.reduceat(np.append(codes, np.uint64(0)), np.minimum(edges[:-1], len(codes)))
     parity[edges[:-1] == edges[1:]] = 0
     place = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
@@ -197,11 +197,28 @@ def _similar_size(rule: Rule, a: str, b: str) -> Column:
 
 
 def _block_groups(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Stored ``(key, node, n, leader, leader_n)``: block groups with two classes or more."""
-    keyed = found.join(classes.select("node", F.lit(True).alias("_first")), found["row"] == classes["node"])
+    """Stored ``(key, node, n)``: block groups with two classes or more."""
+    keyed = found.join(classes.select("node"), found["row"] == classes["node"])
     entries = keyed.select("node", "n", F.explode("list").alias("key"))
-    lead = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).filter("members > 1")
-    return materialize(entries.join(lead, "key").select("key", "node", "n", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "blocks")
+    shared = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    return materialize(entries.join(shared, "key"), "blocks")
+
+
+def _with_slack(blocks: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Stored block groups with ``slack`` and the leader, the member of most slack.
+
+    Shingles that no other class of any block group has are differences to every
+    partner, so classes x and y can link only if slack(x) + slack(y) >= 0 with
+    slack = (100 - percent) * n - (100 + percent) * (own shingles). Members that
+    cannot link with the leader cannot link with anybody in the group.
+    """
+    owned = sets.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("owners"))
+    own = owned.filter("owners = 1").groupBy("node").agg(F.count("*").alias("own"))
+    slack = (100 - rule.percent) * F.col("n") - (100 + rule.percent) * F.coalesce("own", F.lit(0))
+    entries = materialize(blocks.join(own, "node", "left").select("key", "node", "n", F.coalesce("own", F.lit(0)).alias("own"), slack.alias("slack")), "slack")
+    lead = entries.groupBy("key").agg(F.max(F.struct("slack", "node", "n")).alias("lead"))
+    led = entries.join(lead, "key").filter(F.col("slack") + F.col("lead.slack") >= 0)
+    return materialize(led.select("key", "node", "n", "own", "slack", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.slack").alias("leader_slack")), "led")
 
 
 def links(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -215,51 +232,83 @@ def links(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tupl
     rows = nonempty.select(F.col("row").alias("node"), "id", "f1", "f2")
     needed = materialize(blocks.select("node").distinct().join(rows, "node"), "needed")
     sets = _needed_sets(docs, needed, rule, id_column, text_column)
+    blocks = _with_slack(blocks, sets, rule)
 
-    # One leader per class: the first one over all its block groups.
-    to_leader = blocks.filter(_similar_size(rule, "n", "leader_n")).groupBy("node", "n").agg(F.min(F.struct("leader", "leader_n")).alias("lead"))
-    to_leader = to_leader.filter("lead.leader < node").select(F.col("lead.leader").alias("a"), F.col("node").alias("b"), F.col("lead.leader_n").alias("na"), F.col("n").alias("nb"))
+    # One leader per class: the one of most slack over all its block groups.
+    to_leader = blocks.filter(_similar_size(rule, "n", "leader_n") & (F.struct("leader_slack", "leader") > F.struct("slack", "node")))
+    to_leader = to_leader.groupBy("node", "n").agg(F.max(F.struct("leader_slack", "leader", "leader_n")).alias("lead"))
+    to_leader = to_leader.select(F.col("lead.leader").alias("a"), F.col("node").alias("b"), F.col("lead.leader_n").alias("na"), F.col("n").alias("nb"))
     verified = materialize(_distance(to_leader, sets).filter(_linked(rule)), "verified")
     roots = components(verified.select("a", "b"), "roots")
 
     # Clusters meeting in a block group without being connected.
-    home = verified.select(F.col("b").alias("node"), F.col("a").alias("center"), F.col("na").alias("center_n"), _jaccard_distance().alias("dist"))
+    home = verified.select(F.col("b").alias("node"), F.col("a").alias("center"), F.col("na").alias("center_n"), "d")
     placed = (
-        blocks.select("key", "node", "n")
+        blocks.select("key", "node", "n", "own", "slack")
         .join(home, "node", "left")
         .join(roots, "node", "left")
         .select(
-            "key", "node", "n",
+            "key", "node", "n", "own", "slack",
             F.coalesce("center", "node").alias("center"),
             F.coalesce("center_n", "n").alias("center_n"),
-            F.coalesce("dist", F.lit(0.0)).alias("dist"),
+            F.coalesce("d", F.lit(0)).alias("d"),
             F.coalesce("root", "node").alias("root"),
         )
     )
     placed = materialize(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key")
     placed = materialize(placed.join(open_keys, "key", "left_semi"), "open-blocks")
-    met = placed.select("key", "center", "center_n", "root").distinct()
-    other = met.select("key", F.col("center").alias("b"), F.col("center_n").alias("nb"), F.col("root").alias("_root"))
+    met = placed.groupBy("key", "center", "center_n", "root").agg(F.max("slack").alias("slack"))
+    other = met.select("key", F.col("center").alias("b"), F.col("center_n").alias("nb"), F.col("root").alias("_root"), F.col("slack").alias("_slack"))
     limit = (100 - rule.percent) / 100
-    centers = met.join(other, "key").filter("center < b and root <> _root")
+    centers = met.join(other, "key").filter("center < b and root <> _root and slack + _slack >= 0")
     centers = centers.filter(1.0 - F.least("center_n", "nb") / F.greatest("center_n", "nb") <= 3 * limit + 1e-9)
     centers = centers.select(F.col("center").alias("a"), "b", F.col("center_n").alias("na"), "nb").distinct()
     measured = _distance(centers, sets).withColumn("dist", _jaccard_distance())
     measured = materialize(measured.filter(F.col("dist") <= 3 * limit + 1e-9), "centers")
     joined = measured.filter(_linked(rule)).select("a", "b").unionByName(verified.select("a", "b"))
-    roots = components(joined, "roots")
-
-    # Members whose distances to two unconnected leaders leave room for a link.
-    side = placed.select("key", "node", "n", "center", "dist").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    one = side.select("key", F.col("node").alias("x"), F.col("n").alias("na"), F.col("center").alias("a"), F.col("dist").alias("dx"), F.col("root").alias("rx"))
-    two = side.select("key", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("center").alias("b"), F.col("dist").alias("dy"), F.col("root").alias("ry"))
-    grey = measured.filter(~_linked(rule)).select("a", "b", F.col("dist").alias("apart"))
-    room = F.expr(f"dx + dy >= apart - {limit} - 1e-9 and rx <> ry and not (x = a and y = b)")
-    pairs = grey.join(one, "a").join(two, ["key", "b"]).filter(room)
-    pairs = pairs.filter(_similar_size(rule, "na", "nb")).select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb").distinct()
-    member_links = _distance(pairs, sets).filter(_linked(rule)).select("a", "b")
-    return found, classes, joined.unionByName(member_links)
+    members = materialize(placed.select("center", "node", "n", "own", "slack", "d").distinct(), "members")
+    return found, classes, joined.unionByName(_between_clusters(measured.filter(~_linked(rule)), placed, members, joined, sets, rule))
+
+
+def _between_clusters(grey: DataFrame, placed: DataFrame, members: DataFrame, joined: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between members of clusters whose leaders are near but not linked.
+
+    Members ``y`` of the smaller cluster are measured against the leader ``a`` of
+    the larger one. For members ``x`` of the larger one the difference sets to
+    ``a`` meet in none of the own shingles, so
+    ``d(x, y) >= d(x, a) + d(y, a) - 2 * min(d(x, a) - own(x), d(y, a) - own(y))``;
+    only pairs of a common block group that pass this are verified.
+    """
+    sizes = members.groupBy("center").agg(
+        F.count("*").alias("members"),
+        F.max("n").alias("most_n"),
+        F.max(F.when(F.col("node") != F.col("center"), F.col("d") - 2 * F.col("own"))).alias("give"),
+    )
+    sided = lambda side: sizes.select(F.col("center").alias(side), F.struct("members", "most_n", "give").alias(f"_{side}"))
+    pairs = grey.join(sided("a"), "a").join(sided("b"), "b")
+    swap = F.col("_a.members") < F.col("_b.members")
+    turned = pairs.select(
+        *[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("b", "a"), ("a", "b"), ("nb", "na"), ("na", "nb"))], "d"
+    )
+    near = turned.join(members.select(F.col("center").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("own").alias("own_y")), "b")
+    others = near.filter("y <> b").select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb")).distinct()
+    measured = materialize(_distance(others, sets), "members-to-leaders")
+    roots = components(joined.unionByName(measured.filter(_linked(rule)).select("a", "b")), "roots")
+    # Larger clusters that have members beside their leader, and what those can give at most.
+    to_leader = turned.select("a", "b", "na", "nb", "d").unionByName(measured).join(sided("a"), "a")
+    possible = (100 + rule.percent) * (F.col("d") - F.col("_a.give")) <= (100 - rule.percent) * (F.col("nb") + F.col("_a.most_n"))
+    rest = materialize(to_leader.filter(possible).select("a", F.col("b").alias("y"), F.col("d").alias("dy")).distinct(), "rest")
+    rooted = placed.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node"))
+    ys = rooted.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"), F.col("root").alias("ry"))
+    xs = rooted.filter("node <> center").select(
+        "key", F.col("center").alias("a"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("d").alias("dx"), F.col("root").alias("rx")
+    )
+    least = F.greatest(F.col("ox") + F.col("oy"), F.col("dx") + F.col("dy") - 2 * F.least(F.col("dx") - F.col("ox"), F.col("dy") - F.col("oy")))
+    room = (100 + rule.percent) * least <= (100 - rule.percent) * (F.col("nx") + F.col("ny"))
+    met = rest.join(ys, "y").join(xs, ["key", "a"]).filter(room & (F.col("rx") != F.col("ry"))).filter(_similar_size(rule, "nx", "ny"))
+    checked = _distance(met.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct(), sets)
+    return checked.filter(_linked(rule)).select("a", "b").unionByName(measured.filter(_linked(rule)).select("a", "b"))
 
 
 def linked_components(docs: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -274,3 +323,22 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), id_column: str = "do
         .join(members, ["f1", "f2"], "left")
         .select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     )
+
+
+def keep_representatives(docs: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One document of every group of linked documents, the one with the smallest id.
+
+    Rows that share an id share its fate, and of those that also share their text
+    one stays. Documents without shingles and rows with a null id are linked with
+    nothing here and all stay, but equal null-id rows count once.
+    """
+    found = materialize(linked_components(docs, rule, id_column, text_column), "linked")
+    own = F.col(id_column)
+    ids = found.groupBy(id_column).agg(F.count("*").alias("_rows"), F.max(own.eqNullSafe(F.col("component_id")) | own.isNull()).alias("_stays"))
+    ids = materialize(ids.filter("_stays").select(F.col(id_column).alias("_id"), "_rows"), "kept")
+    matches = docs[id_column].eqNullSafe(F.col("_id"))
+    once = docs.join(ids.filter("_rows = 1"), matches, "left_semi")
+    repeated = ids.filter("_rows > 1")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(docs.join(repeated, matches, "left_semi").dropDuplicates([id_column, text_column]))
