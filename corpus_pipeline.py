@@ -1,13 +1,61 @@
-"""The corpus pipeline: five stages over the documents."""
+"""The corpus pipeline: five stages over the documents.
+
+Ids identify documents: rows that share an id share a decision, and of rows that
+also share their text one stays after the similarity join. Rows with a null id
+are kept unless their own content rejects them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from opinarium.llm import bpe, decontamination, jaccard, quality, secrets
+from opinarium.llm.queries import TOKENIZER
+from opinarium.session import broadcast_if_small, materialize
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents predicted to be of quality 1."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of every group of linked documents."""
+    return jaccard.keep_representatives(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    found = decontamination.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = materialize(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
+    hit = broadcast_if_small(hit.withColumnRenamed("doc_id", "_hit"))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; every document stays."""
+    found = secrets.find_secrets(docs, redact="_clean")
+    clean = {"text": F.col("_clean"), "n_chars": F.when(F.col("spans") != "", F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))}
+    return found.withColumns(clean).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, ids and digests of every document left."""
+    coded = bpe.encode_documents(docs.select("doc_id", "text"), TOKENIZER, ids="ids")
+    return coded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
-from opinarium.session import materialize
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("n-gram Jaccard join", keep_one_per_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
+    ("BPE encoding and decoding", encode),
+]
 
+# Fitted models, set similarity and byte-pair merges are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
@@ -15,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

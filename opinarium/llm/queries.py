@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opinarium.llm import decontamination, jaccard
+from opinarium.llm import bpe, decontamination, jaccard, language, linerules, quality, secrets, sharding
+from opinarium.llm.columns import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+SHARDS = 24
 
 
 def query(function):
@@ -25,6 +30,41 @@ def op1_decontamination(spark, d):
     return decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("items")
 
 
+@query
+def op2_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.identify(rows, language.fit(docs)).drop("text")
+
+
+@query
+def op3_quality_classifier(spark, d):
+    docs = table(spark, d, "documents")
+    model = quality.fit(docs, table(spark, d, "labels"))
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return quality.score(rows, model).drop("text")
+
+
+@query
+def op4_secret_scan(spark, d):
+    return secrets.find_secrets(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op5_sharding(spark, d):
+    return sharding.assign(table(spark, d, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
+
+
+@query
+def op6_line_rules(spark, d):
+    return linerules.apply_rules(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op7_byte_pairs(spark, d):
+    return bpe.encode_documents(table(spark, d, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
+
+
 @query
 def op10_jaccard_join(spark, d):
     return jaccard.linked_components(table(spark, d, "documents"))
