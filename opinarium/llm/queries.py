@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bpe, decontamination, jaccard, language, linerules, quality, secrets, sharding
+from opinarium.llm import bpe, decontamination, jaccard, language, licenses, linerules, quality, secrets, sharding, suffixes
 from opinarium.llm.columns import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,16 @@ def op7_byte_pairs(spark, d):
     return bpe.encode_documents(table(spark, d, "documents").select("doc_id", "text"), TOKENIZER).drop("text")
 
 
+@query
+def op8_license_scan(spark, d):
+    return licenses.report(table(spark, d, "documents"), licenses.templates(spark))
+
+
+@query
+def op9_suffix_dedup(spark, d):
+    return suffixes.report(table(spark, d, "documents"))
+
+
 @query
 def op10_jaccard_join(spark, d):
     return jaccard.linked_components(table(spark, d, "documents"))
