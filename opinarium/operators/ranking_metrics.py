@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium.functions.scorers import Share
+from opinarium.session import broadcast_if_small
 
 # Fixed value: relevance from which a product counts as relevant.
 RELEVANT = 0.7
@@ -19,6 +20,7 @@ def add_relevance(products: DataFrame, category: str = "site_category_lv1") -> D
     Bounds are map-side sums joined back, so a large category stays spread.
     """
     bounds = products.groupBy(category).agg(F.min("avg_rating").alias("_lo"), F.max("avg_rating").alias("_hi"))
+    bounds = broadcast_if_small(bounds, F.col(category))
     return (
         products.join(bounds, category)
         .withColumn("relevance", Share.ratio(F.col("avg_rating") - F.col("_lo"), F.col("_hi") - F.col("_lo")))
@@ -52,6 +54,7 @@ def relevant_counts(relevance: DataFrame, queries: DataFrame, threshold: float =
     totals = relevance.groupBy(F.col("site_category_lv1").alias("query_category")).agg(
         F.count_if(relevant(F.col("relevance"), threshold)).alias("_all")
     )
+    totals = broadcast_if_small(totals, F.col("query_category"))
     own = relevance.select(
         F.col("site_category_lv1").alias("query_category"),
         F.col("product_id").alias("query_product"),

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinarium.functions.vectors import dot
-from opinarium.session import MAX_BROADCAST_BYTES, materialize
+from opinarium.session import materialize
 
 # Similarities equal to this many decimals are ties and go by product id.
 TIE_DECIMALS = 12
 
-BROADCAST_QUERIES = 4096
+MAX_QUERIES = 4096
 QUERY_BLOCK = 4096
 PRODUCT_BLOCK = 32_768
 _CELLS_PER_PRODUCT = 4_000_000  # entries of one similarity matrix in memory
@@ -159,28 +159,46 @@ def topk(
     query_vector: str = "query_vector",
     product_id: str = "product_id",
     vector: str = "embedding",
-    broadcast_queries: int = BROADCAST_QUERIES,
     query_block: int = QUERY_BLOCK,
     product_block: int = PRODUCT_BLOCK,
 ) -> DataFrame:
     """The exact K nearest eligible products of every query vector.
 
     ``(query_id, product_id, similarity)``; both ids are unique on their side.
-    Up to ``broadcast_queries`` queries of at most 64 MB are sent to the corpus;
-    beyond that both sides are cut into blocks.
+    Both sides are written once and cut into blocks that meet as matrices.
     """
-    schema = _schema(queries, corpus, query_id, product_id)
-    queries = queries.filter(F.col(query_vector).isNotNull()).select(query_id, query_vector)
-    corpus = eligible(corpus, min_reviews).filter(F.col(vector).isNotNull()).select(product_id, vector)
-    head = queries.limit(broadcast_queries + 1).toArrow()
+    schema, queries, corpus = _search_sides(queries, corpus, min_reviews, query_id, query_vector, product_id, vector)
+    cell = F.lit(0).alias("_cell")
+    queries, corpus = materialize(queries, "search-queries"), materialize(corpus, "search-corpus")
+    scored = _in_blocks(queries.select("*", cell), corpus.select("*", cell), schema, k, query_block, product_block)
+    return _top(scored, k, query_id, product_id)
+
+
+def topk_few(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int = 50,
+    min_reviews: int = 1,
+    query_id: str = "query_id",
+    query_vector: str = "query_vector",
+    product_id: str = "product_id",
+    vector: str = "embedding",
+) -> DataFrame:
+    """:func:`topk` for a set of at most ``MAX_QUERIES`` queries that the caller
+    knows to be small: they travel to the corpus. More are an error."""
+    schema, queries, corpus = _search_sides(queries, corpus, min_reviews, query_id, query_vector, product_id, vector)
+    head = queries.limit(MAX_QUERIES + 1).toArrow()
+    if head.num_rows > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: use topk")
     if not head.num_rows:
         return queries.sparkSession.createDataFrame([], schema)
-    if head.num_rows <= broadcast_queries and head.nbytes <= MAX_BROADCAST_BYTES:
-        scored = _with_small_queries(head, corpus, schema, k)
-    else:
-        cell = F.lit(0).alias("_cell")
-        scored = _in_blocks(queries.select("*", cell), corpus.select("*", cell), schema, k, query_block, product_block)
-    return _top(scored, k, query_id, product_id)
+    return _top(_with_small_queries(head, corpus, schema, k), k, query_id, product_id)
+
+
+def _search_sides(queries, corpus, min_reviews, query_id, query_vector, product_id, vector):
+    schema = _schema(queries, corpus, query_id, product_id)
+    queries = queries.filter(F.col(query_vector).isNotNull()).select(query_id, query_vector)
+    return schema, queries, eligible(corpus, min_reviews).filter(F.col(vector).isNotNull()).select(product_id, vector)
 
 
 def train_cells(corpus: DataFrame, n_cells: int, vector: str = "embedding", seed: int = 42, max_iter: int = 20) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from opinarium.functions.labels import parse_answer
 from opinarium.functions.text import clean_field
 from opinarium.operators.features import raw_weight
+from opinarium.session import broadcast_if_small, materialize
 
 
 def score_terms(terms: DataFrame, coefficients: DataFrame, intercept: float, key: str) -> DataFrame:
@@ -23,6 +25,8 @@ def score_terms(terms: DataFrame, coefficients: DataFrame, intercept: float, key
     are two sums per document, finished on the map side, so the shuffle carries
     one row per document. Documents without a known term score the intercept.
     """
+    # Written first: then its size is known before the words would be shuffled.
+    coefficients = broadcast_if_small(materialize(coefficients, "coefficients"), F.col("term"))
     raw = raw_weight(F.col("tf"), F.col("idf"))
     sums = (
         terms.select(key, F.inline_outer("terms"))
@@ -76,12 +80,30 @@ Client = Callable[[str, Sequence[str]], Sequence[dict]]
 _ANSWER = "raw_response string, client_error string, input_tokens bigint, output_tokens bigint, response_time_s double"
 
 
-def ask(rows: DataFrame, key: str, prompt: Prompt, title: str, body: str, client_factory: Callable[[], Client]) -> DataFrame:
+_REPLY = ["raw", "error", "input_tokens", "output_tokens", "response_time_s"]
+
+
+def _replies(client: Client, system: str, prompts: list[str]) -> list[dict]:
+    """Replies of one call; if the call fails, each prompt is asked by itself and
+    one that fails again is an error row with type and message."""
+    start = time.monotonic()
+    try:
+        return list(client(system, prompts))
+    except Exception as error:  # noqa: BLE001 - whatever a client raises belongs to its rows
+        if len(prompts) > 1:
+            return [reply for one in prompts for reply in _replies(client, system, [one])]
+        return [dict.fromkeys(_REPLY) | {"error": f"{type(error).__name__}: {error}", "response_time_s": time.monotonic() - start}]
+
+
+def ask(
+    rows: DataFrame, key: str, prompt: Prompt, title: str, body: str, client_factory: Callable[[], Client], batch_size: int = 256
+) -> DataFrame:
     """One independent prompt per row, answered by a user client on the workers.
     Both fields are trimmed and a missing one is blank.
 
     Failed rows stay, with a message and no prediction, so that a later run can
-    retry them. Only the key and the prompt enter the Python worker.
+    retry them. A client call gets at most ``batch_size`` prompts. Only the key
+    and the prompt enter the Python worker.
     """
     system = prompt.system
     prompts = rows.select(F.col(key), prompt.render(clean_field(F.col(title)), clean_field(F.col(body))).alias("_prompt"))
@@ -89,8 +111,10 @@ def ask(rows: DataFrame, key: str, prompt: Prompt, title: str, body: str, client
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         for batch in batches:
-            replies = client(system, batch["_prompt"].tolist())
-            out = pd.DataFrame(list(replies), columns=["raw", "error", "input_tokens", "output_tokens", "response_time_s"])
+            prompts = batch["_prompt"].tolist()
+            replies = [r for at in range(0, len(prompts), batch_size) for r in _replies(client, system, prompts[at : at + batch_size])]
+            out = pd.DataFrame(replies, columns=_REPLY)
+            out["response_time_s"] = out["response_time_s"].astype(float)
             out = out.rename(columns={"raw": "raw_response", "error": "client_error"})
             out["input_tokens"] = out["input_tokens"].astype("Int64")
             out["output_tokens"] = out["output_tokens"].astype("Int64")
@@ -122,10 +146,11 @@ def pending(rows: DataFrame, done: DataFrame, key: str = "row_id") -> DataFrame:
     return rows.join(succeeded(done).select(key), key, "left_anti")
 
 
-def resume(rows: DataFrame, path: str, run_id: str, score: Callable[[DataFrame], DataFrame], key: str = "row_id") -> int:
+def resume(rows: DataFrame, path: str, run_id: str, score: Callable[[DataFrame], DataFrame], key: str = "row_id", commits: int = 4) -> int:
     """Scores what the predictions at ``path`` still lack and appends it.
 
-    Rows carry the run that wrote them; :func:`latest` drops superseded failures
+    The due rows are cut by a hash of the key into ``commits`` parts, each
+    appended when it is done: a run that stops keeps the parts before. Rows carry the run that wrote them; :func:`latest` drops superseded failures
     when reading. Returns the number of rows appended.
     """
     from pyspark.errors import AnalysisException
@@ -137,10 +162,14 @@ def resume(rows: DataFrame, path: str, run_id: str, score: Callable[[DataFrame],
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         due = rows
-    seen = Observation()
-    result = score(due).withColumn("run_id", F.lit(run_id)).observe(seen, F.count(F.lit(1)).alias("n"))
-    result.write.mode("append").parquet(path)
-    return seen.get["n"]
+    due, appended = materialize(due, "due"), 0
+    for part in range(commits):
+        seen = Observation()
+        own = due.filter(F.pmod(F.xxhash64(key), F.lit(commits)) == part)
+        result = score(own).withColumn("run_id", F.lit(run_id)).observe(seen, F.count(F.lit(1)).alias("n"))
+        result.write.mode("append").parquet(path)
+        appended += seen.get["n"]
+    return appended
 
 
 def latest(predictions: DataFrame, key: str = "row_id") -> DataFrame:

@@ -9,6 +9,7 @@ from opinarium.functions.scorers import Scorer, label_scorer
 from opinarium.functions.vectors import EncoderFactory, query_text
 from opinarium.operators.catalog import build_catalog, counted_catalog, require_rows
 from opinarium.operators.features import embed
+from opinarium.session import materialize
 from opinarium.sources import artifacts
 
 
@@ -37,19 +38,22 @@ def build(
 ) -> dict[str, int]:
     """Writes scores, corpus, storefront and a build record under ``path``.
 
-    Row counts are observed during the writes, not by another pass.
+    All tables are made in the shared folder first and counted on the way; what
+    is at ``path`` is replaced only when none of them is empty.
     """
     spark = reviews.sparkSession
-    artifacts.write_sentiment_scores(reviews, f"{path}/sentiment_scores", label_column)
-    counts = {}
+    counts, made = {}, {}
     sides = {
         "corpus": corpus(reviews, encoder, scorer, min_reviews, limit),
         "storefront": storefront(storefront_reviews if storefront_reviews is not None else reviews, encoder, scorer, limit),
     }
     for name, table in sides.items():
         observed, seen = counted_catalog(table, name)
-        artifacts.write_corpus(observed, f"{path}/{name}")
+        made[name] = materialize(observed, name)
         counts[name] = require_rows(seen)
+    artifacts.write_sentiment_scores(reviews, f"{path}/sentiment_scores", label_column)
+    for name, table in made.items():
+        artifacts.write_corpus(table, f"{path}/{name}")
     record = {"model": model, "min_reviews": min_reviews, "label_column": label_column}
     artifacts.write_record(spark, record | {f"{n}_products": c for n, c in counts.items()}, f"{path}/build")
     return counts

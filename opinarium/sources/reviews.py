@@ -27,29 +27,46 @@ def _check_columns(columns: Sequence[str]) -> None:
         raise ValueError(f"review columns are missing: {missing}")
 
 
-def load_reviews(spark: SparkSession, paths: Sequence[str], schema: T.StructType = REVIEWS) -> DataFrame:
-    """The union of CSV files, product ids as text; rows without a product id or
-    name drop. Columns outside ``schema`` are read as text."""
+def load_reviews(
+    spark: SparkSession,
+    paths: Sequence[str],
+    schema: T.StructType = REVIEWS,
+    required: Sequence[str] = ("product_id", "product_name"),
+    skip_absent: bool = False,
+) -> DataFrame:
+    """The union of CSV files, product ids as text; rows without one of the
+    ``required`` values drop. Columns outside ``schema`` are read as text.
+
+    Files with the same header are one reader. With ``skip_absent``, files that
+    do not exist are left out, unless none does.
+    """
     if not paths:
         raise ValueError("no review files given")
     known = {f.name: f for f in schema.fields}
-    frames = []
+    groups: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
         try:
             names = _csv_header(spark, path)
         except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                raise FileNotFoundError(f"no such review file: {path}") from error
-            raise
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            if skip_absent:
+                continue
+            raise FileNotFoundError(f"no such review file: {path}") from error
         _check_columns(names)
+        groups.setdefault(tuple(names), []).append(path)
+    if not groups:
+        raise FileNotFoundError(f"no such review file: {paths[0]}")
+    frames = []
+    for names, files in groups.items():
         # Numbers arrive as text and are coerced, so a bad value is a null.
         text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.options(**_CSV).schema(text).csv(path)
+        raw = spark.read.options(**_CSV).schema(text).csv(files)
         frames.append(raw.select(*[_coerce(n, known[n].dataType if n in known else None) for n in names]))
     whole = frames[0]
     for frame in frames[1:]:
         whole = whole.unionByName(frame, allowMissingColumns=True)
-    return whole.dropna(subset=["product_id", "product_name"])
+    return whole.dropna(subset=list(required))
 
 
 def _coerce(name: str, kind: T.DataType | None):
@@ -68,25 +85,15 @@ def load_review_table(spark: SparkSession, path: str, columns: Sequence[str] | N
 
 
 def reviews_or_fallback(spark: SparkSession, scored: str, splits: Sequence[str]) -> DataFrame:
-    """Scored reviews when that table exists, else the splits without labels."""
+    """Scored reviews when that table exists, else the splits without labels.
+
+    Absent splits are left out; only rows without a product id drop.
+    """
     try:
         return load_review_table(spark, scored)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-    return load_reviews(spark, splits).withColumns(
+    return load_reviews(spark, splits, required=("product_id",), skip_absent=True).withColumns(
         {"pred_label": F.lit(None).cast("int"), "pred_prob": F.lit(None).cast("double")}
     )
-
-
-def spread(table: DataFrame, *keys: str, floor: int = 1 << 20, ceiling: int = 256 << 20) -> DataFrame:
-    """Cuts a small table over all cores by a hash of ``keys``.
-
-    A file with one row group is read by one task however many cores there are.
-    Only tables measured between ``floor`` and ``ceiling`` bytes are moved; a
-    large one has row groups enough and is left where it is.
-    """
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if not floor <= size <= ceiling:
-        return table
-    return table.repartition(table.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -126,6 +126,21 @@ def test_prompts_and_failed_rows(spark):
     assert got["2"].predicted_polarity is None and got["2"].error == "RuntimeError: boom"
 
 
+def test_raising_client_costs_its_own_rows_only(spark):
+    def factory():
+        def answer(system, prompts):
+            if any("bad" in p for p in prompts):
+                raise TimeoutError("late")
+            return [{"raw": '{"sentiment": "positive"}', "error": None, "input_tokens": 1, "output_tokens": 1, "response_time_s": 0.1} for _ in prompts]
+
+        return answer
+
+    df = spark.createDataFrame([(str(i), "bad" if i % 5 == 0 else "fine") for i in range(20)], "row_id string, t string")
+    got = {r.row_id: r for r in scoring.ask(df, "row_id", PROMPT, "t", "t", factory, batch_size=3).collect()}
+    assert {k for k, r in got.items() if r.error == "TimeoutError: late"} == {"0", "5", "10", "15"}
+    assert sum(r.predicted_polarity == 1 for r in got.values()) == 16
+
+
 def test_resume_retries_failures_only(spark, tmp_path):
     path = str(tmp_path / "predictions")
     rows = spark.createDataFrame([("1", "a"), ("2", "boom"), ("2", "boom"), ("3", "c")], "row_id string, t string")

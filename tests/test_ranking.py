@@ -85,7 +85,7 @@ def test_exact_search_filters_before_k(points):
 
 def test_blocked_search_gives_the_same(points):
     rows, corpus, queries = points
-    found = retrieval.topk(queries, corpus, k=7, broadcast_queries=10, query_block=64, product_block=50)
+    found = retrieval.topk(queries, corpus, k=7, query_block=64, product_block=50)
     assert lists(found) == brute(rows, 7)
 
 
@@ -101,6 +101,23 @@ def test_probing_every_cell_is_exact_and_few_cells_recall_well(points):
 def test_no_queries(spark, points):
     _, corpus, queries = points
     assert retrieval.topk(queries.filter("false"), corpus).count() == 0
+    assert retrieval.topk_few(queries.filter("false"), corpus).count() == 0
+
+
+def test_few_queries_travel_to_the_corpus(points):
+    rows, corpus, queries = points
+    assert lists(retrieval.topk_few(queries, corpus, k=7)) == brute(rows, 7)
+    many = queries.withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(retrieval.MAX_QUERIES))))
+    with pytest.raises(ValueError):
+        retrieval.topk_few(many, corpus)
+
+
+def test_failed_build_keeps_the_old_one(spark, corpus_reviews, tmp_path):
+    path = str(tmp_path)
+    build.build(corpus_reviews, path, seeded_encoder(), "seeded", rating_scorer())
+    with pytest.raises(ValueError):
+        build.build(corpus_reviews, path, seeded_encoder(), "seeded", rating_scorer(), min_reviews=99)
+    assert artifacts.load_corpus(spark, f"{path}/corpus").count() == 3
 
 
 def test_nearest_first(spark):

@@ -45,6 +45,9 @@ def test_fallback_has_null_labels(spark, csv, tmp_path):
     path = csv("v.csv", "1,n,b,c,d,5,t\n")
     got = reviews.reviews_or_fallback(spark, str(tmp_path / "absent"), [path])
     assert got.first().pred_label is None
+    assert reviews.reviews_or_fallback(spark, str(tmp_path / "absent"), [path, str(tmp_path / "no-split")]).count() >= got.count()
+    with pytest.raises(FileNotFoundError):
+        reviews.reviews_or_fallback(spark, str(tmp_path / "absent"), [str(tmp_path / "no-split")])
     got.withColumn("pred_label", F.lit(1)).write.parquet(str(tmp_path / "scored"))
     assert reviews.reviews_or_fallback(spark, str(tmp_path / "scored"), [path]).first().pred_label == 1
 

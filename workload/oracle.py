@@ -380,8 +380,8 @@ QUERIES = {
     "ngrams": """
         SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), '|')) AS digest FROM (
             SELECT doc_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM tokens)""",
-    "vocabulary": f"SELECT term, df, tf, round(idf, 6) AS idf FROM ({_vocabulary('grams', 5000)})",
-    "vocabulary_bigrams": f"SELECT term, df, tf, round(idf, 6) AS idf FROM ({_vocabulary('bigrams', 2000)})",
+    "vocabulary": f"SELECT term, df, tf, round(idf, 6) AS idf FROM ({_vocabulary('grams', 50000)})",
+    "vocabulary_bigrams": f"SELECT term, df, tf, round(idf, 6) AS idf FROM ({_vocabulary('bigrams', 50000)})",
     "tfidf": f"""
         SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM (
             SELECT doc_id, term, (1 + ln(n)) * idf AS raw FROM (SELECT doc_id, term, count(*) AS n FROM unigrams GROUP BY doc_id, term)
@@ -494,7 +494,7 @@ QUERIES = {
             SELECT d.doc_id, coalesce(s / sqrt(q), 0) + 0.25 AS m FROM v_docs d LEFT JOIN (
                 SELECT doc_id, sum(raw * c) AS s, sum(raw * raw) AS q FROM (
                     SELECT doc_id, (1 + ln(n)) * idf AS raw, CAST(length(term) % 5 - 2 AS DOUBLE) AS c
-                    FROM (SELECT doc_id, term, count(*) AS n FROM unigrams GROUP BY doc_id, term) JOIN ({_vocabulary('unigrams', 3000)}) USING (term))
+                    FROM (SELECT doc_id, term, count(*) AS n FROM unigrams GROUP BY doc_id, term) JOIN ({_vocabulary('unigrams', 50000)}) USING (term))
                 GROUP BY doc_id) x ON x.doc_id = d.doc_id)""",
     "stream_scores": rf"""
         SELECT doc_id, n AS tokens, CAST(n > 100 AS INTEGER) AS pred_label

@@ -23,9 +23,10 @@ from opinarium.operators import (
     splits,
     training,
 )
-from opinarium.plans import evaluation
+from opinarium.plans import build, evaluation
 from opinarium.plans import sentiment as sentiment_plan
-from opinarium.session import materialize, scratch_path
+from opinarium.session import broadcast_if_small, materialize, scratch_path
+from opinarium.sources import artifacts
 from opinarium.streaming.scoring import score_arrivals
 from workload import views
 
@@ -84,9 +85,10 @@ def product_enriched(spark, d):
 
 @query
 def build_counts(spark, d):
-    """Products of the corpus, of its recommendable part and of the storefront."""
-    products = views.catalog(spark, d)
-    return products.agg(
+    """Products of the storefront that a build writes, and of its recommendable part."""
+    path = scratch_path(spark, "build")
+    build.build(views.reviews(spark, d), path, vectors.hashing_encoder(16), "hashed")
+    return artifacts.load_corpus(spark, f"{path}/storefront").agg(
         F.count(F.lit(1)).alias("storefront"),
         F.count_if(F.col("num_reviews") >= MIN_REVIEWS).alias("recommendable"),
         F.sum("num_reviews").alias("reviews"),
@@ -212,6 +214,7 @@ def semi_join_categories(spark, d):
     """Reviews of the categories that have enough of them."""
     rows = views.reviews(spark, d, brands=False)
     large = rows.groupBy("site_category_lv1").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 50)
+    large = broadcast_if_small(large.select("site_category_lv1"), F.col("site_category_lv1"))
     return rows.join(large, "site_category_lv1", "left_semi").select("review_id", "site_category_lv1", "overall_rating")
 
 
@@ -357,12 +360,12 @@ def _terms(spark: SparkSession, d: str, mode: str) -> DataFrame:
 
 @query
 def vocabulary(spark, d):
-    return six(features.fit_vocabulary(_terms(spark, d, "both"), max_features=5000), "idf")
+    return six(features.fit_vocabulary(_terms(spark, d, "both")), "idf")
 
 
 @query
 def vocabulary_bigrams(spark, d):
-    return six(features.fit_vocabulary(_terms(spark, d, "bigrams"), max_features=2000), "idf")
+    return six(features.fit_vocabulary(_terms(spark, d, "bigrams")), "idf")
 
 
 @query
@@ -437,7 +440,7 @@ def blocked_topk(spark, d):
     """The search for many queries: both sides cut into blocks."""
     return six(
         retrieval.topk(
-            views.product_queries(spark, d), views.vectors(spark, d), k=10, broadcast_queries=0, query_block=256, product_block=512
+            views.product_queries(spark, d), views.vectors(spark, d), k=10, query_block=256, product_block=512
         ),
         "similarity",
     )
@@ -655,7 +658,7 @@ def list_quality(spark, d):
 
 def _fixed_coefficients(spark: SparkSession, d: str) -> DataFrame:
     """A vocabulary with made coefficients, so that scoring can be checked."""
-    known = features.fit_vocabulary(_terms(spark, d, "unigrams"), max_features=3000)
+    known = features.fit_vocabulary(_terms(spark, d, "unigrams"))
     return known.select("term", "idf", (F.length("term") % 5 - 2).cast("double").alias("coefficient"))
 
 
@@ -668,7 +671,7 @@ def linear_scores(spark, d):
 def lr_scores(spark, d):
     """Search, fit and score; training reads the labelled documents only."""
     docs = views.documents(spark, d)
-    model = sentiment_plan.train_sparse(docs, "doc_id", "review_text", "polarity", "unigrams", grid=(0.1, 1.0), k=3, max_iter=50)
+    model = sentiment_plan.train_sparse(docs, "doc_id", "review_text", "polarity")
     return sentiment_plan.score(docs, model, "doc_id", "review_text")
 
 
@@ -679,10 +682,11 @@ def dense_scores(spark, d):
     dense = materialize(
         features.embed(docs, "review_text", vectors.hashing_encoder(64)).select("doc_id", "embedding", "polarity"), "dense"
     )
-    labelled = dense.select("doc_id", F.col("polarity").alias("label"))
+    labelled = dense.filter(F.col("polarity").isNotNull()).select("doc_id", F.col("polarity").alias("label"))
     rows = dense.select("doc_id", F.col("embedding").alias("features"))
-    table = training.training_table(rows, labelled, "doc_id", sentiment.class_weights(labelled))
-    return scoring.score_vectors(dense, training.fit(table, 1.0, 50)).select("doc_id", "pred_label", "pred_prob")
+    folded = splits.stratified_folds(labelled, "doc_id", "label", 3)
+    table = training.training_table(rows, folded, "doc_id", sentiment.class_weights(labelled))
+    return scoring.score_vectors(dense, training.grid_search(table).model).select("doc_id", "pred_label", "pred_prob")
 
 
 @query

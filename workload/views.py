@@ -9,7 +9,6 @@ from opinarium.functions import labels
 from opinarium.functions.scorers import label_scorer
 from opinarium.operators.catalog import build_catalog
 from opinarium.session import materialize
-from opinarium.sources.reviews import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,7 +24,7 @@ def reviews(spark: SparkSession, folder: str, names: bool = True, brands: bool =
 
     Queries that need neither part nor supplier columns leave the joins out.
     """
-    lines = spread(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
+    lines = table(spark, folder, "lineitem")
     if names:
         lines = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if brands:
@@ -69,7 +68,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as review texts; quality labels give polarity and stars."""
     quality = F.col("quality")
     return (
-        spread(table(spark, folder, "documents"), "doc_id")
+        table(spark, folder, "documents")
         .join(table(spark, folder, "labels"), "doc_id", "left")
         .select(
             "doc_id",
@@ -84,7 +83,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages"), "page_id")
+    return table(spark, folder, "pages")
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
