@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinarium.functions.scorers import Scorer, Share
 from opinarium.schemas import CATALOG, CATALOG_ATTRIBUTES
+from opinarium.session import materialize
 
 _TOTALS = -1
 
@@ -99,14 +100,11 @@ def enrich_products(products: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def counted_catalog(catalog: DataFrame, name: str = "catalog") -> tuple[DataFrame, Observation]:
-    """The catalog plus an observation that counts it while it is written."""
-    seen = Observation(name)
-    return catalog.observe(seen, F.count(F.lit(1)).alias("products")), seen
-
-
-def require_rows(seen: Observation) -> int:
-    count = seen.get["products"]
+def counted_catalog(catalog: DataFrame, name: str = "catalog") -> tuple[DataFrame, int]:
+    """The catalog written to the shared folder, with its row count; an empty one
+    is an error. Counting the written table reads no column."""
+    stored = materialize(catalog, name)
+    count = stored.count()
     if count == 0:
         raise ValueError("the catalog has no rows")
-    return count
+    return stored, count

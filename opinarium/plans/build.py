@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from opinarium.functions.scorers import Scorer, label_scorer
 from opinarium.functions.vectors import EncoderFactory, query_text
-from opinarium.operators.catalog import build_catalog, counted_catalog, require_rows
+from opinarium.operators.catalog import build_catalog, counted_catalog
 from opinarium.operators.features import embed
-from opinarium.session import materialize
 from opinarium.sources import artifacts
 
 
@@ -48,9 +47,7 @@ def build(
         "storefront": storefront(storefront_reviews if storefront_reviews is not None else reviews, encoder, scorer, limit),
     }
     for name, table in sides.items():
-        observed, seen = counted_catalog(table, name)
-        made[name] = materialize(observed, name)
-        counts[name] = require_rows(seen)
+        made[name], counts[name] = counted_catalog(table, name)
     artifacts.write_sentiment_scores(reviews, f"{path}/sentiment_scores", label_column)
     for name, table in made.items():
         artifacts.write_corpus(table, f"{path}/{name}")
