@@ -103,50 +103,47 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), same.shape[1], np.argmin(same, axis=1))
 
 
-def _compare(least: int):
-    """Neighbours in a sorted run of contexts: both get the length of their match."""
+MATCH = "code binary, ahead long, behind long, right binary, left binary"
+
+
+def _compare(least: int, ends: bool):
+    """Neighbours in a sorted run of contexts: both get the length of their match.
+    With ``ends``, the first and the last context follow, marked by ``ahead = -1``."""
+    kinds = pa.schema([("code", pa.binary()), ("ahead", pa.int64()), ("behind", pa.int64()), ("right", pa.binary()), ("left", pa.binary())])
 
     def run(batches):
-        last = None
+        first = last = None
         for batch in batches:
             if not len(batch):
                 continue
             table = pa.Table.from_batches([batch])
-            if last is not None:
-                table = pa.concat_tables([last, table])
+            first = table.slice(0, 1) if first is None else first
+            table = table if last is None else pa.concat_tables([last, table])
             sides = [np.frombuffer(b"".join(table[name].to_pylist()), dtype=">u4").reshape(-1, least) for name in ("right", "left")]
             reach = [_agree(side[:-1], side[1:]) for side in sides]
-            hit = reach[0] + reach[1] >= least
+            hit = np.flatnonzero(reach[0] + reach[1] >= least)
             for shift in (0, 1):
-                at = np.flatnonzero(hit) + shift
-                columns = [table["code"].combine_chunks().take(pa.array(at)), pa.array(reach[0][hit]), pa.array(reach[1][hit])]
-                yield pa.RecordBatch.from_arrays(columns, ["code", "ahead", "behind"])
+                code = table["code"].combine_chunks().take(pa.array(hit + shift))
+                empty = pa.nulls(len(hit), pa.binary())
+                yield pa.RecordBatch.from_arrays([code, pa.array(reach[0][hit]), pa.array(reach[1][hit]), empty, empty], schema=kinds)
             last = table.slice(len(table) - 1)
+        if ends and first is not None:
+            edge = pa.concat_tables([first, last]).combine_chunks()
+            mark = pa.array([-1, -1], pa.int64())
+            columns = [edge[name].combine_chunks() for name in ("code", "right", "left")]
+            yield pa.RecordBatch.from_arrays([columns[0], mark, mark, *columns[1:]], schema=kinds)
 
     return run
 
 
-def _ends(batches):
-    """The first and the last context of every sorted partition."""
-    first = last = None
-    for batch in batches:
-        if len(batch):
-            first = batch.slice(0, 1) if first is None else first
-            last = batch.slice(len(batch) - 1)
-    if first is not None:
-        yield first
-        yield last
-
-
 def _neighbour_matches(contexts: DataFrame, order: list[str], least: int, name: str) -> DataFrame:
     """``(code, ahead, behind)`` of contexts that match a neighbour in the order."""
-    schema, kinds = "code binary, ahead long, behind long", contexts.schema
     ordered = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = materialize(ordered.select(F.spark_partition_id().alias("part"), *contexts.columns), name)
-    inside = ordered.repartition("part").sortWithinPartitions("part", *order).select(*contexts.columns)
+    found = materialize(ordered.mapInArrow(_compare(least, True), MATCH), name)
     # Borders: two contexts per sorted partition, whatever the number of rows.
-    borders = inside.mapInArrow(_ends, kinds).coalesce(1).sortWithinPartitions(*order)
-    return inside.mapInArrow(_compare(least), schema).unionByName(borders.mapInArrow(_compare(least), schema))
+    borders = found.filter("ahead < 0").select("code", "right", "left").coalesce(1).sortWithinPartitions(*order)
+    across = borders.mapInArrow(_compare(least, False), MATCH)
+    return found.filter("ahead >= 0").unionByName(across).select("code", "ahead", "behind")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -157,7 +154,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     shared = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     marked = places.join(shared, "key").groupBy("row").agg(F.collect_list("pos").alias("places"))
     found = rows.select("row", "_text").join(marked, "row").mapInArrow(_contexts(least), "row long, pos long, right binary, left binary")
-    found = found.withColumn("code", F.unhex(F.sha2(F.concat("right", "left"), 256)))
+    found = found.withColumn("code", F.unhex(F.md5(F.concat("right", "left"))))
     found = materialize(found, "contexts")
     groups = found.groupBy("code").agg(F.count("*").alias("n"), F.min("right").alias("right"), F.min("left").alias("left"))
     groups = materialize(groups, "context-groups")
