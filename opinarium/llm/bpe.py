@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 
 import numpy as np
@@ -26,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinarium.llm import textscan
 from opinarium.llm.columns import append
 
 # How byte-level vocabularies cut texts into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ASCII_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
 # Codes of pieces kept by one task before they are dropped and found anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+# Bytes of text whose pieces are encoded together.
+TOGETHER = 8 << 20
 _GONE, _END = -2, -1
 
 
@@ -160,7 +164,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.numbers: dict[str, int] = _Numbering()
-        self.ids: list[np.ndarray] = []
+        self.flat, self.edges = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def pieces(self, text: str) -> list[int]:
         """Numbers of the pieces of a text; special tokens are numbers below zero."""
@@ -178,13 +182,26 @@ class Encoder:
         """Token ids of each text."""
         if len(self.numbers) > REMEMBERED:
             self.forget()
-        cut = [np.array(self.pieces(text), dtype=np.int64) for text in texts]
-        new = list(self.numbers)[len(self.ids) :]
+        cut = [np.array(self.pieces(text), dtype=np.int32) for text in texts]
+        new = list(itertools.islice(self.numbers, len(self.edges) - 1, None))
         if new:
             ids, edges = self.vocabulary.encode_pieces([piece.encode("utf-8") for piece in new])
-            self.ids += np.split(ids, edges[1:-1])
-        known = self.ids
-        return [np.concatenate([known[p] if p >= 0 else np.array([-1 - p]) for p in row.tolist()]) if len(row) else np.zeros(0, np.int64) for row in cut]
+            self.edges = np.concatenate((self.edges, self.edges[-1] + edges[1:]))
+            self.flat = np.concatenate((self.flat, ids.astype(np.int32)))
+        return [self._join(row) for row in cut]
+
+    def _join(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of the numbered pieces, one after the other."""
+        special = numbers < 0
+        known = np.where(special, 0, numbers)
+        start = self.edges[known] if len(self.edges) > 1 else np.zeros(len(numbers), dtype=np.int64)
+        size = np.where(special, 1, self.edges[known + 1] - start) if len(self.edges) > 1 else np.ones(len(numbers), dtype=np.int64)
+        total = np.cumsum(size)
+        count = int(total[-1]) if len(total) else 0
+        at = np.arange(count) - np.repeat(total - size, size) + np.repeat(start, size)
+        out = self.flat[np.minimum(at, max(len(self.flat) - 1, 0))] if len(self.flat) else np.zeros(count, dtype=np.int32)
+        out[(total - size)[special]] = -1 - numbers[special]
+        return out
 
 
 class _Numbering(dict):
@@ -212,14 +229,16 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str |
         names = np.arange(encoder.vocabulary.base).astype(str).astype(object)
 
         def compute(column):
-            texts = [value.as_py() or "" for value in column]
-            coded = encoder.encode(texts)
-            made = [
-                pa.array([len(row) for row in coded], pa.int64()),
-                pa.array([_sha256(",".join(names[row])) for row in coded], pa.string()),
-                pa.array([_sha256(encoder.vocabulary.decode(row)) for row in coded], pa.string()),
-            ]
-            return made + ([pa.array([row.astype(np.int32) for row in coded], pa.list_(pa.int32()))] if ids else [])
+            counts, digests, decoded, lists = [], [], [], []
+            for first, last, _, _ in textscan.chunks(column, TOGETHER):
+                for row in encoder.encode([value.as_py() or "" for value in column.slice(first, last - first)]):
+                    counts.append(len(row))
+                    digests.append(_sha256(",".join(names[row])))
+                    decoded.append(_sha256(encoder.vocabulary.decode(row)))
+                    if ids:
+                        lists.append(row)
+            made = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            return made + ([pa.array(lists, pa.list_(pa.int32()))] if ids else [])
 
         return compute
 
