@@ -151,7 +151,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("_text"))
     rows = materialize(rows, "numbered")
     places = materialize(rows.mapInArrow(_places(gram, window), "row long, pos long, key long"), "places")
-    shared = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # Written, so that the join has an exchange of its own and a frequent key can be split.
+    shared = materialize(places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
     marked = places.join(shared, "key").groupBy("row").agg(F.collect_list("pos").alias("places"))
     found = rows.select("row", "_text").join(marked, "row").mapInArrow(_contexts(least), "row long, pos long, right binary, left binary")
     found = found.withColumn("code", F.unhex(F.md5(F.concat("right", "left"))))
