@@ -5,11 +5,12 @@ in windows of ``window`` k-grams, so equal passages of ``window + k - 1`` words
 keep equal places. A suffix is ordered by the hashes of the following blocks of
 ``k`` words. Suffixes that share their first block somewhere get a context, the
 hashes of ``least`` words to each side. Contexts equal as a whole are counted
-with partial aggregation; the different ones are sorted over the cluster and each
-is compared with its neighbours, extending the match word by word to the right
-and to the left. Neighbours across the borders of sorted partitions are compared
-from the borders alone. Contexts are sorted once from the place to the right and
-once to the left, so the longest extension either way is met.
+by a code with partial aggregation; of each code one place alone gets its context
+written. These are sorted over the cluster and each is compared with its
+neighbours, extending the match word by word to the right and to the left.
+Neighbours across the borders of sorted partitions are compared from the borders
+alone. Contexts are sorted once from the place to the right and once to the left,
+so the longest extension either way is met.
 
 A passage is reported where a place and a neighbour agree on at least ``least``
 words. Passages are ranges of words of a document.
@@ -21,6 +22,8 @@ count. Extra columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,44 +62,84 @@ def _texts(batch: pa.RecordBatch):
             yield row + i, hashes[found.first[i] : found.first[i + 1]]
 
 
-def _places(gram: int, window: int):
-    def run(batches):
-        for batch in batches:
-            rows = batch.column(batch.schema.get_field_index("row")).to_numpy()
-            out = []
-            for i, hashes in _texts(batch):
-                grams = textscan.run_hashes(hashes, gram)
-                at = minimisers(grams, window)
-                out.append((np.full(len(at), rows[i]), at, grams[at].view(np.int64)))
-            if out:
-                row, pos, key = (np.concatenate(parts) for parts in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(pos), pa.array(key)], ["row", "pos", "key"])
+def _padded(hashes: np.ndarray, least: int) -> np.ndarray:
+    """Words as 32-bit codes with ``least`` zeros behind the end."""
+    return np.concatenate(((hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.zeros(least, np.uint32)))
 
-    return run
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of bytes as one binary value."""
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
-def _side(hashes: np.ndarray, pos: np.ndarray, least: int) -> np.ndarray:
-    """``least`` words from each place on, as 32-bit codes; 0 beyond the end."""
-    short = np.concatenate(((hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.zeros(least, np.uint32)))
-    return short[pos[:, None] + np.arange(least)]
 
+# Places of one output batch, so that memory does not follow the length of a text.
+_PLACES = 4096
+
+
+def _contexts(least: int, choose, packed):
+    """Arrow function over texts: ``choose(batch, i, hashes)`` gives the places of
+    text i and their keys, ``packed`` turns places with both sides into a batch."""
 
-def _contexts(least: int):
     def run(batches):
+        along = np.arange(least)
         for batch in batches:
-            marked = batch.column(batch.schema.get_field_index("places"))
-            rows, ids = batch.column(batch.schema.get_field_index("row")), []
+            rows, parts, held = batch.column(batch.schema.get_field_index("row")).to_numpy(), [], 0
             for i, hashes in _texts(batch):
-                pos = np.sort(np.array(marked[i].as_py(), dtype=np.int64))
-                right = _side(hashes, pos, least)
-                left = _side(hashes[::-1].copy(), len(hashes) - pos, least)
-                ids = [rows[i].as_py()] * len(pos)
-                packed = [pa.array([r.astype(">u4").tobytes() for r in side], pa.binary()) for side in (right, left)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos), *packed], ["row", "pos", "right", "left"])
+                places, keys = choose(batch, i, hashes)
+                onward, back = _padded(hashes, least), _padded(hashes[::-1], least)
+                for low in range(0, len(places), _PLACES):
+                    pos = places[low : low + _PLACES]
+                    right, left = onward[pos[:, None] + along], back[len(hashes) - pos[:, None] + along]
+                    parts.append((np.full(len(pos), rows[i]), pos, keys[low : low + _PLACES], right, left))
+                    held += len(pos)
+                    if held >= _PLACES:
+                        yield packed(*map(np.concatenate, zip(*parts)))
+                        parts, held = [], 0
+            if parts:
+                yield packed(*map(np.concatenate, zip(*parts)))
 
     return run
 
 
+def _codes(right: np.ndarray, left: np.ndarray) -> tuple[pa.Array, list[np.ndarray]]:
+    """A digest of each context, and both sides as bytes that sort like the words."""
+    sides = [side.astype(">u4").view(np.uint8) for side in (right, left)]
+    return pa.array([hashlib.md5(line).digest() for line in np.concatenate(sides, axis=1)], pa.binary()), sides
+
+
+def _places(rows: DataFrame, gram: int, window: int, least: int) -> DataFrame:
+    """Every minimiser place with its first block, the digest of its context and
+    how many words the context has to each side."""
+
+    def choose(batch, i, hashes):
+        grams = textscan.run_hashes(hashes, gram)
+        at = minimisers(grams, window)
+        return at, grams[at].view(np.int64)
+
+    def packed(row, pos, key, right, left):
+        reach = [np.count_nonzero(side, axis=1).astype(np.int64) for side in (right, left)]
+        columns = [pa.array(row), pa.array(pos), pa.array(key), _codes(right, left)[0], *map(pa.array, reach)]
+        return pa.RecordBatch.from_arrays(columns, ["row", "pos", "key", "code", "ahead", "behind"])
+
+    return rows.mapInArrow(_contexts(least, choose, packed), "row long, pos long, key long, code binary, ahead long, behind long")
+
+
+def _contexts_at(rows: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """The contexts of the places ``(row, pos)``, made from the texts again."""
+
+    def choose(batch, i, hashes):
+        at = np.sort(batch.column(batch.schema.get_field_index("places"))[i].values.to_numpy())
+        return at, at
+
+    def packed(row, pos, key, right, left):
+        code, sides = _codes(right, left)
+        return pa.RecordBatch.from_arrays([code, *map(_binary, sides)], ["code", "right", "left"])
+
+    marked = places.groupBy("row").agg(F.collect_list("pos").alias("places"))
+    return rows.select("row", "_text").join(marked, "row").mapInArrow(_contexts(least, choose, packed), "code binary, right binary, left binary")
+
+
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common beginning of each pair of rows; 0 never agrees."""
     same = (a == b) & (a != 0)
@@ -150,19 +193,14 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """``(row, id, start, stop)``: word ranges of passages that occur elsewhere."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("_text"))
     rows = materialize(rows, "numbered")
-    places = materialize(rows.mapInArrow(_places(gram, window), "row long, pos long, key long"), "places")
+    places = materialize(_places(rows, gram, window, least), "places")
     # Written, so that the join has an exchange of its own and a frequent key can be split.
     shared = materialize(places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared-keys")
-    marked = places.join(shared, "key").groupBy("row").agg(F.collect_list("pos").alias("places"))
-    found = rows.select("row", "_text").join(marked, "row").mapInArrow(_contexts(least), "row long, pos long, right binary, left binary")
-    found = found.withColumn("code", F.unhex(F.md5(F.concat("right", "left"))))
-    found = materialize(found, "contexts")
-    groups = found.groupBy("code").agg(F.count("*").alias("n"), F.min("right").alias("right"), F.min("left").alias("left"))
+    found = materialize(places.join(shared, "key").drop("key"), "shared-places")
+    groups = found.groupBy("code").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("one"), F.max("ahead").alias("ahead"), F.max("behind").alias("behind"))
     groups = materialize(groups, "context-groups")
-    reach = lambda side: F.lit(least) - F.expr(f"size(filter(sequence(0, {least - 1}), i -> substring({side}, i * 4 + 1, 4) = X'00000000'))")
-    equal = groups.filter("n > 1").select("code", reach("right").cast("long").alias("ahead"), reach("left").cast("long").alias("behind"))
-    equal = equal.filter(F.col("ahead") + F.col("behind") >= least)
-    contexts = groups.select("code", "right", "left")
+    equal = groups.filter((F.col("n") > 1) & (F.col("ahead") + F.col("behind") >= least)).select("code", "ahead", "behind")
+    contexts = materialize(_contexts_at(rows, groups.select("one.row", "one.pos"), least), "contexts")
     ahead = _neighbour_matches(contexts, ["right", "left"], least, "sorted-right")
     behind = _neighbour_matches(contexts, ["left", "right"], least, "sorted-left")
     matches = equal.unionByName(ahead).unionByName(behind).distinct()
