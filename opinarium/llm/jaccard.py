@@ -3,10 +3,13 @@
 A text is the set of its distinct shingles. Every shingle flips one bit of a
 sketch, so two sketches differ in at most as many bits as the sets differ in
 shingles. Linked sets of sizes a and b differ in at most
-``D = (1 - t) / (1 + t) * (a + b)`` shingles; a sketch cut into D + 1 blocks
-therefore has an equal block for every linked pair (pigeonhole), and equal
-blocks are an equi-join. Sketch length and D belong to a size band; a text
-appears in its own band and in the lower bands whose partners it can have.
+``D = (1 - t) / (1 + t) * (a + b)`` shingles; a sketch cut into D + 1 + c blocks
+therefore has c + 1 equal blocks for every linked pair (pigeonhole), and equal
+blocks are an equi-join. Of c + 1 equal blocks one has a bit unless both texts
+have more than c blocks without any, so a text with at most c such blocks leaves
+them out; c belongs to the band, so that few texts have more. Sketch length and D
+belong to a size band; a text appears in its own band and in the lower bands
+whose partners it can have.
 A block of ``BLOCK_BITS`` bits is kept as a 64-bit code of its set bits.
 
 No group of equal blocks is expanded into pairs. Equal sets are one class. In
@@ -55,14 +58,28 @@ class Rule:
     def largest_partner(self, a: int) -> int:
         return a * 100 // self.percent
 
-    def bands(self, largest: int) -> tuple[np.ndarray, list[int], list[int]]:
-        """Lower ends of the size bands, their D and the largest size in each."""
+    def bands(self, largest: int) -> tuple[np.ndarray, list[int], list[int], list[int]]:
+        """Lower ends of the size bands, their D, the largest size in each and c."""
         lows = [1]
         while lows[-1] <= largest:
             lows.append(max(lows[-1] + 1, int(lows[-1] * BAND_GROWTH)))
         tops = [self.largest_partner(high - 1) for high in lows[1:]]
         errors = [self.most_different(high - 1, top) for high, top in zip(lows[1:], tops)]
-        return np.array(lows), errors, tops
+        return np.array(lows), errors, tops, [spare_blocks(low, error) for low, error in zip(lows, errors)]
+
+
+def spare_blocks(size: int, errors: int) -> int:
+    """The least c that the number of blocks without a shingle, of the
+    ``errors + 1 + c`` blocks of a set of ``size`` shingles, hardly ever exceeds:
+    three deviations above the mean, or 0 where the mean is below 0.01."""
+    spare = 0
+    while spare <= errors:
+        blocks = errors + 1 + spare
+        bare = blocks * np.exp(-size / blocks)
+        if bare + 3 * np.sqrt(bare) <= spare or (not spare and bare <= 0.01):
+            break
+        spare += 1
+    return spare
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -91,9 +108,10 @@ def set_code(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def block_codes(shingles: np.ndarray, band: int, errors: int) -> np.ndarray:
-    """Codes of the ``errors + 1`` blocks of the parity sketch of one band."""
-    blocks = errors + 1
+def block_codes(shingles: np.ndarray, band: int, errors: int, spare: int = 0) -> np.ndarray:
+    """Codes of the ``errors + 1 + spare`` blocks of the parity sketch of one band,
+    without those that have no bit where these are at most ``spare``."""
+    blocks = errors + 1 + spare
     # Sorted hashes give sorted blocks: the high bits choose the block, the low ones the bit.
     block = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     edges = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
@@ -102,17 +120,18 @@ def block_codes(shingles: np.ndarray, band: int, errors: int) -> np.ndarray:
     parity = np.bitwise_xor.reduceat(np.append(codes, np.uint64(0)), np.minimum(edges[:-1], len(codes)))
     parity[edges[:-1] == edges[1:]] = 0
     place = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
-    return textscan.mix(parity ^ textscan.mix(place))
+    out = textscan.mix(parity ^ textscan.mix(place))
+    return out[parity != 0] if np.count_nonzero(parity == 0) <= spare else out
 
 
 def sketch_keys(shingles: np.ndarray, rule: Rule, bands: tuple) -> np.ndarray:
     """All join keys of a set; bands without errors are left to the classes."""
-    lows, errors, tops = bands
+    lows, errors, tops, spare = bands
     size, out = len(shingles), []
     band = int(np.searchsorted(lows, size, side="right")) - 1
     while band >= 0 and size <= tops[band]:
         if errors[band]:
-            out.append(block_codes(shingles, band, errors[band]))
+            out.append(block_codes(shingles, band, errors[band], spare[band]))
         band -= 1
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 

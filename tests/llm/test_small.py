@@ -109,7 +109,7 @@ def brute_components(texts, rule):
     return {(i, len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(2, 80)])
+@pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(2, 80), jaccard.Rule(5, 80)])
 def test_jaccard_join(spark, rule):
     texts, pick = [(900 + i, t) for i, (_, t) in enumerate(EDGE)], random.Random(4)
     for family in range(6):
@@ -133,16 +133,30 @@ def test_jaccard_repeated_rows(spark):
     assert jaccard.linked_components(docs.limit(0)).count() == 0
 
 
-def test_sketch_bounds_difference():
-    rule, pick = jaccard.Rule(), np.random.default_rng(1)
-    lows, errors, _ = bands = rule.bands(2000)
-    for size in (40, 300, 1500):
+@pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(5, 80)])
+def test_sketch_bounds_difference(rule):
+    pick = np.random.default_rng(1)
+    lows, errors, _, spare = bands = rule.bands(2000)
+    for size in (2, 7, 40, 300, 1500):
         band = int(np.searchsorted(lows, size, side="right")) - 1
-        one = np.unique(pick.integers(0, 2**63, size, dtype=np.uint64))
-        two = np.unique(np.concatenate((one[errors[band] // 2 :], pick.integers(0, 2**63, errors[band] - errors[band] // 2, dtype=np.uint64))))
-        same = jaccard.block_codes(one, band, errors[band]) == jaccard.block_codes(two, band, errors[band])
-        assert np.count_nonzero(~same) <= errors[band] and same.any()
-        assert set(jaccard.sketch_keys(one, rule, bands)) & set(jaccard.sketch_keys(one.copy(), rule, bands))
+        for _ in range(50):
+            one = np.unique(pick.integers(0, 2**63, size, dtype=np.uint64))
+            gone = min(errors[band] // 2, size - 1)
+            two = np.unique(np.concatenate((one[gone:], pick.integers(0, 2**63, errors[band] - gone, dtype=np.uint64))))
+            for c in (spare[band], 0):
+                codes = [set(jaccard.block_codes(x, band, errors[band], c)) for x in (one, two)]
+                assert codes[0] & codes[1]
+            if len(two) < rule.largest_partner(size) and errors[band]:
+                assert set(jaccard.sketch_keys(one, rule, bands)) & set(jaccard.sketch_keys(two, rule, bands))
+
+
+def test_bare_blocks_are_left_out_only_within_the_spare():
+    shingles = np.array([1, 2], dtype=np.uint64)  # both in the first block
+    assert len(jaccard.block_codes(shingles, 3, 3, 2)) == 6
+    assert len(jaccard.block_codes(shingles, 3, 3, 5)) == 9
+    assert len(jaccard.block_codes(shingles, 3, 0, 4)) == 1
+    spread = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
+    assert len(jaccard.block_codes(spread, 3, 4, 2)) == 7
 
 
 # --- classifiers -------------------------------------------------------------------
