@@ -14,6 +14,9 @@ from opinarium.llm import bpe, decontamination, jaccard, quality, secrets
 from opinarium.llm.queries import TOKENIZER
 from opinarium.session import broadcast_if_small, materialize
 
+# Near duplicates: shingles of five words, a similarity of 0.8 or more.
+NEAR = jaccard.Rule(5, 80)
+
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents predicted to be of quality 1."""
@@ -22,8 +25,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of linked documents."""
-    return jaccard.keep_representatives(docs)
+    """Keeps the smallest id of every group of documents linked by five-word shingles."""
+    return jaccard.keep_representatives(docs, NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
