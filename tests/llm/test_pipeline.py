@@ -5,7 +5,6 @@ import random
 
 import corpus_pipeline
 from tests.llm.test_small import brute_components, brute_hits, brute_secrets, prose
-from opinarium.llm import jaccard
 
 
 def test_pipeline(spark, tmp_path):
@@ -31,7 +30,7 @@ def test_pipeline(spark, tmp_path):
     kept = texts(good)
     assert set(range(40)) <= set(kept) and not set(range(40, 60)) & set(kept) and good.columns == docs.columns
     single = stages[1](spark, good, str(tmp_path))
-    expected = {i for i, _, root in brute_components(list(kept.items()), jaccard.Rule()) if i == root}
+    expected = {i for i, _, root in brute_components(list(kept.items()), corpus_pipeline.NEAR) if i == root}
     assert set(texts(single)) == expected and 70 not in expected and single.columns == docs.columns
     clean = stages[2](spark, single, str(tmp_path))
     assert set(texts(clean)) == {i for i in expected if not brute_hits(kept[i], [(1, passage)])[-1]} and 72 not in texts(clean)
