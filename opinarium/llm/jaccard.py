@@ -7,7 +7,9 @@ shingles. Linked sets of sizes a and b differ in at most
 therefore has c + 1 equal blocks for every linked pair (pigeonhole), and equal
 blocks are an equi-join. Of c + 1 equal blocks one has a bit unless both texts
 have more than c blocks without any, so a text with at most c such blocks leaves
-them out; c belongs to the band, so that few texts have more. Sketch length and D
+them out; c belongs to the band, so that few texts have more. A text with e <= c
+blocks without a bit shares c + 1 - e others with every partner; where fewer of
+its blocks are shared at all, it has no partner in that band. Sketch length and D
 belong to a size band; a text appears in its own band and in the lower bands
 whose partners it can have.
 A block of ``BLOCK_BITS`` bits is kept as a 64-bit code of its set bits.
@@ -108,9 +110,14 @@ def set_code(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def block_codes(shingles: np.ndarray, band: int, errors: int, spare: int = 0) -> np.ndarray:
+# The low bits of a block's code hold its band.
+BANDS = 1 << 7
+
+
+def block_codes(shingles: np.ndarray, band: int, errors: int, spare: int = 0) -> tuple[np.ndarray, int]:
     """Codes of the ``errors + 1 + spare`` blocks of the parity sketch of one band,
-    without those that have no bit where these are at most ``spare``."""
+    without those that have no bit where these are at most ``spare``, and how many
+    of the codes are shared with every linked set at least."""
     blocks = errors + 1 + spare
     # Sorted hashes give sorted blocks: the high bits choose the block, the low ones the bit.
     block = ((shingles >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
@@ -120,20 +127,24 @@ def block_codes(shingles: np.ndarray, band: int, errors: int, spare: int = 0) ->
     parity = np.bitwise_xor.reduceat(np.append(codes, np.uint64(0)), np.minimum(edges[:-1], len(codes)))
     parity[edges[:-1] == edges[1:]] = 0
     place = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
-    out = textscan.mix(parity ^ textscan.mix(place))
-    return out[parity != 0] if np.count_nonzero(parity == 0) <= spare else out
+    out = textscan.mix(parity ^ textscan.mix(place)) & ~np.uint64(BANDS - 1) | np.uint64(band)
+    bare = np.count_nonzero(parity == 0)
+    return (out[parity != 0], spare + 1 - bare) if bare <= spare else (out, 1)
 
 
-def sketch_keys(shingles: np.ndarray, rule: Rule, bands: tuple) -> np.ndarray:
-    """All join keys of a set; bands without errors are left to the classes."""
+def sketch_keys(shingles: np.ndarray, rule: Rule, bands: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """All join keys of a set, and per band ``BANDS * (keys shared at least) + band``;
+    bands without errors are left to the classes."""
     lows, errors, tops, spare = bands
-    size, out = len(shingles), []
+    size, out, needs = len(shingles), [], []
     band = int(np.searchsorted(lows, size, side="right")) - 1
     while band >= 0 and size <= tops[band]:
         if errors[band]:
-            out.append(block_codes(shingles, band, errors[band], spare[band]))
+            codes, need = block_codes(shingles, band, errors[band], spare[band])
+            out.append(codes)
+            needs.append(BANDS * need + band)
         band -= 1
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64), np.array(needs, dtype=np.uint64)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -147,7 +158,8 @@ _OUT_ROWS, _OUT_VALUES = 4096, 1 << 20
 
 
 def _describe(rule: Rule, sets: bool):
-    """Arrow function: ``row, id, text`` to sizes, set codes and join keys or sets."""
+    """Arrow function: ``row, id, text`` to sizes, set codes and sets or join keys with their needs."""
+    fields = ["list"] if sets else ["list", "needs"]
 
     def run(batches):
         bands = rule.bands(1 << 10)
@@ -157,7 +169,8 @@ def _describe(rule: Rule, sets: bool):
             def flush():
                 own = batch.select([n for n in batch.schema.names if n != "_text"]).take(pa.array(keep, pa.int64()))
                 columns = [pa.array(sizes, pa.int64()), pa.array([c[0] for c in codes], pa.int64()), pa.array([c[1] for c in codes], pa.int64())]
-                return pa.RecordBatch.from_arrays([*own.columns, *columns, _lists(lists)], [*own.schema.names, "n", "f1", "f2", "list"])
+                columns += [_lists(list(arrays)) for arrays in zip(*lists)]
+                return pa.RecordBatch.from_arrays([*own.columns, *columns], [*own.schema.names, "n", "f1", "f2", *fields])
 
             for row, shingles in shingle_sets(batch.column(batch.schema.get_field_index("_text")), rule.shingle):
                 while len(shingles) >= bands[0][-1]:
@@ -165,8 +178,8 @@ def _describe(rule: Rule, sets: bool):
                 keep.append(row)
                 codes.append(set_code(shingles))
                 sizes.append(len(shingles))
-                lists.append(shingles if sets else sketch_keys(shingles, rule, bands))
-                held += len(lists[-1])
+                lists.append((shingles,) if sets else sketch_keys(shingles, rule, bands))
+                held += len(lists[-1][0])
                 if len(keep) >= _OUT_ROWS or held >= _OUT_VALUES:
                     yield flush()
                     keep, codes, sizes, lists, held = [], [], [], [], 0
@@ -177,10 +190,10 @@ def _describe(rule: Rule, sets: bool):
 
 
 def signatures(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> DataFrame:
-    """Stored ``(row, id, n, f1, f2, list)``: set size, set codes and sketch keys per row."""
+    """Stored ``(row, id, n, f1, f2, list, needs)``: set size, set codes and sketch keys per row."""
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("_text"))
-    schema = f"row long, id {kind}, n long, f1 long, f2 long, list array<long>"
+    schema = f"row long, id {kind}, n long, f1 long, f2 long, list array<long>, needs array<long>"
     return materialize(source.mapInArrow(_describe(rule, False), schema), "signatures")
 
 
@@ -215,12 +228,23 @@ def _similar_size(rule: Rule, a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
+def _shared(entries: DataFrame, name: str) -> DataFrame:
+    """Stored entries of the keys that two classes or more have."""
+    keys = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    return materialize(entries.join(keys, "key"), name)
+
+
 def _block_groups(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Stored ``(key, node, n)``: block groups with two classes or more."""
+    """Stored ``(key, node, n)``: block groups with two classes or more, without the
+    classes that share too few blocks of a band to have a partner in it."""
     keyed = found.join(classes.select("node"), found["row"] == classes["node"])
-    entries = keyed.select("node", "n", F.explode("list").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    return materialize(entries.join(shared, "key"), "blocks")
+    met = _shared(keyed.select("node", "n", F.explode("list").alias("key")), "shared-blocks")
+    band = F.pmod(F.col("key"), F.lit(BANDS)).alias("band")
+    needs = keyed.select("node", F.explode("needs").alias("_need"))
+    needs = needs.select("node", F.pmod(F.col("_need"), F.lit(BANDS)).alias("band"), F.floor(F.col("_need") / BANDS).alias("need"))
+    counts = met.groupBy("node", band).agg(F.count("*").alias("met"))
+    enough = counts.join(needs, ["node", "band"]).filter("met >= need").select("node", "band")
+    return _shared(met.select("*", band).join(enough, ["node", "band"], "left_semi").drop("band"), "blocks")
 
 
 def _with_slack(blocks: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
