@@ -1,13 +1,14 @@
 """The corpus pipeline: five stages over the documents.
 
-Ids identify documents: rows that share an id share a decision, and of rows that
-also share their text one stays after the similarity join. Rows with a null id
-are kept unless their own content rejects them.
+Quality, contamination and secrets are decided by the text of a row alone. In the
+similarity join rows that share an id share a decision, and of rows that also
+share their text one stays. Rows with a null id are kept unless their own content
+rejects them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinarium.llm import bpe, decontamination, jaccard, quality, secrets
@@ -31,10 +32,16 @@ def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontamination.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = materialize(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    hit = broadcast_if_small(hit.withColumnRenamed("doc_id", "_hit"))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    # A text decides for itself: equal texts hold equal windows, so the digest names the verdict whatever the ids are.
+    texts = docs.select(text_digest().alias("_digest"), "text")
+    found = decontamination.report(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_digest")
+    hit = materialize(found.filter("contaminated").select("_digest").distinct(), "contaminated")
+    hit = broadcast_if_small(hit, F.col("_digest"))
+    return docs.join(hit, text_digest() == hit["_digest"], "left_anti")
+
+
+def text_digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,13 @@ def test_pipeline(spark, tmp_path):
     last = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {i: r.decoded_sha256 for i, r in last.items()} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts(safe).items()}
     assert all(r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() for r in last.values())
+
+
+def test_contaminated_rows_do_not_take_others_of_their_id(spark, tmp_path):
+    passage = " ".join(prose(500, 12))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"one {passage}"), (None, "a clean text"), (None, None), (7, f"two {passage}"), (7, "another clean text"), (8, f"one {passage}"), (9, "a clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    key = lambda row: tuple(map(str, row))
+    assert sorted(map(tuple, left), key=key) == sorted([r for r in rows if passage not in (r[1] or "")], key=key)
