@@ -9,8 +9,16 @@ by a code with partial aggregation; of each code one place alone gets its contex
 written. These are sorted over the cluster and each is compared with its
 neighbours, extending the match word by word to the right and to the left.
 Neighbours across the borders of sorted partitions are compared from the borders
-alone. Contexts are sorted once from the place to the right and once to the left,
-so the longest extension either way is met.
+alone. Contexts are sorted once from the place to the right and once, within their
+first block, to the left, so the longest extension either way is met: ``ahead`` and ``behind`` of the best
+neighbours bound what any context of the same first block shares with a place.
+
+A neighbour with a longer match to one side can hide a partner that reaches
+``least`` words over both. Every passage holds a place with its whole first block,
+so what is left are windows of ``least`` words that hold it and lie within both
+bounds without lying in a match already found. Places with such open windows meet
+all places of their block by the hashes of the windows within the bounds, which
+are counted with partial aggregation; windows that two contexts have are matches.
 
 A passage is reported where a place and a neighbour agree on at least ``least``
 words. Passages are ranges of words of a document.
@@ -26,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinarium.llm import textscan
@@ -149,9 +157,10 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 MATCH = "code binary, ahead long, behind long, right binary, left binary"
 
 
-def _compare(least: int, ends: bool):
-    """Neighbours in a sorted run of contexts: both get the length of their match.
-    With ``ends``, the first and the last context follow, marked by ``ahead = -1``."""
+def _compare(least: int, gram: int, ends: bool):
+    """Neighbours in a sorted run of contexts that share their first block: both get
+    the length of their match, whether or not it makes a passage. With ``ends``, the first and the last context
+    follow, marked by ``ahead = -1``."""
     kinds = pa.schema([("code", pa.binary()), ("ahead", pa.int64()), ("behind", pa.int64()), ("right", pa.binary()), ("left", pa.binary())])
 
     def run(batches):
@@ -164,7 +173,7 @@ def _compare(least: int, ends: bool):
             table = table if last is None else pa.concat_tables([last, table])
             sides = [np.frombuffer(b"".join(table[name].to_pylist()), dtype=">u4").reshape(-1, least) for name in ("right", "left")]
             reach = [_agree(side[:-1], side[1:]) for side in sides]
-            hit = np.flatnonzero(reach[0] + reach[1] >= least)
+            hit = np.flatnonzero(reach[0] >= gram)
             for shift in (0, 1):
                 code = table["code"].combine_chunks().take(pa.array(hit + shift))
                 empty = pa.nulls(len(hit), pa.binary())
@@ -179,16 +188,67 @@ def _compare(least: int, ends: bool):
     return run
 
 
-def _neighbour_matches(contexts: DataFrame, order: list[str], least: int, name: str) -> DataFrame:
-    """``(code, ahead, behind)`` of contexts that match a neighbour in the order."""
+def _neighbour_matches(contexts: DataFrame, order: list, least: int, gram: int, name: str) -> DataFrame:
+    """``(code, ahead, behind)``: what contexts share with a neighbour in the order."""
     ordered = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = materialize(ordered.mapInArrow(_compare(least, True), MATCH), name)
+    found = materialize(ordered.mapInArrow(_compare(least, gram, True), MATCH), name)
     # Borders: two contexts per sorted partition, whatever the number of rows.
     borders = found.filter("ahead < 0").select("code", "right", "left").coalesce(1).sortWithinPartitions(*order)
-    across = borders.mapInArrow(_compare(least, False), MATCH)
+    across = borders.mapInArrow(_compare(least, gram, False), MATCH)
     return found.filter("ahead >= 0").unionByName(across).select("code", "ahead", "behind")
 
 
+def _window_hashes(least: int, gram: int):
+    """Arrow function: the windows of ``least`` words within the bounds of a context
+    that hold its first block, as their words before the place and their hash."""
+
+    def run(batches):
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=">u4").reshape(-1, least) for i in (1, 2)]
+            reach = [batch.column(i).to_numpy() for i in (3, 4)]
+            for low in range(0, len(batch), _PLACES):
+                right, left = [side[low : low + _PLACES] for side in sides]
+                ahead, behind = [side[low : low + _PLACES] for side in reach]
+                words = textscan.mix(np.concatenate((left[:, ::-1], right), axis=1).astype(np.uint64))
+                flat = textscan.run_hashes(words.ravel(), least)
+                begin = np.arange(len(right)) * 2 * least + least
+                for back in range(least - gram + 1):
+                    at = np.flatnonzero((back <= behind) & (least - back <= ahead))
+                    if len(at):
+                        code = batch.column(0).take(pa.array(low + at))
+                        columns = [code, pa.array(np.full(len(at), back)), pa.array(flat[begin[at] - back].view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, ["code", "back", "hash"])
+
+    return run
+
+
+def _block(gram: int) -> Column:
+    """The first block of a context."""
+    return F.substring("right", 1, 4 * gram)
+
+
+def _widest(reach: DataFrame) -> DataFrame:
+    """The longest reach of every context to each side."""
+    return reach.groupBy("code").agg(F.max("ahead").alias("ahead"), F.max("behind").alias("behind"))
+
+
+def _open_matches(contexts: DataFrame, bounds: DataFrame, matches: DataFrame, least: int, gram: int) -> DataFrame:
+    """``(code, ahead, behind)`` of the windows that a better neighbour to one side hides."""
+    known = matches.select("code", F.col("ahead").alias("_ahead"), F.col("behind").alias("_behind"))
+    bounds = bounds.filter(F.col("ahead") + F.col("behind") >= least).join(known, "code", "left")
+    widens = (F.coalesce("_ahead", F.lit(0)) < F.col("ahead")) | (F.coalesce("_behind", F.lit(0)) < F.least("behind", F.lit(least - gram)))
+    bounded = materialize(bounds.select("code", "ahead", "behind", widens.alias("open")), "bounds")
+    # Windows hold the whole first block, so that the contexts of a window share it.
+    wanted = contexts.join(bounded.filter("open"), "code").select(_block(gram).alias("block")).distinct()
+    wanted = materialize(wanted, "open-blocks")
+    asked = contexts.join(bounded, "code").withColumn("block", _block(gram)).join(wanted, "block", "left_semi")
+    windows = asked.select("code", "right", "left", "ahead", "behind").mapInArrow(_window_hashes(least, gram), "code binary, back long, hash long")
+    windows = materialize(windows, "open-windows")
+    shared = windows.groupBy("back", "hash").agg(F.count("*").alias("n")).filter("n > 1").select("back", "hash")
+    met = windows.join(materialize(shared, "met-windows"), ["back", "hash"])
+    return met.select("code", (F.lit(least) - F.col("back")).alias("ahead"), F.col("back").alias("behind"))
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``(row, id, start, stop)``: word ranges of passages that occur elsewhere."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("_text"))
@@ -201,9 +261,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     groups = materialize(groups, "context-groups")
     equal = groups.filter((F.col("n") > 1) & (F.col("ahead") + F.col("behind") >= least)).select("code", "ahead", "behind")
     contexts = materialize(_contexts_at(rows, groups.select("one.row", "one.pos"), least), "contexts")
-    ahead = _neighbour_matches(contexts, ["right", "left"], least, "sorted-right")
-    behind = _neighbour_matches(contexts, ["left", "right"], least, "sorted-left")
-    matches = equal.unionByName(ahead).unionByName(behind).distinct()
+    ahead = _neighbour_matches(contexts, ["right", "left"], least, gram, "sorted-right")
+    behind = _neighbour_matches(contexts, [_block(gram), "left", "right"], least, gram, "sorted-left")
+    near = ahead.unionByName(behind)
+    matches = equal.unionByName(near.filter(F.col("ahead") + F.col("behind") >= least))
+    matches = materialize(_widest(matches), "matches")
+    # All matches of a context hold its place, so their union is one range.
+    matches = _widest(matches.unionByName(_open_matches(contexts, _widest(near), matches, least, gram)))
+    # Written, so that the join has an exchange of its own and a frequent context can be split.
+    matches = materialize(matches, "widest")
     ranges = found.select("row", "pos", "code").join(matches, "code")
     ranges = ranges.select("row", (F.col("pos") - F.col("behind")).alias("start"), (F.col("pos") + F.col("ahead")).alias("stop")).distinct()
     return _merged(ranges).join(rows.select("row", "id"), "row")

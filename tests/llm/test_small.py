@@ -345,3 +345,27 @@ def test_repeated_passages(spark):
         got.setdefault(r.id, set()).update(range(r.start, r.stop))
     assert got == expected
     assert suffixes.report(frame(spark, [])).count() == 0
+
+
+def brute_repeats(texts, least=50):
+    words = {i: BLANK_WORDS.findall(t or "") for i, t in texts}
+    seen: dict = {}
+    for i, own in words.items():
+        for at in range(len(own) - least + 1):
+            seen.setdefault(tuple(own[at : at + least]), []).append((i, at))
+    out: dict = {}
+    for places in seen.values():
+        if len(places) > 1:
+            for i, at in places:
+                out.setdefault(i, set()).update(range(at, at + least))
+    return out
+
+
+def test_repeated_passages_of_recombined_blocks(spark):
+    """Frequent blocks in many combinations: better neighbours to one side hide the partners."""
+    pick, blocks = random.Random(8), [prose(700 + b, 9) for b in range(6)]
+    texts = [(i, " ".join(w for _ in range(24) for w in blocks[pick.randrange(6)])) for i in range(150)]
+    got: dict = {}
+    for r in suffixes.repeated_passages(frame(spark, texts)).collect():
+        got.setdefault(r.id, set()).update(range(r.start, r.stop))
+    assert got == brute_repeats(texts)
