@@ -326,6 +326,31 @@ def test_licenses(spark):
     assert licenses.report(frame(spark, []), known).count() == 0
 
 
+def test_license_variants(spark):
+    filler = " ".join(prose(2, 60))
+    gpl = licenses.TEMPLATES["gpl-3.0"]
+    whole = {name: text for name, text, _ in licenses.license_texts.entries() if len(text) > 600}
+    cases = [
+        ("Licensed under the MIT License", {"mit"}),
+        ("Licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa-4.0"}),
+        ("Licensed under CC BY-NC 4.0", {"cc-by-nc-4.0"}),
+        (gpl, {"gpl-3.0"}),
+        (gpl.replace("version 3", "version 2"), {"gpl-2.0"}),
+        (gpl.replace("General", "Lesser General"), {"lgpl-3.0"}),
+        (gpl.replace("General", "Affero General"), {"agpl-3.0"}),
+        ("Licensed under the Apache License, Version 1.1", set()),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", {"gpl-2.0"}),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", {"cc-by-nd-4.0"}),
+        (licenses.license_texts._MIT + f" {filler} Released under the Apache License, Version 2.0.", {"mit", "apache-2.0"}),
+    ]
+    cases += [(text, {name}) for name, text in whole.items()]
+    got = {}
+    for r in licenses.report(frame(spark, [(i, f"{filler} {t} {filler}") for i, (t, _) in enumerate(cases)]), licenses.templates(spark)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert [(t[:60], got.get(i, set())) for i, (t, _) in enumerate(cases)] == [(t[:60], e) for t, e in cases]
+    assert len(whole) >= 11
+
+
 def test_repeated_passages(spark):
     common, other = prose(1, 70), prose(2, 55)
     texts = [(i, " ".join(prose(10 + i, 30 + 5 * i) + common + prose(40 + i, 40))) for i in range(6)]
