@@ -7,7 +7,8 @@ the file of the input split they come from, so storing the index moves nothing.
 its rarest term first, its second rarest list is met on (item, document,
 diagonal), where diagonal = position - offset, and only the surviving
 diagonals meet the remaining lists. ``proximity_hits`` accepts terms near their
-expected place.
+expected place; ``report`` lists the items it finds beside those of exact windows,
+without a say in ``contaminated``.
 
 Only DataFrame functions are used.
 
@@ -28,6 +29,8 @@ from opinarium.llm.tables import prefilter
 from opinarium.session import broadcast_if_small, materialize
 
 WINDOW = 10
+# Words that a term of a near window may be off its place.
+SLOP = 2
 # A-Z are folded, every other ASCII byte outside 0-9 and a-z separates words.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -125,22 +128,30 @@ def proximity_hits(index: DataFrame, terms: DataFrame, slop: int, length: int =
     """``(item, begin, row, diagonal)``: windows whose terms all occur within
     ``slop`` words of their place relative to an occurrence of the rarest term.
 
-    Candidates come from the rarest list; each other term is met in blocks of
-    positions, so a posting meets the candidates of two or three blocks only.
+    Candidates come from the rarest list and meet the second rarest, only what is
+    left meets the other terms. Each term is met in blocks of positions, so a
+    posting meets the candidates of two or three blocks only.
     """
     ranked = ranked_terms(index, terms, length)
     anchors = ranked.filter("rank = 1").select("item", "begin", "length", "offset", "term")
     at = index.join(broadcast_if_small(anchors), "term").select("item", "begin", "length", "row", (F.col("pos") - F.col("offset")).alias("diagonal"))
-    others = ranked.filter("rank > 1").select("item", "begin", "offset", "term")
+    keys = ["item", "begin", "row", "diagonal"]
     width = max(slop, 1)
-    block = F.floor((F.col("diagonal") + F.col("offset")) / width)
-    asked = at.join(others, ["item", "begin"]).withColumn("_block", F.explode(F.array(block - 1, block, block + 1)))
     postings = index.select("term", "row", "pos", F.floor(F.col("pos") / width).alias("_block"))
-    near = asked.join(postings, ["term", "row", "_block"]).filter(F.abs(F.col("pos") - F.col("diagonal") - F.col("offset")) <= slop)
-    keys = ["item", "begin", "row", "diagonal"]
-    met = near.select(*keys, "length", "offset").distinct().groupBy(*keys, "length").agg(F.count("*").alias("_n"))
-    whole = met.filter(F.col("_n") == F.col("length") - 1).select(*keys)
-    return whole.unionByName(at.filter("length = 1").select(*keys).distinct())
+
+    def near(candidates: DataFrame, ranks: Column) -> DataFrame:
+        others = ranked.filter(ranks).select("item", "begin", "offset", "term")
+        block = F.floor((F.col("diagonal") + F.col("offset")) / width)
+        asked = candidates.join(broadcast_if_small(others), ["item", "begin"]).withColumn("_block", F.explode(F.array(block - 1, block, block + 1)))
+        met = asked.join(prefilter(postings, candidates, "row"), ["term", "row", "_block"])
+        met = met.filter(F.abs(F.col("pos") - F.col("diagonal") - F.col("offset")) <= slop)
+        return met.select(*keys, "length", "offset").distinct()
+
+    single = at.filter("length = 1").select(*keys).distinct()
+    pairs = materialize(near(at, F.col("rank") == 2).select(*keys, "length"), "near-pairs")
+    rest = near(pairs, F.col("rank") > 2).groupBy(*keys, "length").agg(F.count("*").alias("_n"))
+    whole = rest.filter(F.col("_n") == F.col("length") - 2).select(*keys)
+    return whole.unionByName(pairs.filter("length = 2").select(*keys)).unionByName(single)
 
 
 def covered(ranges: Column) -> Column:
@@ -157,8 +168,12 @@ def covered(ranges: Column) -> Column:
     )
 
 
-def report(docs: DataFrame, items: DataFrame, length: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: words, words inside matching windows and the items they come from."""
+def report(docs: DataFrame, items: DataFrame, length: int = WINDOW, doc_id: str = "doc_id", text: str = "text", slop: int | None = None) -> DataFrame:
+    """Per document: words, words inside matching windows and the items they come from.
+
+    With a ``slop``, ``n_near_items`` and ``near_items`` follow: the items with
+    a window whose terms all lie within ``slop`` words of their place, exact ones too.
+    """
     terms = test_terms(items, "item_id", "text")
     index = build_index(docs, terms, doc_id, text)
     names = broadcast_if_small(terms.select("item", "item_id").distinct())
@@ -169,7 +184,7 @@ def report(docs: DataFrame, items: DataFrame, length: int = WINDOW, doc_id: str
     )
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     joined = documents(index).join(found, "row", "left")
-    return joined.select(
+    columns = [
         F.col("doc_id").alias(doc_id),
         F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -177,4 +192,10 @@ def report(docs: DataFrame, items: DataFrame, length: int = WINDOW, doc_id: str
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0).cast("long")) > 0).alias("contaminated"),
         items_of.alias("items"),
-    )
+    ]
+    if slop is None:
+        return joined.select(*columns)
+    close = proximity_hits(index, terms, slop, length).select("row", "item").distinct().join(names, "item")
+    close = close.groupBy("row").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("_near"))
+    near_items = F.coalesce("_near", F.array().cast("array<string>"))
+    return joined.join(close, "row", "left").select(*columns, F.size(near_items).cast("long").alias("n_near_items"), near_items.alias("near_items"))

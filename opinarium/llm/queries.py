@@ -27,7 +27,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op1_decontamination(spark, d):
-    return decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("items")
+    return decontamination.report(table(spark, d, "documents"), table(spark, d, "benchmark"), slop=decontamination.SLOP).drop("items")
 
 
 @query

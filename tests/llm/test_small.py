@@ -83,6 +83,16 @@ def test_proximity(spark):
     assert near(1) == {1, 2} and near(4) == {1, 2, 3}
 
 
+def test_report_lists_near_items(spark):
+    passage = prose(1, 12)
+    bench = spark.createDataFrame([(1, " ".join(passage)), (2, "Two words"), (3, "solo")], "item_id long, text string")
+    inserted, far = [*passage[:6], "x", *passage[6:]], [*passage[:6], *"xxxxx", *passage[6:]]
+    texts = [(1, " ".join(passage)), (2, " ".join(inserted)), (3, " ".join(far)), (4, "two x words"), (5, "a solo"), (6, None), (None, " ".join(inserted))]
+    got = {r.doc_id: (r.contaminated, r.n_near_items, r.near_items) for r in decontamination.report(frame(spark, texts), bench, slop=decontamination.SLOP).collect()}
+    one = (False, 1, ["1"])
+    assert got == {1: (True, 1, ["1"]), 2: one, 3: (False, 0, []), 4: (False, 1, ["2"]), 5: (True, 1, ["3"]), 6: (False, 0, []), None: one}
+
+
 # --- similarity join ---------------------------------------------------------------
 
 
