@@ -19,7 +19,8 @@ each block group every class is verified against one leader, the member with
 the fewest shingles of its own; verified classes belong to their leader's
 cluster, and own shingles alone rule most other pairs out. Clusters that meet in a block group and are
 not connected yet compare their leaders, and only members whose measured distances
-to one of the leaders leave room for a link are compared. So no link between different classes is lost.
+to one of the leaders leave room for a link are compared. So no component is split;
+links inside a component are not all verified, and none are returned.
 
 Defined cases. Null and empty texts have no shingles, size 0 and link with
 nothing; texts with fewer words than a shingle are one shingle. Repeated rows
