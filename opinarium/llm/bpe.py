@@ -25,7 +25,6 @@ import json
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from opinarium.llm import textscan
 from opinarium.llm.columns import append
@@ -242,7 +241,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str |
 
         return compute
 
-    return append(docs.withColumn("_text", F.col(text)), "_text", fields, start).drop("_text")
+    return append(docs, text, fields, start)
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str, out: str = "decoded") -> DataFrame:
@@ -257,4 +256,4 @@ def decode_documents(docs: DataFrame, path: str, ids: str, out: str = "decoded")
 
         return compute
 
-    return append(docs.withColumn("_ids", F.col(ids)), "_ids", {out: "string"}, start).drop("_ids")
+    return append(docs, ids, {out: "string"}, start)

@@ -14,19 +14,32 @@ def append(df: DataFrame, text: str, fields: Mapping[str, str], start: Callable[
     """All columns of ``df`` with ``fields`` (name to DDL type) behind them.
 
     ``start()`` runs once per task and returns ``texts -> arrays``, one array per
-    field. Columns of ``df`` that clash with a field are replaced.
+    field. Columns of ``df`` that clash with a field are replaced, all others are
+    kept whatever their names are.
     """
-    kept = df.drop(*fields)
+    replaced = text.lower() in {name.lower() for name in fields}
+    source = unused(df, "texts") if replaced else text
+    kept = (df.withColumn(source, F.col(f"`{text}`")) if replaced else df).drop(*fields)
     added = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields.items()))
     schema = T.StructType([*kept.schema.fields, *added.fields])
 
     def run(batches):
         compute = start()
         for batch in batches:
-            made = compute(batch.column(batch.schema.get_field_index(text)))
+            made = compute(batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *fields])
 
-    return kept.mapInArrow(run, schema)
+    place = [name.lower() for name in kept.columns].index(source.lower())
+    out = kept.mapInArrow(run, schema)
+    return out.drop(source) if replaced else out
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {name.lower() for name in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
 def held_out(doc_id: Column) -> Column:

@@ -123,10 +123,10 @@ def log_scores(model: Model, data: np.ndarray, offsets: np.ndarray, letters: np.
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior of that language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else tuple(model))
 
     def start():
-        learned, letters = shared.value, _letters()
+        learned, letters = None if shared.value is None else Model(*shared.value), _letters()
 
         def compute(column):
             names, scores = [UNKNOWN] * len(column), np.zeros(len(column))
@@ -141,4 +141,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
         return compute
 
-    return append(docs.withColumn("_text", F.col(text)), "_text", {"lang_pred": "string", "score": "double"}, start).drop("_text")
+    return append(docs, text, {"lang_pred": "string", "score": "double"}, start)

@@ -18,7 +18,6 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from opinarium.llm import textscan
 from opinarium.llm.columns import append
@@ -120,4 +119,4 @@ def apply_rules(docs: DataFrame, text: str = "text", clean: str | None = None, m
 
         return compute
 
-    return append(docs.withColumn("_text", F.col(text)), "_text", fields, start).drop("_text")
+    return append(docs, text, fields, start)

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bpe, decontamination, jaccard, language, licenses, linerules, quality, secrets, sharding, suffixes
+from opinarium.llm import alignment, bpe, decontamination, jaccard, language, licenses, linerules, quality, secrets, sharding, simhash, spelling, suffixes
 from opinarium.llm.columns import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+OTHER_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 24
 
 
@@ -80,5 +81,20 @@ def op10_jaccard_join(spark, d):
     return jaccard.linked_components(table(spark, d, "documents"))
 
 
+@query
+def op11_simhash(spark, d):
+    return simhash.linked_components(table(spark, d, "documents"))
+
+
+@query
+def op12_token_alignment(spark, d):
+    return alignment.align(table(spark, d, "documents"), TOKENIZER, OTHER_TOKENIZER)
+
+
+@query
+def op13_spelling_variants(spark, d):
+    return spelling.variants(table(spark, d, "documents"), noise=True)
+
+
 def oracle_sql() -> dict[str, str]:
     return {}

@@ -29,7 +29,6 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from opinarium.llm.columns import append
 
@@ -177,5 +176,4 @@ def find_secrets(docs: DataFrame, text: str = "text", redact: str | None = None)
 
         return compute
 
-    source = docs.withColumn("_text", F.col(text))
-    return append(source, "_text", fields, start).drop("_text")
+    return append(docs, text, fields, start)
