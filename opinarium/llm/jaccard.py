@@ -14,13 +14,17 @@ belong to a size band; a text appears in its own band and in the lower bands
 whose partners it can have.
 A block of ``BLOCK_BITS`` bits is kept as a 64-bit code of its set bits.
 
-No group of equal blocks is expanded into pairs. Equal sets are one class. In
-each block group every class is verified against one leader, the member with
-the fewest shingles of its own; verified classes belong to their leader's
+All keys go through one exchange on the key; those that one class alone has, most of
+them, fall away there.
+
+Equal sets are one class. In each block group every class is verified against one leader,
+the member with the fewest shingles of its own; verified classes belong to their leader's
 cluster, and own shingles alone rule most other pairs out. Clusters that meet in a block group and are
 not connected yet compare their leaders, and only members whose measured distances
-to one of the leaders leave room for a link are compared. So no component is split;
-links inside a component are not all verified, and none are returned.
+to one of the leaders leave room for a link are compared. So no component is split.
+Links inside a component are not all verified, and none are returned or counted. Many texts
+from one template whose variable parts are shared by others, near each other but not
+linked, own no shingle and are all leaders: these are compared pair by pair.
 
 Defined cases. Null and empty texts have no shingles, size 0 and link with
 nothing; texts with fewer words than a shingle are one shingle. Repeated rows
@@ -36,10 +40,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium.llm import textscan
+from opinarium.llm.columns import unused
 from opinarium.llm.tables import components, prefilter
 from opinarium.session import materialize
 
@@ -159,8 +164,7 @@ _OUT_ROWS, _OUT_VALUES = 4096, 1 << 20
 
 
 def _describe(rule: Rule, sets: bool):
-    """Arrow function: ``row, id, text`` to sizes, set codes and sets or join keys with their needs."""
-    fields = ["list"] if sets else ["list", "needs"]
+    """Arrow function: ``row, id, text`` to sizes, set codes and sets or needs."""
 
     def run(batches):
         bands = rule.bands(1 << 10)
@@ -170,8 +174,7 @@ def _describe(rule: Rule, sets: bool):
             def flush():
                 own = batch.select([n for n in batch.schema.names if n != "_text"]).take(pa.array(keep, pa.int64()))
                 columns = [pa.array(sizes, pa.int64()), pa.array([c[0] for c in codes], pa.int64()), pa.array([c[1] for c in codes], pa.int64())]
-                columns += [_lists(list(arrays)) for arrays in zip(*lists)]
-                return pa.RecordBatch.from_arrays([*own.columns, *columns], [*own.schema.names, "n", "f1", "f2", *fields])
+                return pa.RecordBatch.from_arrays([*own.columns, *columns, _lists(lists)], [*own.schema.names, "n", "f1", "f2", "list"])
 
             for row, shingles in shingle_sets(batch.column(batch.schema.get_field_index("_text")), rule.shingle):
                 while len(shingles) >= bands[0][-1]:
@@ -179,8 +182,8 @@ def _describe(rule: Rule, sets: bool):
                 keep.append(row)
                 codes.append(set_code(shingles))
                 sizes.append(len(shingles))
-                lists.append((shingles,) if sets else sketch_keys(shingles, rule, bands))
-                held += len(lists[-1][0])
+                lists.append(shingles if sets else sketch_keys(shingles, rule, bands)[1])
+                held += len(lists[-1])
                 if len(keep) >= _OUT_ROWS or held >= _OUT_VALUES:
                     yield flush()
                     keep, codes, sizes, lists, held = [], [], [], [], 0
@@ -191,11 +194,52 @@ def _describe(rule: Rule, sets: bool):
 
 
 def signatures(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> DataFrame:
-    """Stored ``(row, id, n, f1, f2, list, needs)``: set size, set codes and sketch keys per row."""
+    """Stored ``(row, id, digest, n, f1, f2, needs)``: digest of the text, set size, set
+    codes and needs of the bands per row."""
     kind = docs.schema[id_column].dataType.simpleString()
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("_text"))
-    schema = f"row long, id {kind}, n long, f1 long, f2 long, list array<long>, needs array<long>"
-    return materialize(source.mapInArrow(_describe(rule, False), schema), "signatures")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("digest"), F.col(text_column).alias("_text"))
+    schema = f"row long, id {kind}, digest long, n long, f1 long, f2 long, list array<long>"
+    return materialize(source.mapInArrow(_describe(rule, False), schema).withColumnRenamed("list", "needs"), "signatures")
+
+
+def _keys(docs: DataFrame, rule: Rule, text_column: str) -> DataFrame:
+    """``(key, f1, g)`` of all join keys of every text, where f1 and g name its set.
+    A task gives the keys of equal sets once, so copies are few rows of a key."""
+
+    def run(batches):
+        bands = rule.bands(1 << 10)
+        met: set[tuple[int, int]] = set()
+        keys, names, held = [], [], 0
+
+        def flush():
+            sizes = [len(k) for k in keys]
+            columns = [np.concatenate(keys).view(np.int64), *[np.repeat(np.array(part), sizes) for part in zip(*names)]]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], ["key", "f1", "g"])
+
+        for batch in batches:
+            for _, shingles in shingle_sets(batch.column(0), rule.shingle):
+                while len(shingles) >= bands[0][-1]:
+                    bands = rule.bands(2 * len(shingles))
+                code = set_code(shingles)
+                if not len(shingles) or code in met:
+                    continue
+                met.add(code)
+                keys.append(sketch_keys(shingles, rule, bands)[0])
+                names.append((code[0], short_code(code[1])))
+                held += len(keys[-1])
+                if held >= _OUT_VALUES:
+                    yield flush()
+                    keys, names, held = [], [], 0
+        if keys:
+            yield flush()
+
+    return docs.select(text_column).mapInArrow(run, "key long, f1 long, g int")
+
+
+def short_code(code: int) -> int:
+    """The low 32 bits of a set code as a signed number; with the other code 96 bits name a set."""
+    low = code & 0xFFFFFFFF
+    return low - (1 << 32) if low >> 31 else low
 
 
 def _needed_sets(docs: DataFrame, needed: DataFrame, rule: Rule, id_column: str, text_column: str) -> DataFrame:
@@ -229,23 +273,30 @@ def _similar_size(rule: Rule, a: str, b: str) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
-def _shared(entries: DataFrame, name: str) -> DataFrame:
-    """Stored entries of the keys that two classes or more have."""
-    keys = entries.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    return materialize(entries.join(keys, "key"), name)
-
-
-def _block_groups(found: DataFrame, classes: DataFrame) -> DataFrame:
+def _block_groups(docs: DataFrame, rule: Rule, text_column: str, found: DataFrame, classes: DataFrame) -> DataFrame:
     """Stored ``(key, node, n)``: block groups with two classes or more, without the
-    classes that share too few blocks of a band to have a partner in it."""
-    keyed = found.join(classes.select("node"), found["row"] == classes["node"])
-    met = _shared(keyed.select("node", "n", F.explode("list").alias("key")), "shared-blocks")
+    classes that share too few blocks of a band to have a partner in it.
+
+    All keys go through one exchange, in which those of one class alone fall away;
+    what is left is a small part and meets its classes.
+    """
+    low = F.col("f2").bitwiseAND(F.lit(0xFFFFFFFF))
+    short = F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low).cast("int")
+    reps = found.join(classes.select("node"), found["row"] == classes["node"]).select("node", "n", "f1", short.alias("g"), "needs")
+    reps = materialize(reps, "representatives")
+    group = Window.partitionBy("key")
+    ends = {f"_{name}_{end.__name__}": end(name).over(group) for name in ("f1", "g") for end in (F.min, F.max)}
+    several = (F.col("_f1_min") != F.col("_f1_max")) | (F.col("_g_min") != F.col("_g_max"))
+    shared = _keys(docs, rule, text_column).withColumns(ends).filter(several).select("key", "f1", "g").distinct()
+    met = materialize(shared.join(reps.select("node", "n", "f1", "g"), ["f1", "g"]).select("key", "node", "n"), "shared-blocks")
     band = F.pmod(F.col("key"), F.lit(BANDS)).alias("band")
-    needs = keyed.select("node", F.explode("needs").alias("_need"))
+    needs = reps.select("node", F.explode("needs").alias("_need"))
     needs = needs.select("node", F.pmod(F.col("_need"), F.lit(BANDS)).alias("band"), F.floor(F.col("_need") / BANDS).alias("need"))
     counts = met.groupBy("node", band).agg(F.count("*").alias("met"))
     enough = counts.join(needs, ["node", "band"]).filter("met >= need").select("node", "band")
-    return _shared(met.select("*", band).join(enough, ["node", "band"], "left_semi").drop("band"), "blocks")
+    kept = met.select("*", band).join(enough, ["node", "band"], "left_semi").drop("band")
+    members = kept.withColumns({"_low": F.min("node").over(group), "_high": F.max("node").over(group)})
+    return materialize(members.filter("_low <> _high").select("key", "node", "n"), "blocks")
 
 
 def _with_slack(blocks: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -272,7 +323,7 @@ def links(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tupl
     nonempty = found.filter("n > 0")
     classes = nonempty.groupBy("f1", "f2").agg(F.min("row").alias("node"), F.min("id").alias("least_id"))
     classes = materialize(classes, "classes")
-    blocks = _block_groups(nonempty, classes)
+    blocks = _block_groups(docs, rule, text_column, nonempty, classes)
     rows = nonempty.select(F.col("row").alias("node"), "id", "f1", "f2")
     needed = materialize(blocks.select("node").distinct().join(rows, "node"), "needed")
     sets = _needed_sets(docs, needed, rule, id_column, text_column)
@@ -355,11 +406,16 @@ def _between_clusters(grey: DataFrame, placed: DataFrame, members: DataFrame, jo
     return checked.filter(_linked(rule)).select("a", "b").unionByName(measured.filter(_linked(rule)).select("a", "b"))
 
 
-def linked_components(docs: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)`` for every row of ``docs``."""
+def _rooted(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(signatures, ``(f1, f2, root, least_id)`` of every class): classes of one component have one root."""
     found, classes, edges = links(docs, rule, id_column, text_column)
     roots = components(edges, "roots")
-    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return found, classes.join(roots, "node", "left").select("f1", "f2", F.coalesce("root", "node").alias("root"), "least_id")
+
+
+def linked_components(docs: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(id, n_shingles, component_id)`` for every row of ``docs``."""
+    found, rooted = _rooted(docs, rule, id_column, text_column)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     members = rooted.join(least, "root").select("f1", "f2", "component_id")
     return (
@@ -370,19 +426,18 @@ def linked_components(docs: DataFrame, rule: Rule = Rule(), id_column: str = "do
 
 
 def keep_representatives(docs: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of every group of linked documents, the one with the smallest id.
-
-    Rows that share an id share its fate, and of those that also share their text
-    one stays. Documents without shingles and rows with a null id are linked with
-    nothing here and all stay, but equal null-id rows count once.
+    """One row of every group of linked rows: the smallest id (null ids last), and
+    of several texts under it one. Rows without shingles are linked with nothing and all stay.
     """
-    found = materialize(linked_components(docs, rule, id_column, text_column), "linked")
-    own = F.col(id_column)
-    ids = found.groupBy(id_column).agg(F.count("*").alias("_rows"), F.max(own.eqNullSafe(F.col("component_id")) | own.isNull()).alias("_stays"))
-    ids = materialize(ids.filter("_stays").select(F.col(id_column).alias("_id"), "_rows"), "kept")
-    matches = docs[id_column].eqNullSafe(F.col("_id"))
-    once = docs.join(ids.filter("_rows = 1"), matches, "left_semi")
-    repeated = ids.filter("_rows > 1")
-    if repeated.isEmpty():
-        return once
-    return once.unionByName(docs.join(repeated, matches, "left_semi").dropDuplicates([id_column, text_column]))
+    found, rooted = _rooted(docs, rule, id_column, text_column)
+    # Per class first: copies meet in partial aggregates, then few rows per component are left.
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")
+    best = found.filter("n > 0").groupBy("f1", "f2").agg(F.min(order).alias("best"), F.count("*").alias("rows"))
+    chosen = best.join(rooted, ["f1", "f2"]).groupBy("root").agg(F.min("best").alias("best"))
+    id_name, digest_name = unused(docs, "kept_id"), unused(docs, "kept_digest")
+    chosen = materialize(chosen.select(F.col("best.id").alias(id_name), F.col("best.digest").alias(digest_name)), "representatives")
+    bare = ~F.coalesce(F.col(f"`{text_column}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    same = docs[id_column].eqNullSafe(chosen[id_name]) & (F.xxhash64(docs[text_column]) == chosen[digest_name])
+    kept = docs.filter(~bare).join(chosen, same, "left_semi")
+    # Repeated rows: equal ids and equal texts, of which one stays.
+    return docs.filter(bare).unionByName(kept.dropDuplicates([id_column, text_column]))

@@ -66,7 +66,7 @@ def _checked(match: re.Match) -> bool:
 def _signed(match: re.Match) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(match[1] + b"=" * (-len(match[1]) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -125,13 +125,18 @@ def scan(text: str, keywords) -> list[Span]:
             if passes(match):
                 found.append((kind, match.start(), match.end()))
     if found and len(data) != len(text):
-        found = [(kind, *_code_points(data, start, end)) for kind, start, end in found]
+        found = _in_code_points(data, found)
     return sorted(found, key=lambda span: (span[1], KINDS.index(span[0])))
 
 
-def _code_points(data: bytes, start: int, end: int) -> tuple[int, int]:
-    first = len(data[:start].decode("utf-8", "surrogatepass"))
-    return first, first + end - start
+def _in_code_points(data: bytes, found: list[Span]) -> list[Span]:
+    """The spans counted in code points: one pass over the text, as spans are ASCII."""
+    out, at, points = [], 0, 0
+    for kind, start, end in sorted(found, key=lambda span: span[1]):
+        points += len(data[at:start].decode("utf-8", "surrogatepass"))
+        at = start
+        out.append((kind, points, points + end - start))
+    return out
 
 
 def joined(spans: list[Span]) -> str:

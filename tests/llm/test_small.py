@@ -41,6 +41,32 @@ def test_components(spark):
     assert components(edges.limit(0), "c").count() == 0
 
 
+def test_input_columns_of_any_name(spark):
+    """Columns named like those that operators once used inside are kept."""
+    rows = spark.createDataFrame([(1, "a text of some words", "kept", 5, "six", 7)], "doc_id long, text string, _text string, _id long, _clean string, texts long")
+    model = language.fit(spark.createDataFrame([(i, "a b c", "en") for i in range(9)], "doc_id long, text string, lang string"))
+    outs = [language.identify(rows, model), secrets.find_secrets(rows, redact="clean"), linerules.apply_rules(rows), bpe.encode_documents(rows, PATH), quality.score(rows, None)]
+    for out in outs:
+        row = out.collect()[0]
+        assert (row["_text"], row["_id"], row["_clean"], row["texts"]) == ("kept", 5, "six", 7)
+
+
+def test_secret_scan_survives_hostile_texts(spark):
+    import base64
+    import time
+
+    nested = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=")
+    head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    body = "A" * 30
+    npm = f"npm_{body}{secrets.base62_crc(body.encode()).decode()}"
+    texts = [f"eyJ{nested} {nested}.x.y", f"ü {head}.abc.def", f"é {npm} npm_{'B' * 36}", "ß token=12345678 " * 16_000]
+    begun = time.time()
+    out = [r.spans for r in secrets.find_secrets(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert time.time() - begun < 20
+    assert out[0] == "" and out[1] == f"jwt:2:{2 + len(head) + 8}" and out[2] == f"npm:2:{2 + len(npm)}"
+    assert out[3].split(",")[15_999] == f"assign:{17 * 15_999 + 2}:{17 * 15_999 + 16}"
+
+
 # --- decontamination ---------------------------------------------------------------
 
 
@@ -139,10 +165,25 @@ def test_jaccard_repeated_rows(spark):
     got = sorted((str(r.doc_id), r.component_id) for r in jaccard.linked_components(docs).collect())
     assert got == [("2", 2), ("5", 2), ("5", 2), ("7", 7), ("8", 8), ("None", 2)]
     kept = sorted(str(r.doc_id) for r in jaccard.keep_representatives(docs).collect())
-    assert kept == ["2", "7", "8", "None"]
+    assert kept == ["2", "7", "8"]
     assert jaccard.linked_components(docs.limit(0)).count() == 0
 
 
+def test_representatives_by_row(spark):
+    """Null ids come last, one id can have several texts, and repeated rows count once."""
+    words = prose(8, 60)
+    near = " ".join(words + ["more"])
+    other = " ".join(prose(9, 60))
+    rows = [(None, " ".join(words)), (None, near), (4, near), (4, " ".join(words)), (4, near), (None, other), (None, other + " "), (None, None), (None, None), (5, ""), (5, "\t")]
+    docs = spark.createDataFrame([(*row, 1, 2, "x", 3) for row in rows], "doc_id long, text string, _id long, kept_id long, _text string, n long")
+    out = jaccard.keep_representatives(docs)
+    assert out.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    assert [t for i, t in left if i == 4 and t] in ([near], [" ".join(words)])
+    assert [t.strip() for i, t in left if i is None and t] == [other]
+    assert len(left) == 6
+
+
 @pytest.mark.parametrize("rule", [jaccard.Rule(), jaccard.Rule(5, 80)])
 def test_sketch_bounds_difference(rule):
     pick = np.random.default_rng(1)
