@@ -1,9 +1,8 @@
 """The corpus pipeline: five stages over the documents.
 
 Quality, contamination and secrets are decided by the text of a row alone. In the
-similarity join rows that share an id share a decision, and of rows that also
-share their text one stays. Rows with a null id are kept unless their own content
-rejects them.
+similarity join one row of each group of linked rows stays, the smallest id first and
+null ids last.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinarium.llm import bpe, decontamination, jaccard, quality, secrets
+from opinarium.llm.columns import unused
 from opinarium.llm.queries import TOKENIZER
 from opinarium.session import broadcast_if_small, materialize
 
@@ -26,7 +26,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of documents linked by five-word shingles."""
+    """Keeps one row, of the smallest id, of every group of documents linked by five-word shingles."""
     return jaccard.keep_representatives(docs, NEAR)
 
 
@@ -46,9 +46,15 @@ def text_digest() -> Column:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; every document stays."""
-    found = secrets.find_secrets(docs, redact="_clean")
-    clean = {"text": F.col("_clean"), "n_chars": F.when(F.col("spans") != "", F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))}
-    return found.withColumns(clean).select(*docs.columns)
+    redacted = unused(docs, "redacted")
+    whole = unused(docs, "whole")
+    # The other columns travel in one, so that none can clash with the results of the scan.
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias(whole)
+    found = secrets.find_secrets(docs.select("text", others), redact=redacted)
+    text = F.col(redacted)
+    n_chars = F.when(F.col("spans") != "", F.char_length(text).cast("long")).otherwise(F.col(f"{whole}.n_chars"))
+    changed = {"text": text, "n_chars": n_chars}
+    return found.select(*[changed.get(c, F.col(f"{whole}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
