@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # A side is broadcast by hand only below this many bytes of payload.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Removes the shuffle files of a job at its end (Spark 4.1; unknown settings are ignored).
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -56,10 +59,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage for iterative jobs and survives the loss of executors.
+    Cuts the lineage for iterative jobs and survives the loss of executors. The shuffle
+    files of the job go when it ends, as nothing but the table is read from then on.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
