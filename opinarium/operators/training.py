@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinarium.operators.grid import Problem, fit_together, held_out_counts
 from opinarium.session import scratch_path
 
 # Searched strengths and class weights of the sparse models.
@@ -22,26 +20,10 @@ GRID_C = (0.01, 0.1, 1.0, 10.0)
 SPARSE_CLASS_WEIGHTS = {0: 2.5, 1: 1.0}
 
 
-class MacroF1(Evaluator):
+def macro_f1(tp: int, fp: int, fn: int, tn: int) -> float:
     """Unweighted mean of both classes' F1; 0 for a class that never occurs."""
-
-    def __init__(self, label: str = "label", prediction: str = "prediction"):
-        super().__init__()
-        self.label, self.prediction = label, prediction
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        y, p = F.col(self.label), F.col(self.prediction)
-        tp, fp, fn, tn = dataset.agg(
-            F.count_if((y == 1) & (p == 1)),
-            F.count_if((y == 0) & (p == 1)),
-            F.count_if((y == 1) & (p == 0)),
-            F.count_if((y == 0) & (p == 0)),
-        ).first()
-        scores = [2 * hit / (2 * hit + fp + fn) if hit else 0.0 for hit in (tp, tn)]
-        return sum(scores) / 2
-
-    def isLargerBetter(self) -> bool:
-        return True
+    scores = [2 * hit / (2 * hit + fp + fn) if hit else 0.0 for hit in (tp, tn)]
+    return float(sum(scores) / 2)
 
 
 def training_table(features: DataFrame, labels: DataFrame, key: str, class_weights: DataFrame) -> DataFrame:
@@ -101,33 +83,26 @@ class SearchResult:
     best_c: float
     best_f1: float
     scores: dict[float, float]
+    passes: int
 
 
-def grid_search(table: DataFrame, grid: Sequence[float] = GRID_C, max_iter: int = 1000, parallelism: int = 8) -> SearchResult:
+def grid_search(table: DataFrame, grid: Sequence[float] = GRID_C, max_iter: int = 1000) -> SearchResult:
     """Mean macro-F1 over the stratified folds in ``fold``; the best strength is
     refitted on all rows. The first of equal strengths wins.
 
-    Fits of different folds and strengths do not depend on each other and run
-    side by side. The penalty of each follows the weight of its own rows.
+    All (fold, strength) models are fitted together, one pass over the table per
+    step. The penalty of each follows the weight of its own rows.
     """
-    spark = table.sparkSession
     weights = dict(table.groupBy("fold").agg(F.sum("class_weight")).collect())
-    total = sum(weights.values())
-    metric = MacroF1()
-
-    def score(task: tuple[int, float]) -> float:
-        fold, c = task
-        estimator = _estimator(max_iter).setRegParam(ridge(c, total - weights[fold]))
-        model = estimator.fit(table.filter(F.col("fold") != fold))
-        return metric.evaluate(model.transform(table.filter(F.col("fold") == fold)))
-
+    total, size = sum(weights.values()), table.select("features").first()[0].size
     tasks = [(fold, c) for fold in sorted(weights) for c in grid]
-    with ThreadPool(min(parallelism, len(tasks))) as pool:
-        found = dict(zip(tasks, pool.map(inheritable_thread_target(spark)(score), tasks)))
+    problems = [Problem(fold, ridge(c, total - weights[fold])) for fold, c in tasks]
+    points, passes = fit_together(table, problems, size, max_iter)
+    found = dict(zip(tasks, map(macro_f1, *held_out_counts(table, problems, points))))
     scores = {c: sum(found[fold, c] for fold in weights) / len(weights) for c in grid}
     best = max(grid, key=lambda c: scores[c])
     model = _estimator(max_iter).setRegParam(ridge(best, total)).fit(table)
-    return SearchResult(model, best, scores[best], scores)
+    return SearchResult(model, best, scores[best], scores, passes)
 
 
 def coefficients(model: LogisticRegressionModel, vocabulary: DataFrame) -> DataFrame:
