@@ -28,6 +28,7 @@ own. Extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinarium.llm import textscan
-from opinarium.llm.bpe import Vocabulary
+from opinarium.llm.bpe import Encoder
 from opinarium.session import materialize
 
 # Bytes of text whose pairs are numbered together.
@@ -65,9 +66,12 @@ class Table(NamedTuple):
     data: np.ndarray
     start: np.ndarray
 
-    def tokens(self, rows: list[list[int]]) -> Tokens:
+    def tokens(self, rows: list) -> Tokens:
         first = np.concatenate(([0], np.cumsum([len(row) for row in rows], dtype=np.int64)))
-        ids = np.fromiter((i for row in rows for i in row), dtype=np.int64, count=int(first[-1]))
+        if rows and isinstance(rows[0], np.ndarray):
+            ids = np.concatenate(rows).astype(np.int64)
+        else:
+            ids = np.fromiter(itertools.chain.from_iterable(rows), dtype=np.int64, count=int(first[-1]))
         return Tokens(ids, first, self.start[ids + 1] - self.start[ids])
 
     def joined(self, tokens: Tokens) -> np.ndarray:
@@ -84,18 +88,12 @@ class Pair:
     """Both tokenizers and the bytes of their ids."""
 
     def __init__(self, path_a: str, path_b: str):
-        import os
-
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
-        vocabulary = Vocabulary(path_a)
-        self.table_a = Table(vocabulary.token_bytes, vocabulary.token_start)
+
+        self.a, self.b = Encoder(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        # Strings of special tokens are plain text.
+        self.a.special = None
+        self.table_a = Table(self.a.vocabulary.token_bytes, self.a.vocabulary.token_start)
         self.table_b = _table([self._piece(i) for i in range(self.b.get_piece_size())])
 
     def _piece(self, number: int) -> bytes:
@@ -105,7 +103,7 @@ class Pair:
     def encode(self, texts: list[str]) -> tuple[Tokens, Tokens]:
         """The tokens of A and B; none where they do not give back the text."""
         raw = [f" {text}" if text else "" for text in texts]
-        a = self.table_a.tokens([found.ids for found in self.a.encode_batch_fast(raw, add_special_tokens=False)])
+        a = self.table_a.tokens(self.a.encode(raw))
         b = self.table_b.tokens(self.b.encode(texts, num_threads=1))
         bodies = [text.encode("utf-8", "surrogatepass") for text in raw]
         sizes = np.array([len(body) for body in bodies], dtype=np.int64)
@@ -116,7 +114,8 @@ class Pair:
         a, b = a.of(whole), b.of(whole)
         want = np.frombuffer(b"".join([body for body, kept in zip(bodies, whole) if kept]), dtype=np.uint8)
         ends = np.cumsum(sizes[whole])
-        wrong = np.flatnonzero((self.table_a.joined(a) != want) | (self.table_b.joined(b) != want))
+        # A's pieces are cut from these bytes, so its lengths are enough.
+        wrong = np.flatnonzero(self.table_b.joined(b) != want)
         same = np.ones(len(ends), dtype=bool)
         same[np.searchsorted(ends, wrong, side="right")] = False
         a, b = a.of(same), b.of(same)
@@ -151,7 +150,8 @@ def coalesce(a: np.ndarray, b: np.ndarray) -> Alignment:
     opens = np.concatenate((np.ones(min(1, len(order)), dtype=bool), start[order][1:] >= reach[:-1]))
     group = np.empty(len(order), dtype=np.int64)
     group[order] = np.cumsum(opens)
-    order = np.lexsort((start, kind, group))
+    # By start already: within a group only the lists change places.
+    order = order[np.argsort(2 * group[order] + kind[order], kind="stable")]
     sorted_group = group[order]
     opens = np.concatenate((np.ones(min(1, len(order)), dtype=bool), sorted_group[1:] != sorted_group[:-1]))
     start_b, end_b = start[len(a) :], end[len(a) :]
