@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinarium.functions.scorers import Scorer, label_scorer
-from opinarium.functions.vectors import EncoderFactory, query_text
+from opinarium.functions.vectors import QUERY_INSTRUCTION, EncoderFactory, query_text
 from opinarium.operators.catalog import build_catalog, counted_catalog
 from opinarium.operators.features import embed
+from opinarium.operators.ranking import MIN_REVIEWS
 from opinarium.sources import artifacts
 
 
@@ -34,9 +37,16 @@ def build(
     limit: int | None = None,
     label_column: str = "pred_label",
     storefront_reviews: DataFrame | None = None,
+    recommend_min_reviews: int = MIN_REVIEWS,
+    positive_threshold: float = 4,
+    sources: Sequence[str] = (),
 ) -> dict[str, int]:
     """Writes scores, corpus, storefront and a build record under ``path``.
 
+    The record holds the model and its vector dimension, the query instruction, the
+    review minima, the rating threshold, the label column, the names in ``sources``
+    the labels come from, and the counts.
+
     All tables are made in the shared folder first and counted on the way; what
     is at ``path`` is replaced only when none of them is empty.
     """
@@ -51,6 +61,15 @@ def build(
     artifacts.write_sentiment_scores(reviews, f"{path}/sentiment_scores", label_column)
     for name, table in made.items():
         artifacts.write_corpus(table, f"{path}/{name}")
-    record = {"model": model, "min_reviews": min_reviews, "label_column": label_column}
+    record = {
+        "model": model,
+        "dimension": len(made["corpus"].select("embedding").first()[0]),
+        "query_instruction": QUERY_INSTRUCTION,
+        "min_reviews": min_reviews,
+        "recommend_min_reviews": recommend_min_reviews,
+        "positive_threshold": positive_threshold,
+        "label_column": label_column,
+        "label_sources": ",".join(sources),
+    }
     artifacts.write_record(spark, record | {f"{n}_products": c for n, c in counts.items()}, f"{path}/build")
     return counts

@@ -118,6 +118,9 @@ def test_failed_build_keeps_the_old_one(spark, corpus_reviews, tmp_path):
     with pytest.raises(ValueError):
         build.build(corpus_reviews, path, seeded_encoder(), "seeded", rating_scorer(), min_reviews=99)
     assert artifacts.load_corpus(spark, f"{path}/corpus").count() == 3
+    record = spark.read.json(f"{path}/build").first().asDict()
+    assert (record["dimension"], record["recommend_min_reviews"], record["positive_threshold"], record["label_sources"]) == (16, 5, 4, "")
+    assert record["query_instruction"] == vectors.QUERY_INSTRUCTION and record["corpus_products"] == 3 and record["built_at"].endswith("Z")
 
 
 def test_nearest_first(spark):
