@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinarium.operators import features, scoring, splits, training
 from opinarium.operators.sentiment import class_weights
 from opinarium.session import materialize
+from opinarium.sources import artifacts
 
 
 @dataclass(frozen=True)
@@ -65,3 +66,17 @@ def scored_reviews(docs: DataFrame, model: SparseModel, key: str, text: str) ->
     """All columns of the documents plus label and probability, the input of the
     per-product scores and the catalog."""
     return docs.drop("pred_label", "pred_prob").join(score(docs, model, key, text), key)
+
+
+def save(model: SparseModel, path: str) -> None:
+    """Vocabulary, classifier and a record of n-gram mode, strength and search score."""
+    training.save_model(model.classifier, model.vocabulary, path)
+    record = {"mode": model.mode, "best_c": float(model.best_c), "cv_f1": float(model.cv_f1)}
+    artifacts.write_record(model.vocabulary.sparkSession, record, f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str) -> SparseModel:
+    """A model written by :func:`save`, ready to score."""
+    classifier, vocabulary = training.load_model(spark, path)
+    row = spark.read.schema("mode string, best_c double, cv_f1 double").json(f"{path}/settings").first()
+    return SparseModel(row["mode"], vocabulary, classifier, row["best_c"], row["cv_f1"])

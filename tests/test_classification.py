@@ -81,9 +81,9 @@ def test_train_score_save_load(spark, reviews, tmp_path):
     truth = {r.doc: r.polarity for r in reviews.collect()}
     assert all(got[d].pred_label == y for d, y in truth.items() if y is not None)
     assert got[1000].pred_prob == got[1001].pred_prob
-    training.save_model(model.classifier, model.vocabulary, str(tmp_path / "m"))
-    classifier, vocabulary = training.load_model(spark, str(tmp_path / "m"))
-    again = sentiment.SparseModel("unigrams", vocabulary, classifier, model.best_c, model.cv_f1)
+    sentiment.save(model, str(tmp_path / "m"))
+    again = sentiment.load(spark, str(tmp_path / "m"))
+    assert (again.mode, again.best_c, again.cv_f1) == ("unigrams", model.best_c, model.cv_f1)
     assert {r.doc: r.pred_prob for r in sentiment.score(reviews, again, "doc", "body").collect()} == {d: r.pred_prob for d, r in got.items()}
 
 
