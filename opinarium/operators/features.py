@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium.functions import text
+from opinarium.functions.dictionary import load_if_small, one_per_key, replace, unit_weights
 from opinarium.functions.vectors import EncoderFactory, encode
-from opinarium.session import broadcast_if_small
+from opinarium.session import materialize
 
 MAX_FEATURES = 50_000
 
@@ -17,19 +18,32 @@ MAX_FEATURES = 50_000
 def lemmatize(docs: DataFrame, key: str, column: str, lemmas: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """Adds ``lemmas``: alphabetic tokens replaced by their lemma from the
     ``(form, lemma)`` table, in text order, without those whose lowercased lemma
-    is a stop word."""
-    lemmas = broadcast_if_small(lemmas, F.col("form"), F.col("lemma"))
+    is a stop word; of several lemmas of a form the smallest counts.
+
+    Null and empty texts give an empty one. Tokens stay in their row: the table,
+    if its measured size allows, goes to the documents. ``key`` need not be unique then.
+    """
     stops = [word.lower() for word in stop_words]
+    lemmas = one_per_key(lemmas.select("form", "lemma"), "form", "lemma", "lemmas")
+    table = load_if_small(lemmas, "form", ["lemma"])
+    if table is None:
+        return _lemmatize_by_join(docs, key, column, lemmas, stops)
+    tokens = docs.select(F.col(key), text.alphabetic_tokens(F.col(column)).alias("_tokens"))
+    found = replace(tokens, key, "_tokens", table, "form", "lemma", "lemmas")
+    return found.select(key, F.array_join(F.filter("lemmas", lambda word: ~F.lower(word).isin(stops)), " ").alias("lemmas"))
+
+
+def _lemmatize_by_join(docs: DataFrame, key: str, column: str, lemmas: DataFrame, stops: Sequence[str]) -> DataFrame:
+    """For a lemma table too large to send out: tokens meet it in a join."""
     tokens = docs.select(F.col(key), F.posexplode_outer(text.alphabetic_tokens(F.col(column))).alias("_at", "form"))
     lemma = F.coalesce("lemma", "form")
     kept = F.when(F.col("form").isNotNull() & ~F.lower(lemma).isin(stops), F.struct("_at", lemma.alias("lemma")))
-    joined = (
+    return (
         tokens.join(lemmas, "form", "left")
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(kept)).alias("_kept"))
         .select(key, F.array_join(F.col("_kept.lemma"), " ").alias("lemmas"))
     )
-    return joined
 
 
 def document_terms(docs: DataFrame, key: str, column: str, mode: str = "both") -> DataFrame:
@@ -44,21 +58,45 @@ def fit_vocabulary(terms: DataFrame, min_df: int = 2, max_features: int | None =
     """``(term, df, tf, idf)`` of the terms in at least ``min_df`` documents, the
     ``max_features`` most frequent ones (ties by term).
 
-    One shuffle, on the term, after a map-side sum. ``terms`` are the training
-    documents only. The outer form of ``inline`` is used throughout because the
-    inner one makes the optimizer add a filter that counts all terms twice.
+    One pass over the documents and one shuffle, on the term, after a map-side
+    sum; the number of documents comes out of the same sums as the count of a
+    null term, and the counts are written. ``terms`` are the training documents
+    only. The outer form of ``inline`` is used throughout because the inner one
+    makes the optimizer add a filter that counts all terms twice.
     """
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
     counts = (
-        terms.select(F.inline_outer("terms"))
-        .filter(F.col("term").isNotNull())
+        terms.select(F.inline_outer(F.concat("terms", marker)))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-        .filter(F.col("df") >= min_df)
+        .filter((F.col("df") >= min_df) | F.col("term").isNull())
     )
+    counts = materialize(counts, "term-counts")
+    row = counts.filter(F.col("term").isNull()).first()
+    documents = row["df"] if row else 0
+    counts = counts.filter(F.col("term").isNotNull())
     if max_features is not None:
-        counts = counts.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
-    documents = terms.select(F.count(F.lit(1))).scalar()
-    return counts.withColumn("idf", F.log((F.lit(1.0) + documents) / (F.lit(1.0) + F.col("df"))) + 1.0)
+        counts = most_frequent(counts, max_features)
+    return counts.withColumn("idf", F.log(F.lit(1.0 + documents) / (F.lit(1.0) + F.col("df"))) + 1.0)
+
+
+def most_frequent(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows ``(term, tf, ...)`` of largest ``tf``, ties by term.
+
+    A histogram of ``tf`` finds the value at which the cut falls; rows above it
+    stay without being ordered and only rows at the cut are ranked. The driver
+    sees at most ``n`` distinct values.
+    """
+    sizes = counts.groupBy("tf").agg(F.count(F.lit(1)).alias("terms")).orderBy(F.desc("tf")).limit(max(n, 1)).collect()
+    above = 0
+    for row in sizes:
+        if above + row["terms"] > n:
+            at_cut = counts.filter(F.col("tf") == row["tf"]).orderBy("term").limit(n - above)
+            return counts.filter(F.col("tf") > row["tf"]).unionByName(at_cut)
+        above += row["terms"]
+        if above == n:
+            return counts.filter(F.col("tf") >= row["tf"])
+    return counts
 
 
 def index_vocabulary(vocabulary: DataFrame) -> DataFrame:
@@ -73,7 +111,19 @@ def raw_weight(tf: Column, idf: Column) -> Column:
 
 def tfidf(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """``(key, term, weight)`` with sublinear tf, smoothed idf and rows of unit
-    length. Terms outside the vocabulary drop out before the only shuffle."""
+    length. Terms outside the vocabulary drop out.
+
+    A vocabulary of small measured size goes to the documents and nothing is
+    shuffled; a larger one is joined and the cells meet again by document.
+    """
+    table = load_if_small(vocabulary, "term", ["idf"])
+    if table is not None:
+        weights = unit_weights(terms, key, "terms", table, "_cells")
+        return weights.select(key, F.inline_outer("_cells")).filter(F.col("term").isNotNull())
+    return _tfidf_by_join(terms, vocabulary, key)
+
+
+def _tfidf_by_join(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     weighted = (
         terms.select(key, F.inline_outer("terms"))
         .join(vocabulary.select("term", "idf"), "term")

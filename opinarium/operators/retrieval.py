@@ -1,4 +1,5 @@
-"""Similarity search: exact top-K and cell-probing approximate top-K.
+"""Similarity search: exact top-K, exact top-K with pruned cells, and approximate
+top-K with calibrated probes.
 
 A block of query vectors meets a block of product vectors as one matrix product
 inside a task, and only the K best of each query leave it. Pairs are never rows.
@@ -201,13 +202,30 @@ def _search_sides(queries, corpus, min_reviews, query_id, query_vector, product_
     return schema, queries, eligible(corpus, min_reviews).filter(F.col(vector).isNotNull()).select(product_id, vector)
 
 
-def train_cells(corpus: DataFrame, n_cells: int, vector: str = "embedding", seed: int = 42, max_iter: int = 20) -> np.ndarray:
-    """Unit centroids of ``n_cells`` cells; the only thing the driver holds."""
+# The centroids of an index, one unit row per cell; all that the driver holds.
+Cells = np.ndarray
+
+
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.where(length == 0.0, 1.0, length)
+
+
+def train_cells(corpus: DataFrame, n_cells: int, vector: str = "embedding", seed: int = 42, max_iter: int = 20) -> Cells:
+    """Centroids of ``n_cells`` cells by k-means over all vectors."""
     points = corpus.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter).fit(points)
-    centers = np.asarray(model.clusterCenters())
-    length = np.linalg.norm(centers, axis=1, keepdims=True)
-    return centers / np.where(length == 0.0, 1.0, length)
+    return _unit_rows(np.asarray(model.clusterCenters()))
+
+
+def sample_cells(corpus: DataFrame, n_cells: int, product_id: str = "product_id", vector: str = "embedding") -> Cells:
+    """Centroids in one cheap job: the different vectors among the ``4 * n_cells``
+    products of least id digest, at most ``n_cells`` of them. Does not depend on
+    partitioning."""
+    least = corpus.filter(F.col(vector).isNotNull()).select(F.col(vector), F.md5(F.col(product_id).cast("string")).alias("_draw"), product_id)
+    rows = least.orderBy("_draw", product_id).limit(4 * n_cells).collect()
+    vectors = list(dict.fromkeys(tuple(row[0]) for row in rows))[:n_cells]
+    return _unit_rows(np.array(vectors, dtype=np.float64)) if vectors else np.zeros((0, 1))
 
 
 def nearest_cells(vector: Column, centroids: np.ndarray, n: int = 1) -> Column:
@@ -257,6 +275,148 @@ def approximate_topk(
     return _top(_in_blocks(queries, corpus, schema, k, query_block, product_block), k, query_id, product_id)
 
 
+def calibrate_probes(
+    queries: DataFrame,
+    corpus: DataFrame,
+    centroids: Cells,
+    k: int = 50,
+    target: float = 0.95,
+    sample: int = 256,
+    min_reviews: int = 1,
+    query_id: str = "query_id",
+    query_vector: str = "query_vector",
+    product_id: str = "product_id",
+    vector: str = "embedding",
+) -> int:
+    """The least number of probes with which the ``sample`` queries of least id
+    digest (at most ``MAX_QUERIES``) find a share of ``target`` of their exact lists.
+
+    Only the calibration is on a sample: the exact lists it is measured against
+    are over the whole corpus. No queries or no products give one probe.
+    """
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(query_id, query_vector)
+    asked = asked.orderBy(F.md5(F.col(query_id).cast("string")), query_id).limit(sample)
+    asked = materialize(asked, "calibration")
+    exact = topk_few(asked, corpus, k, min_reviews, query_id, query_vector, product_id, vector)
+    order = asked.select(query_id, nearest_cells(F.col(query_vector), centroids, len(centroids)).alias("_order"))
+    placed = exact.join(order, query_id).join(corpus.select(product_id, F.col(vector).alias("_vector")), product_id)
+    own = nearest_cells(F.col("_vector"), centroids).getItem(0)
+    place = placed.select("_order", own.alias("_cell")).select(F.array_position("_order", F.col("_cell")).alias("place"))
+    sizes = {row["place"]: row["count"] for row in place.groupBy("place").count().collect()}
+    wanted, found = target * sum(sizes.values()), 0
+    for probes in range(1, len(centroids) + 1):
+        found += sizes.get(probes, 0)
+        if found >= wanted:
+            return probes
+    return max(1, len(centroids))
+
+
+# Slack of a bound: rounding of a similarity, and the ties that go by id.
+_BOUND_SLACK = 1e-9
+
+
+def _cell_bounds(vectors: np.ndarray, centroids: Cells, stats: np.ndarray) -> np.ndarray:
+    """Upper bounds (query, cell) of the similarity to any product of the cell.
+
+    ``stats`` has the largest angle to the centroid, the least and the largest
+    length of each cell. By the triangle inequality of angles no product is
+    nearer to the query than the angle to the centroid less that largest angle.
+    """
+    widest, shortest, longest = stats.T
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    cosine = np.clip(vectors @ centroids.T / np.where(length == 0.0, 1.0, length), -1.0, 1.0)
+    best = np.cos(np.maximum(np.arccos(cosine) - widest, 0.0))
+    return length * np.where(best >= 0, longest, shortest) * best
+
+
+def _stats(corpus: DataFrame, centroids: Cells, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, bounds data) of the cells, gathered by partial aggregates."""
+
+    @F.arrow_udf("struct<angle double, length double>")
+    def measure(vectors: pa.Array, cells: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.struct([("angle", pa.float64()), ("length", pa.float64())]))
+        matrix, own = _matrix(vectors), centroids[cells.to_numpy(zero_copy_only=False)]
+        length = np.linalg.norm(matrix, axis=1)
+        cosine = np.einsum("ij,ij->i", matrix, own) / np.where(length == 0.0, 1.0, length)
+        angle = np.arccos(np.clip(cosine, -1.0, 1.0))
+        return pa.StructArray.from_arrays([pa.array(angle), pa.array(length)], ["angle", "length"])
+
+    measured = corpus.select("_cell", measure(F.col(vector), F.col("_cell")).alias("m"))
+    rows = measured.groupBy("_cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("m.angle").alias("angle"), F.min("m.length").alias("least"), F.max("m.length").alias("most")
+    )
+    counts, stats = np.zeros(len(centroids), dtype=np.int64), np.zeros((len(centroids), 3))
+    for row in rows.collect():
+        counts[row["_cell"]], stats[row["_cell"]] = row["n"], (row["angle"] + _BOUND_SLACK, row["least"], row["most"])
+    return counts, stats
+
+
+def pruned_topk(
+    queries: DataFrame,
+    corpus: DataFrame,
+    centroids: Cells,
+    k: int = 50,
+    min_reviews: int = 1,
+    query_id: str = "query_id",
+    query_vector: str = "query_vector",
+    product_id: str = "product_id",
+    vector: str = "embedding",
+    query_block: int = QUERY_BLOCK,
+    product_block: int = PRODUCT_BLOCK,
+    effort: list | None = None,
+) -> DataFrame:
+    """The exact list of :func:`topk` without the cells that cannot add to it.
+
+    First every query visits the cells of highest bound until they hold ``k``
+    products. Its K-th similarity then closes all cells with a lower bound, and
+    only open ones are visited. Ties are kept, as a bound equal to the K-th
+    similarity leaves a cell open. Vectors may have any length; null ones are
+    left out. ``effort``, if given, gets the number of (query, cell) pairs
+    visited and the number of all pairs with a product in the cell.
+    """
+    schema, queries, corpus = _search_sides(queries, corpus, min_reviews, query_id, query_vector, product_id, vector)
+    if not len(centroids):
+        return queries.sparkSession.createDataFrame([], schema)
+    own = nearest_cells(F.col(vector), centroids).getItem(0).alias("_cell")
+    corpus = materialize(corpus.select(product_id, vector, own), "cells")
+    counts, stats = _stats(corpus, centroids, vector)
+    filled = counts > 0
+
+    @F.arrow_udf("array<int>")
+    def first_cells(vectors: pa.Array) -> pa.Array:
+        if not len(vectors) or not filled.any():
+            return pa.array([[]] * len(vectors), pa.list_(pa.int32()))
+        bounds = np.where(filled, _cell_bounds(_matrix(vectors), centroids, stats), -np.inf)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        before = np.cumsum(counts[order], axis=1) - counts[order]
+        return pa.array([list(cells[(held < k) & filled[cells]]) for cells, held in zip(order, before)], pa.list_(pa.int32()))
+
+    @F.arrow_udf("array<int>")
+    def open_cells(vectors: pa.Array, floors: pa.Array, seen: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.int32()))
+        floor = floors.to_numpy(zero_copy_only=False)[:, None]
+        still = filled & (_cell_bounds(_matrix(vectors), centroids, stats) >= floor - _BOUND_SLACK)
+        for row, cells in enumerate(seen.to_pylist()):
+            still[row, cells] = False
+        return pa.array([np.flatnonzero(row).astype(np.int32) for row in still], pa.list_(pa.int32()))
+
+    asked = materialize(queries.withColumn("_first", first_cells(F.col(query_vector))), "search-queries")
+    near = asked.select(query_id, query_vector, F.explode("_first").alias("_cell"))
+    found = _top(_in_blocks(near, corpus, schema, k, query_block, product_block), k, query_id, product_id)
+    found = materialize(found, "first-cells")
+    # A list that is not full yet has visited every cell with a product.
+    floors = found.groupBy(query_id).agg(F.min("similarity").alias("_floor"))
+    left = asked.join(floors, query_id).select(query_id, query_vector, open_cells(F.col(query_vector), "_floor", "_first").alias("_open"))
+    rest = materialize(left.select(query_id, query_vector, F.explode("_open").alias("_cell")), "open-cells")
+    if effort is not None:
+        pairs = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("_first")), F.lit(0))).first()
+        effort += [pairs[1] + rest.count(), pairs[0] * int(filled.sum())]
+    more = _in_blocks(rest, corpus, schema, k, query_block, product_block)
+    return _top(found.unionByName(more), k, query_id, product_id)
+
+
 def rescore(
     hits: DataFrame,
     queries: DataFrame,

@@ -7,26 +7,32 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinarium.functions.dictionary import linear_margins, load_if_small
 from opinarium.functions.labels import parse_answer
 from opinarium.functions.text import clean_field
 from opinarium.operators.features import raw_weight
-from opinarium.session import broadcast_if_small, materialize
+from opinarium.session import materialize
 
 
 def score_terms(terms: DataFrame, coefficients: DataFrame, intercept: float, key: str) -> DataFrame:
-    """``(key, pred_label, pred_prob)`` of every document under a linear model.
+    """``(key, pred_label, pred_prob)`` of every document under a linear model
+    ``(term, idf, coefficient)``. Documents without a known term score the intercept.
 
-    The unit-length weights never exist as a table: numerator and squared length
-    are two sums per document, finished on the map side, so the shuffle carries
-    one row per document. Documents without a known term score the intercept.
+    A model of small measured size is looked up inside the row. For a larger one
+    the sums of numerator and squared length meet by document, finished on the
+    map side, so the shuffle carries one row per document.
     """
-    # Written first: then its size is known before the words would be shuffled.
-    coefficients = broadcast_if_small(materialize(coefficients, "coefficients"), F.col("term"))
+    # Written first: it is measured and then read again.
+    coefficients = materialize(coefficients.select("term", "idf", F.col("coefficient").cast("double").alias("coefficient")), "coefficients")
+    model = load_model(coefficients)
+    if model is not None:
+        return score_rows(terms, model, intercept, key)
     raw = raw_weight(F.col("tf"), F.col("idf"))
     sums = (
         terms.select(key, F.inline_outer("terms"))
@@ -34,8 +40,24 @@ def score_terms(terms: DataFrame, coefficients: DataFrame, intercept: float, key
         .groupBy(key)
         .agg(F.sum(raw * F.col("coefficient")).alias("s"), F.sum(raw * raw).alias("q"))
     )
-    margin = F.coalesce(F.try_divide(F.col("s"), F.sqrt("q")), F.lit(0.0)) + F.lit(float(intercept))
-    return sums.select(
+    margin = F.coalesce(F.try_divide(F.col("s"), F.sqrt("q")), F.lit(0.0))
+    return _decide(sums.select(key, margin.alias("margin")), intercept, key)
+
+
+def load_model(coefficients: DataFrame) -> pa.Table | None:
+    """A linear model for :func:`score_rows`, or None if it is too large to send out."""
+    return load_if_small(coefficients, "term", ["idf", "coefficient"])
+
+
+def score_rows(terms: DataFrame, model: pa.Table, intercept: float, key: str) -> DataFrame:
+    """:func:`score_terms` of a loaded model: every row by itself, so it also runs
+    on a stream in append mode."""
+    return _decide(linear_margins(terms, key, "terms", model, "margin"), intercept, key)
+
+
+def _decide(margins: DataFrame, intercept: float, key: str) -> DataFrame:
+    margin = F.col("margin") + F.lit(float(intercept))
+    return margins.select(
         key,
         (margin > 0).cast("int").alias("pred_label"),
         F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)), 4).alias("pred_prob"),

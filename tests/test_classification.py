@@ -100,6 +100,25 @@ def test_relational_scores_equal_the_vector_model(spark, reviews):
     assert all(mine[d] == pytest.approx(p, abs=1e-4) for d, p in direct.items())
 
 
+def test_scores_in_the_row_equal_those_by_join_also_on_a_stream(spark, tmp_path, monkeypatch):
+    from opinarium.operators import features
+
+    docs = spark.createDataFrame([(1, "aa aa bb"), (2, "cc"), (3, None), (4, "zz"), (5, "bb cc aa")], "doc long, body string")
+    terms = features.document_terms(docs, "doc", "body", "both")
+    weights = spark.createDataFrame([("aa", 1.5, 2.0), ("bb", 1.0, -1.0), ("aa bb", 2.0, 0.5)], "term string, idf double, coefficient double")
+    rows = sorted(scoring.score_terms(terms, weights, -0.25, "doc").collect())
+    model = scoring.load_model(weights)
+    monkeypatch.setattr(scoring, "load_model", lambda coefficients: None)
+    assert rows == sorted(scoring.score_terms(terms, weights, -0.25, "doc").collect()) and len(rows) == 5
+
+    source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    score = lambda part: scoring.score_rows(features.document_terms(part, "doc", "body", "both"), model, -0.25, "doc")
+    for part in (docs.filter("doc < 3"), docs.filter("doc >= 3")):  # the second run is a restart between files
+        part.coalesce(1).write.mode("append").parquet(source)
+        score_arrivals(spark, source, docs.schema, score, sink, check, 1).awaitTermination()
+    assert sorted(spark.read.parquet(sink).select("doc", "pred_label", "pred_prob").collect()) == rows
+
+
 def test_champion(spark):
     df = spark.createDataFrame([("a", "val", 0.99), ("a", "test", 0.9), ("c", "test", 0.95), ("b", "test", 0.95)], "model string, split string, f1_macro double")
     assert training.champion(df).first().model == "b"

@@ -98,6 +98,52 @@ def test_probing_every_cell_is_exact_and_few_cells_recall_well(points):
     assert retrieval.recall(some, exact).agg(F.avg("recall")).first()[0] > 0.8
 
 
+def test_pruned_search_is_exact_and_skips_cells(spark, points):
+    rows, corpus, queries = points
+    for cells in (retrieval.sample_cells(corpus, 6), retrieval.train_cells(corpus, 6)):
+        effort = []
+        assert lists(retrieval.pruned_topk(queries, corpus, cells, k=7, effort=effort, product_block=40)) == brute(rows, 7)
+        assert effort[0] <= effort[1]
+        assert lists(retrieval.pruned_topk(queries, corpus, cells, k=7, min_reviews=6)) == brute(rows, 7, 6)
+    # Fewer products than k, no queries, no products.
+    assert all(len(v) == 30 for v in lists(retrieval.pruned_topk(queries, corpus, cells, k=50, min_reviews=9)).values())
+    assert retrieval.pruned_topk(queries.filter("false"), corpus, cells).count() == 0
+    assert retrieval.pruned_topk(queries, corpus.filter("false"), cells).count() == 0
+    assert retrieval.pruned_topk(queries, corpus, retrieval.sample_cells(corpus.filter("false"), 4)).count() == 0
+
+
+def test_pruned_search_of_clusters_and_any_length(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((8, 16))
+    base = np.repeat(centers, 40, axis=0) + 0.05 * rng.standard_normal((320, 16))
+    base *= rng.uniform(0.5, 2.0, (320, 1))
+    base[7] = 0.0
+    rows = [(f"p{i:03d}", [float(x) for x in np.float32(v)], 1) for i, v in enumerate(base)]
+    corpus = spark.createDataFrame(rows, "product_id string, embedding array<float>, num_reviews long")
+    queries = corpus.select(F.col("product_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    effort = []
+    found = retrieval.pruned_topk(queries, corpus, retrieval.train_cells(corpus.filter("product_id <> 'p007'"), 8), k=5, effort=effort)
+    assert lists(found) == brute(rows, 5)
+    assert effort[0] < 0.5 * effort[1]
+
+
+def test_calibrated_probes_keep_the_recall_without_clusters(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((600, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [(f"p{i:03d}", [float(x) for x in np.float32(v)], 1) for i, v in enumerate(base)]
+    corpus = spark.createDataFrame(rows, "product_id string, embedding array<float>, num_reviews long")
+    queries = corpus.select(F.col("product_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    cells = retrieval.sample_cells(corpus, 12)
+    probes = retrieval.calibrate_probes(queries, corpus, cells, k=10, sample=100)
+    exact = retrieval.topk(queries, corpus, k=10)
+    found = retrieval.approximate_topk(queries, corpus, cells, k=10, probes=probes)
+    assert retrieval.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9
+    fewer = retrieval.approximate_topk(queries, corpus, cells, k=10, probes=1)
+    assert probes > 1 and retrieval.recall(fewer, exact).agg(F.avg("recall")).first()[0] < 0.9
+    assert retrieval.calibrate_probes(queries.filter("false"), corpus, cells, k=10) == 1
+
+
 def test_no_queries(spark, points):
     _, corpus, queries = points
     assert retrieval.topk(queries.filter("false"), corpus).count() == 0

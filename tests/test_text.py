@@ -87,6 +87,44 @@ def test_vocabulary_cap_breaks_ties_by_term(spark):
     assert [r.term for r in features.index_vocabulary(kept).orderBy("term_id").collect()] == ["aa", "bb"]
 
 
+def test_vocabulary_cap_at_every_size(spark):
+    docs = ["aa aa aa bb bb cc dd", "aa bb bb cc dd ee", "dd cc ee ff", ""]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc int, t string").repartition(3)
+    terms = features.document_terms(df, "doc", "t", "unigrams")
+    tf = Counter(" ".join(docs).split())
+    df_of = Counter(t for d in docs for t in set(d.split()))
+    ranked = sorted((t for t in tf if df_of[t] >= 2), key=lambda t: (-tf[t], t))
+    for cap in (0, 1, 2, 3, 4, 5, 9, None):
+        got = features.fit_vocabulary(terms, max_features=cap).collect()
+        assert sorted(r.term for r in got) == sorted(ranked if cap is None else ranked[:cap])
+        assert {(r.term, r.df, r.tf) for r in got} <= {(t, df_of[t], tf[t]) for t in tf}
+        assert all(r.idf == pytest.approx(math.log(5 / (1 + r.df)) + 1) for r in got)
+    assert features.fit_vocabulary(terms.filter("false")).count() == 0
+
+
+def test_weights_in_the_row_equal_those_by_join(spark):
+    docs = ["aa aa bb", "aa cc", None, "bb cc cc dd", "zz", ""]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc int, t string")
+    terms = features.document_terms(df, "doc", "t", "both")
+    vocabulary = features.fit_vocabulary(terms)
+    pairs = lambda out: {(r.doc, r.term): pytest.approx(r.weight) for r in out.collect()}
+    assert pairs(features.tfidf(terms, vocabulary, "doc")) == pairs(features._tfidf_by_join(terms, vocabulary, "doc"))
+    assert features.tfidf(terms, vocabulary.filter("false"), "doc").count() == 0
+
+
+def test_lemmas_without_moving_tokens(spark):
+    docs = spark.createDataFrame([(1, "Os carros são bons 2 carros"), (2, "os Os"), (3, None), (3, "bons"), (4, "x" * 50_000 + " bons" * 3)], "doc int, t string")
+    table = spark.createDataFrame([("carros", "carro"), ("são", "Ser"), ("bons", "zz"), ("bons", "bom"), (None, "x")], "form string, lemma string")
+    found = features.lemmatize(docs, "doc", "t", table, ["os", "ser"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc, r.lemmas) for r in found.collect())
+    assert got == [(1, "carro bom carro"), (2, ""), (3, ""), (3, "bom"), (4, "x" * 50_000 + " bom" * 3)]
+    one = docs.filter("doc <> 3")
+    joined = features._lemmatize_by_join(one, "doc", "t", features.one_per_key(table, "form", "lemma", "lemmas"), ["os", "ser"])
+    assert sorted(joined.collect()) == [r for r in got if r[0] != 3]
+    assert features.lemmatize(docs, "doc", "t", table.filter("false"), []).count() == 5
+
+
 def test_sparse_rows_keep_documents_without_terms(spark):
     df = spark.createDataFrame([(1, "aa bb"), (2, "aa bb bb"), (3, "zz")], "doc int, t string")
     terms = features.document_terms(df, "doc", "t", "unigrams")

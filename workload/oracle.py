@@ -152,6 +152,29 @@ CTES = {
     "bigrams": """
         SELECT doc_id, polarity, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM tokens""",
     "grams": "SELECT * FROM unigrams UNION ALL SELECT * FROM bigrams",
+    # The approximate search: centroids by id digest, cells in the order a vector probes them, calibrated probes.
+    "ann_centroids": """
+        SELECT row_number() OVER (ORDER BY least) AS cell,
+               list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS center
+        FROM (SELECT embedding, min(r) AS least FROM (
+                  SELECT embedding, row_number() OVER (ORDER BY md5(product_id), product_id) AS r FROM v_vectors)
+              WHERE r <= 64 GROUP BY embedding ORDER BY least LIMIT 16)""",
+    "ann_order": """
+        SELECT product_id, cell, row_number() OVER (PARTITION BY product_id ORDER BY list_inner_product(embedding, center) DESC, cell) AS place
+        FROM v_vectors CROSS JOIN ann_centroids""",
+    "ann_exact": """
+        SELECT query_id, product_id FROM (
+            SELECT q.product_id AS query_id, c.product_id,
+                   row_number() OVER (PARTITION BY q.product_id ORDER BY round(list_inner_product(q.embedding, c.embedding), 12) DESC, c.product_id) AS r
+            FROM v_vectors q CROSS JOIN v_vectors c) WHERE r <= 10""",
+    "ann_places": """
+        SELECT e.query_id, o.place FROM ann_exact e JOIN ann_order own ON own.product_id = e.product_id AND own.place = 1
+        JOIN ann_order o ON o.product_id = e.query_id AND o.cell = own.cell""",
+    "ann_sampled": """
+        SELECT place FROM ann_places WHERE query_id IN (SELECT product_id FROM v_vectors ORDER BY md5(product_id), product_id LIMIT 256)""",
+    "ann_probes": """
+        SELECT min(place) AS probes FROM (SELECT place, sum(count(*)) OVER (ORDER BY place) AS found FROM ann_sampled GROUP BY place)
+        WHERE found >= 0.95 * (SELECT count(*) FROM ann_sampled)""",
     "draws": "SELECT *, md5(concat_ws('|', CAST(doc_id AS VARCHAR), '42')) AS draw FROM v_docs",
     "v_split": """
         SELECT *, CASE WHEN b < 6000 THEN 'train' WHEN b < 8000 THEN 'val' ELSE 'test' END AS split
@@ -406,6 +429,15 @@ QUERIES = {
     "blocked_topk": TOP10,
     "rescore": TOP10,
     "ann_all_cells": TOP10,
+    "pruned_topk": TOP10,
+    "ann_topk": """
+        SELECT query_id, product_id, round(similarity, 6) AS similarity FROM (
+            SELECT q.product_id AS query_id, c.product_id, list_inner_product(q.embedding, c.embedding) AS similarity,
+                   row_number() OVER (PARTITION BY q.product_id ORDER BY round(list_inner_product(q.embedding, c.embedding), 12) DESC, c.product_id) AS r
+            FROM v_vectors q JOIN ann_order o ON o.product_id = q.product_id AND o.place <= (SELECT probes FROM ann_probes)
+            JOIN ann_order own ON own.cell = o.cell AND own.place = 1 JOIN v_vectors c ON c.product_id = own.product_id) WHERE r <= 10""",
+    "ann_recall": """
+        SELECT query_id, round(avg(CAST(place <= (SELECT probes FROM ann_probes) AS INTEGER)), 6) AS recall FROM ann_places GROUP BY query_id""",
     "filtered_topk": "SELECT query_id, product_id, round(similarity, 6) AS similarity FROM hits WHERE r <= 10",
     "rerank": """
         SELECT query_id, product_id, round(score, 6) AS score, rank FROM (
@@ -496,9 +528,6 @@ QUERIES = {
                     SELECT doc_id, (1 + ln(n)) * idf AS raw, CAST(length(term) % 5 - 2 AS DOUBLE) AS c
                     FROM (SELECT doc_id, term, count(*) AS n FROM unigrams GROUP BY doc_id, term) JOIN ({_vocabulary('unigrams', 50000)}) USING (term))
                 GROUP BY doc_id) x ON x.doc_id = d.doc_id)""",
-    "stream_scores": rf"""
-        SELECT doc_id, n AS tokens, CAST(n > 100 AS INTEGER) AS pred_label
-        FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '[{WORD}]{{2,}}')) AS n FROM documents)""",
     "prompt_scores": f"""
         SELECT review_id, CASE WHEN NOT failed THEN concat('{{"sentiment": "', s, '"}}') END AS raw_response,
                CASE WHEN NOT failed THEN CAST(s = 'positive' AS INTEGER) END AS predicted_polarity,
@@ -515,6 +544,8 @@ QUERIES = {
     "embed_cache": "SELECT sha256(review_text) AS digest, bool_and(reviewer_id <> 'en') AS fresh FROM v_docs GROUP BY 1",
 }
 
+QUERIES["stream_scores"] = QUERIES["linear_scores"]
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in QUERIES.items()}

@@ -689,11 +689,21 @@ def dense_scores(spark, d):
     return scoring.score_vectors(dense, training.grid_search(table).model).select("doc_id", "pred_label", "pred_prob")
 
 
+ANN_CELLS = 16
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, retrieval.Cells, int]:
+    """(queries, vectors, cells, calibrated probes) of the approximate search."""
+    rows, queries = views.vectors(spark, d), views.product_queries(spark, d)
+    cells = retrieval.sample_cells(rows, ANN_CELLS)
+    return queries, rows, cells, retrieval.calibrate_probes(queries, rows, cells, k=10)
+
+
 @query
 def ann_topk(spark, d):
-    rows = views.vectors(spark, d)
-    cells = retrieval.train_cells(rows, 16)
-    return six(retrieval.approximate_topk(views.product_queries(spark, d), rows, cells, k=10, probes=4), "similarity")
+    """Probes chosen so that a sample of queries finds 95 % of its exact lists."""
+    queries, rows, cells, probes = _index(spark, d)
+    return six(retrieval.approximate_topk(queries, rows, cells, k=10, probes=probes), "similarity")
 
 
 @query
@@ -709,9 +719,17 @@ def ann_all_cells(spark, d):
 
 @query
 def ann_recall(spark, d):
-    rows, queries = views.vectors(spark, d), views.product_queries(spark, d)
-    found = retrieval.approximate_topk(queries, rows, retrieval.train_cells(rows, 16), k=10, probes=4)
-    return retrieval.recall(found, retrieval.topk(queries, rows, k=10))
+    queries, rows, cells, probes = _index(spark, d)
+    found = retrieval.approximate_topk(queries, rows, cells, k=10, probes=probes)
+    return six(retrieval.recall(found, retrieval.topk(queries, rows, k=10)), "recall")
+
+
+@query
+def pruned_topk(spark, d):
+    """The exact list, leaving out cells whose bound the K-th similarity beats."""
+    rows = views.vectors(spark, d)
+    cells = retrieval.sample_cells(rows, ANN_CELLS)
+    return six(retrieval.pruned_topk(views.product_queries(spark, d), rows, cells, k=10), "similarity")
 
 
 @query
@@ -787,15 +805,13 @@ def resumed_scores(spark, d):
 
 @query
 def stream_scores(spark, d):
-    """Documents scored as they arrive; one pass over what is there."""
+    """Documents scored by a linear model as they arrive; one pass over what is there."""
     base = scratch_path(spark, "stream")
-    coefficients = {"grown": 0.75, "plain": -0.25}
+    model = scoring.load_model(_fixed_coefficients(spark, d))
     schema = views.table(spark, d, "documents").schema
 
     def score(rows: DataFrame) -> DataFrame:
-        tokens = F.size(text.analyzer_tokens(F.col("text")))
-        margin = F.when(tokens > 100, coefficients["grown"]).otherwise(coefficients["plain"])
-        return rows.select("doc_id", tokens.cast("long").alias("tokens"), (margin > 0).cast("int").alias("pred_label"))
+        return scoring.score_rows(features.document_terms(rows, "doc_id", "text", "unigrams"), model, 0.25, "doc_id")
 
     score_arrivals(spark, f"{d}/documents*.parquet", schema, score, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out")
