@@ -274,8 +274,9 @@ def _similar_size(rule: Rule, a: str, b: str) -> Column:
 
 
 def _block_groups(docs: DataFrame, rule: Rule, text_column: str, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Stored ``(key, node, n)``: block groups with two classes or more, without the
-    classes that share too few blocks of a band to have a partner in it.
+    """Stored ``(key, node, n, need)``: block groups with two classes or more, without the
+    classes that share too few blocks of a band to have a partner in it. ``need`` is the
+    number of keys of the band that the class shares with every partner.
 
     All keys go through one exchange, in which those of one class alone fall away;
     what is left is a small part and meets its classes.
@@ -293,10 +294,21 @@ def _block_groups(docs: DataFrame, rule: Rule, text_column: str, found: DataFram
     needs = reps.select("node", F.explode("needs").alias("_need"))
     needs = needs.select("node", F.pmod(F.col("_need"), F.lit(BANDS)).alias("band"), F.floor(F.col("_need") / BANDS).alias("need"))
     counts = met.groupBy("node", band).agg(F.count("*").alias("met"))
-    enough = counts.join(needs, ["node", "band"]).filter("met >= need").select("node", "band")
-    kept = met.select("*", band).join(enough, ["node", "band"], "left_semi").drop("band")
+    enough = counts.join(needs, ["node", "band"]).filter("met >= need").select("node", "band", F.col("need").cast("int"))
+    kept = met.select("*", band).join(enough, ["node", "band"]).drop("band")
     members = kept.withColumns({"_low": F.min("node").over(group), "_high": F.max("node").over(group)})
-    return materialize(members.filter("_low <> _high").select("key", "node", "n"), "blocks")
+    return materialize(members.filter("_low <> _high").select("key", "node", "n", "need"), "blocks")
+
+
+def _often_enough(pairs: DataFrame, *columns: str) -> DataFrame:
+    """The distinct pairs that meet in ``need`` keys of a band or more.
+
+    Linked classes share that many, and so do the clusters they belong to. Pairs are
+    counted by partial sums before any shingle set is read for them.
+    """
+    band = F.pmod(F.col("key"), F.lit(BANDS)).alias("_band")
+    counts = pairs.groupBy(*columns, band).agg(F.count("*").alias("_keys"), F.min("need").alias("need"))
+    return counts.filter("_keys >= need").select(*columns).distinct()
 
 
 def _with_slack(blocks: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -310,10 +322,10 @@ def _with_slack(blocks: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     owned = sets.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("owners"))
     own = owned.filter("owners = 1").groupBy("node").agg(F.count("*").alias("own"))
     slack = (100 - rule.percent) * F.col("n") - (100 + rule.percent) * F.coalesce("own", F.lit(0))
-    entries = materialize(blocks.join(own, "node", "left").select("key", "node", "n", F.coalesce("own", F.lit(0)).alias("own"), slack.alias("slack")), "slack")
+    entries = materialize(blocks.join(own, "node", "left").select("key", "node", "n", "need", F.coalesce("own", F.lit(0)).alias("own"), slack.alias("slack")), "slack")
     lead = entries.groupBy("key").agg(F.max(F.struct("slack", "node", "n")).alias("lead"))
     led = entries.join(lead, "key").filter(F.col("slack") + F.col("lead.slack") >= 0)
-    return materialize(led.select("key", "node", "n", "own", "slack", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.slack").alias("leader_slack")), "led")
+    return materialize(led.select("key", "node", "n", "need", "own", "slack", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.slack").alias("leader_slack")), "led")
 
 
 def links(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -339,11 +351,11 @@ def links(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tupl
     # Clusters meeting in a block group without being connected.
     home = verified.select(F.col("b").alias("node"), F.col("a").alias("center"), F.col("na").alias("center_n"), "d")
     placed = (
-        blocks.select("key", "node", "n", "own", "slack")
+        blocks.select("key", "node", "n", "need", "own", "slack")
         .join(home, "node", "left")
         .join(roots, "node", "left")
         .select(
-            "key", "node", "n", "own", "slack",
+            "key", "node", "n", "need", "own", "slack",
             F.coalesce("center", "node").alias("center"),
             F.coalesce("center_n", "n").alias("center_n"),
             F.coalesce("d", F.lit(0)).alias("d"),
@@ -353,12 +365,13 @@ def links(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tupl
     placed = materialize(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key")
     placed = materialize(placed.join(open_keys, "key", "left_semi"), "open-blocks")
-    met = placed.groupBy("key", "center", "center_n", "root").agg(F.max("slack").alias("slack"))
-    other = met.select("key", F.col("center").alias("b"), F.col("center_n").alias("nb"), F.col("root").alias("_root"), F.col("slack").alias("_slack"))
+    met = placed.groupBy("key", "center", "center_n", "root").agg(F.max("slack").alias("slack"), F.min("need").alias("need"))
+    other = met.select("key", F.col("need").alias("_need"), F.col("center").alias("b"), F.col("center_n").alias("nb"), F.col("root").alias("_root"), F.col("slack").alias("_slack"))
     limit = (100 - rule.percent) / 100
     centers = met.join(other, "key").filter("center < b and root <> _root and slack + _slack >= 0")
     centers = centers.filter(1.0 - F.least("center_n", "nb") / F.greatest("center_n", "nb") <= 3 * limit + 1e-9)
-    centers = centers.select(F.col("center").alias("a"), "b", F.col("center_n").alias("na"), "nb").distinct()
+    centers = centers.select("key", F.col("center").alias("a"), "b", F.col("center_n").alias("na"), "nb", F.greatest("need", "_need").alias("need"))
+    centers = _often_enough(centers, "a", "b", "na", "nb")
     measured = _distance(centers, sets).withColumn("dist", _jaccard_distance())
     measured = materialize(measured.filter(F.col("dist") <= 3 * limit + 1e-9), "centers")
     joined = measured.filter(_linked(rule)).select("a", "b").unionByName(verified.select("a", "b"))
@@ -395,14 +408,15 @@ def _between_clusters(grey: DataFrame, placed: DataFrame, members: DataFrame, jo
     possible = (100 + rule.percent) * (F.col("d") - F.col("_a.give")) <= (100 - rule.percent) * (F.col("nb") + F.col("_a.most_n"))
     rest = materialize(to_leader.filter(possible).select("a", F.col("b").alias("y"), F.col("d").alias("dy")).distinct(), "rest")
     rooted = placed.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node"))
-    ys = rooted.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"), F.col("root").alias("ry"))
+    ys = rooted.select("key", F.col("need").alias("need_y"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"), F.col("root").alias("ry"))
     xs = rooted.filter("node <> center").select(
-        "key", F.col("center").alias("a"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("d").alias("dx"), F.col("root").alias("rx")
+        "key", F.col("need").alias("need_x"), F.col("center").alias("a"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("d").alias("dx"), F.col("root").alias("rx")
     )
     least = F.greatest(F.col("ox") + F.col("oy"), F.col("dx") + F.col("dy") - 2 * F.least(F.col("dx") - F.col("ox"), F.col("dy") - F.col("oy")))
     room = (100 + rule.percent) * least <= (100 - rule.percent) * (F.col("nx") + F.col("ny"))
     met = rest.join(ys, "y").join(xs, ["key", "a"]).filter(room & (F.col("rx") != F.col("ry"))).filter(_similar_size(rule, "nx", "ny"))
-    checked = _distance(met.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb")).distinct(), sets)
+    met = met.select("key", F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.greatest("need_x", "need_y").alias("need"))
+    checked = _distance(_often_enough(met, "a", "b", "na", "nb"), sets)
     return checked.filter(_linked(rule)).select("a", "b").unionByName(measured.filter(_linked(rule)).select("a", "b"))
 
 
