@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opinarium.schemas import REQUIRED_REVIEW_COLUMNS, REVIEWS
+from opinarium.sources.records import csv_records
 
 # Quoted fields may hold line breaks and doubled quotes.
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "enforceSchema": "false"}
@@ -33,12 +34,15 @@ def load_reviews(
     schema: T.StructType = REVIEWS,
     required: Sequence[str] = ("product_id", "product_name"),
     skip_absent: bool = False,
+    split: bool = False,
 ) -> DataFrame:
     """The union of CSV files, product ids as text; rows without one of the
     ``required`` values drop. Columns outside ``schema`` are read as text.
 
     Files with the same header are one reader. With ``skip_absent``, files that
-    do not exist are left out, unless none does.
+    do not exist are left out, unless none does. With ``split``, many tasks read
+    each file although quoted fields hold line breaks, and the records are written
+    to the shared folder; otherwise a file is one task.
     """
     if not paths:
         raise ValueError("no review files given")
@@ -61,7 +65,11 @@ def load_reviews(
     for names, files in groups.items():
         # Numbers arrive as text and are coerced, so a bad value is a null.
         text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.options(**_CSV).schema(text).csv(files)
+        if split:
+            row = F.from_csv("record", text.simpleString(), {"multiLine": "true", "quote": '"', "escape": '"'})
+            raw = csv_records(spark, files).select(row.alias("row")).select("row.*")
+        else:
+            raw = spark.read.options(**_CSV).schema(text).csv(files)
         frames.append(raw.select(*[_coerce(n, known[n].dataType if n in known else None) for n in names]))
     whole = frames[0]
     for frame in frames[1:]:

@@ -32,6 +32,32 @@ def test_reviews_from_csv(spark, csv):
     assert (rows["1"].overall_rating, rows["3"].overall_rating, rows["4"].overall_rating) == (5, None, 4)
 
 
+HOSTILE = (
+    '1,"Nome ""x""",b,c,d,5,"linha 1\nlinha 2, fim"\n'
+    '2,5" tela,b,c,d,4,"a ""b\n\n""\n"\n'
+    "\n"
+    '3,n,"b"x,c,d,abc,t\n'
+    '4,n,b,"c,"",\n"",""\n",d,1," ,""é\n5,n,b"\n'
+    '6,n,,"",d,2,"""\n"""\n'
+    '7,n,b,c,d,3,sem "fim" aqui\n'
+    '8,n,b,c,d,3,"ultima\nlinha"'
+)
+
+
+@pytest.mark.parametrize("size", [9, 41, 1 << 20])
+def test_split_reading_equals_the_reader_of_whole_files(spark, csv, size):
+    files = [csv("h.csv", HOSTILE), csv("plain.csv", "9,n,b,c,d,1,t\n" * 5), csv("open.csv", '10,n,b,c,d,1,"nunca\nfecha'), csv("none.csv", "")]
+    expected = sorted(map(str, reviews.load_reviews(spark, files).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = reviews.load_reviews(spark, files, split=True)
+        assert sorted(map(str, got.collect())) == expected
+        assert size > 9 or spark.read.text(files).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_review_source_errors(spark, csv, tmp_path):
     with pytest.raises(ValueError, match="no review files"):
         reviews.load_reviews(spark, [])
