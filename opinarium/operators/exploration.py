@@ -151,37 +151,42 @@ def top_categories_sentiment(reviews: DataFrame, n: int = 5) -> DataFrame:
 def corpus_profile(reviews: DataFrame, text_column: str = "review_text") -> DataFrame:
     """One row: reviews, distinct reviewers and products, tokens, pole shares.
 
-    The median is read off the histogram of text lengths, so its state is one
-    entry per distinct length and not one per review.
+    One reading of the table: each row gives one cell per distinct token and one
+    each for its length, reviewer, product and pole; cells of equal value meet in
+    one shuffle after a map-side sum. The median is read off the histogram of
+    lengths, so its state is one entry per distinct length and not one per
+    review. Without rows the counts are 0, the median and the shares null.
     """
-    tokens = text.analyzer_tokens(F.coalesce(F.col(text_column), F.lit("")))
     rating = number(reviews, "overall_rating")
-    base = reviews.agg(
-        F.count(F.lit(1)).alias("reviews"),
-        F.countDistinct("reviewer_id").alias("reviewers"),
-        F.countDistinct("product_id").alias("products"),
-        F.count_if(rating.isin(1, 2)).alias("negative"),
-        F.count_if(rating == 3).alias("neutral"),
-        F.count_if(rating.isin(4, 5)).alias("positive"),
-    )
-    lengths = reviews.select(F.size(tokens).alias("len")).groupBy("len").agg(F.count(F.lit(1)).alias("n"))
-    words = reviews.select(F.explode_outer(tokens).alias("token")).filter("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    size = lengths.agg(
-        F.coalesce(F.sum(F.col("len").cast("long") * F.col("n")), F.lit(0)).alias("tokens"),
-        F.percentile("len", 0.5, F.col("n")).alias("median_tokens"),
+    pole = F.when(rating.isin(1, 2), "negative").when(rating == 3, "neutral").when(rating.isin(4, 5), "positive")
+
+    def cell(kind: str, value: Column, length: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), length.cast("long").alias("len"))
+
+    none = F.lit(None)
+    named = [cell("reviewer", F.col("reviewer_id"), none), cell("product", F.col("product_id"), none), cell("pole", pole, none)]
+    tokens = text.analyzer_tokens(F.coalesce(F.col(text_column), F.lit("")))
+    # Each row's tokens are found once, in a column of their own.
+    rows = reviews.withColumn("_tokens", tokens).select(
+        F.concat(F.array(*named, cell("length", none, F.size("_tokens"))), F.transform(F.array_distinct("_tokens"), lambda t: cell("token", t, none))).alias("cells")
     )
-    return base.select(
-        "reviews",
-        "reviewers",
-        "products",
-        size.select("tokens").scalar().alias("tokens"),
-        words.select(F.count(F.lit(1))).scalar().alias("distinct_tokens"),
-        size.select("median_tokens").scalar().alias("median_tokens"),
-        *[
-            F.round(F.col(side) * 100.0 / F.col("reviews"), 1).alias(f"{side}_pct")
-            for side in ("negative", "neutral", "positive")
-        ],
+    cells = rows.select(F.inline_outer("cells")).groupBy("kind", "value", "len").agg(F.count(F.lit(1)).alias("n"))
+    present = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull())
+    total = lambda chosen, value: F.coalesce(F.sum(F.when(chosen, value)), F.lit(0))
+    length = F.col("kind") == "length"
+    sums = cells.agg(
+        total(length, F.col("n")).alias("reviews"),
+        present("reviewer").alias("reviewers"),
+        present("product").alias("products"),
+        total(length, F.col("len") * F.col("n")).alias("tokens"),
+        present("token").alias("distinct_tokens"),
+        F.percentile(F.when(length, F.col("len")), 0.5, F.col("n")).alias("median_tokens"),
+        *[total((F.col("kind") == "pole") & (F.col("value") == side), F.col("n")).alias(side) for side in ("negative", "neutral", "positive")],
     )
+    return sums.select(
+        "reviews", "reviewers", "products", "tokens", "distinct_tokens", "median_tokens",
+        *[F.round(F.try_divide(F.col(side) * 100.0, F.col("reviews")), 1).alias(f"{side}_pct") for side in ("negative", "neutral", "positive")],
+    )
 
 
 def missing_values(reviews: DataFrame, columns: Sequence[str]) -> DataFrame:

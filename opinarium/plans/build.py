@@ -41,14 +41,15 @@ def build(
     positive_threshold: float = 4,
     sources: Sequence[str] = (),
 ) -> dict[str, int]:
-    """Writes scores, corpus, storefront and a build record under ``path``.
+    """Writes scores, corpus, storefront and a build record as a new version under ``path``.
 
     The record holds the model and its vector dimension, the query instruction, the
     review minima, the rating threshold, the label column, the names in ``sources``
     the labels come from, and the counts.
 
-    All tables are made in the shared folder first and counted on the way; what
-    is at ``path`` is replaced only when none of them is empty.
+    All tables are made in the shared folder first and counted on the way. The
+    version is published when all of it is written and no table is empty, so readers
+    (``artifacts.published``) see one whole build, the earlier one until then.
     """
     spark = reviews.sparkSession
     counts, made = {}, {}
@@ -58,9 +59,10 @@ def build(
     }
     for name, table in sides.items():
         made[name], counts[name] = counted_catalog(table, name)
-    artifacts.write_sentiment_scores(reviews, f"{path}/sentiment_scores", label_column)
+    version = artifacts.new_version(path)
+    artifacts.write_sentiment_scores(reviews, f"{version}/sentiment_scores", label_column)
     for name, table in made.items():
-        artifacts.write_corpus(table, f"{path}/{name}")
+        artifacts.write_corpus(table, f"{version}/{name}")
     record = {
         "model": model,
         "dimension": len(made["corpus"].select("embedding").first()[0]),
@@ -71,5 +73,6 @@ def build(
         "label_column": label_column,
         "label_sources": ",".join(sources),
     }
-    artifacts.write_record(spark, record | {f"{n}_products": c for n, c in counts.items()}, f"{path}/build")
+    artifacts.write_record(spark, record | {f"{n}_products": c for n, c in counts.items()}, f"{version}/build")
+    artifacts.publish(spark, path, version)
     return counts

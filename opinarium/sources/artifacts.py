@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: S
     if kind == "parquet":
         writer.parquet(path)
     elif kind == "csv":
-        writer.options(header="true", quote='"', escape='"').csv(path)
+        writer.options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
     elif kind == "json":
         writer.option("ignoreNullFields", "false").json(path)
     else:
@@ -40,6 +42,52 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
     corpus.sortWithinPartitions(F.desc("num_reviews")).write.mode("overwrite").parquet(path)
 
 
+_PUBLISHED = "version string, sequence long"
+
+
+def new_version(path: str) -> str:
+    """A folder under ``path`` that no reader knows of before it is published."""
+    return f"{path}/versions/{uuid.uuid4().hex}"
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Makes ``version``, a folder from ``new_version`` whose tables are complete,
+    the one readers get. The switch is one appended record, in one file."""
+    last = _publications(spark, path).agg(F.max("sequence")).first()[0] or 0
+    name = version.rpartition("/")[2]
+    record = spark.range(1).select(F.lit(name).alias("version"), F.lit(last + 1).cast("long").alias("sequence"))
+    record.coalesce(1).write.mode("append").json(f"{path}/published")
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of the version published last; of two published at once the
+    larger name."""
+    last = _publications(spark, path).agg(F.max(F.struct("sequence", "version"))["version"]).first()[0]
+    if last is None:
+        raise FileNotFoundError(f"no published build: {path}")
+    return f"{path}/versions/{last}"
+
+
+def remove_old_versions(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Removes all published versions but the last ``keep``; unpublished ones may
+    be in the making and stay."""
+    if keep < 1:
+        raise ValueError("at least one version must stay")
+    old = _publications(spark, path).orderBy(F.desc("sequence"), F.desc("version")).offset(keep)
+    for row in old.select("version").toLocalIterator():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{row.version}")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def _publications(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(_PUBLISHED).json(f"{path}/published")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _PUBLISHED)
+
+
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -1,3 +1,4 @@
+import os
 import math
 
 import numpy as np
@@ -163,12 +164,38 @@ def test_failed_build_keeps_the_old_one(spark, corpus_reviews, tmp_path):
     build.build(corpus_reviews, path, seeded_encoder(), "seeded", rating_scorer())
     with pytest.raises(ValueError):
         build.build(corpus_reviews, path, seeded_encoder(), "seeded", rating_scorer(), min_reviews=99)
-    assert artifacts.load_corpus(spark, f"{path}/corpus").count() == 3
-    record = spark.read.json(f"{path}/build").first().asDict()
+    first = artifacts.published(spark, path)
+    assert artifacts.load_corpus(spark, f"{first}/corpus").count() == 3
+    record = spark.read.json(f"{first}/build").first().asDict()
     assert (record["dimension"], record["recommend_min_reviews"], record["positive_threshold"], record["label_sources"]) == (16, 5, 4, "")
     assert record["query_instruction"] == vectors.QUERY_INSTRUCTION and record["corpus_products"] == 3 and record["built_at"].endswith("Z")
 
 
+def test_readers_see_whole_builds(spark, corpus_reviews, storefront_reviews, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        artifacts.published(spark, path)
+    build.build(corpus_reviews, path, seeded_encoder(), "one", rating_scorer())
+    first = artifacts.published(spark, path)
+
+    def stop(table, folder):
+        if folder.endswith("storefront"):
+            raise RuntimeError("stopped between two tables")
+        write(table, folder)
+
+    write = artifacts.write_corpus
+    monkeypatch.setattr(artifacts, "write_corpus", stop)
+    with pytest.raises(RuntimeError):
+        build.build(storefront_reviews, path, seeded_encoder(), "two", rating_scorer())
+    assert artifacts.published(spark, path) == first and artifacts.load_corpus(spark, f"{first}/corpus").count() == 3
+    monkeypatch.setattr(artifacts, "write_corpus", write)
+    build.build(storefront_reviews, path, seeded_encoder(), "three", rating_scorer())
+    last = artifacts.published(spark, path)
+    assert artifacts.load_corpus(spark, f"{last}/corpus").count() == 2 and artifacts.load_corpus(spark, f"{first}/corpus").count() == 3
+    artifacts.remove_old_versions(spark, path)
+    assert artifacts.load_corpus(spark, f"{last}/corpus").count() == 2 and not os.path.exists(first)
+
+
 def test_nearest_first(spark):
     rows = [("a", [1.0, 0.0, 0.0, 0.0]), ("b", [0.9, 0.1, 0.0, 0.0]), ("c", [0.0, 0.0, 1.0, 0.0])]
     corpus = spark.createDataFrame(rows, "product_id string, v array<float>").select("product_id", vectors.unit(F.col("v")).alias("embedding"))
@@ -182,7 +209,8 @@ def shop(spark, corpus_reviews, storefront_reviews, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("artifacts"))
     counts = build.build(corpus_reviews, path, seeded_encoder(), "seeded", rating_scorer(), storefront_reviews=storefront_reviews)
     assert counts == {"corpus": 3, "storefront": 2}
-    return artifacts.load_corpus(spark, f"{path}/corpus"), artifacts.load_corpus(spark, f"{path}/storefront")
+    version = artifacts.published(spark, path)
+    return artifacts.load_corpus(spark, f"{version}/corpus"), artifacts.load_corpus(spark, f"{version}/storefront")
 
 
 def ask(spark, *rows):

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from opinarium.sources import artifacts, predictions, reviews
+from opinarium.sources import artifacts, predictions, records, reviews
 from opinarium.schemas import CATALOG, REQUIRED_REVIEW_COLUMNS
 
 def first_json(folder):
@@ -58,6 +58,18 @@ def test_split_reading_equals_the_reader_of_whole_files(spark, csv, size):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_split_reading_with_more_blocks_than_can_be_sent_out(spark, csv, monkeypatch):
+    path = csv("h.csv", HOSTILE)
+    expected = sorted(map(str, reviews.load_reviews(spark, [path]).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 41)
+    monkeypatch.setattr(records, "broadcast_if_small", lambda df: df)
+    try:
+        assert sorted(map(str, reviews.load_reviews(spark, [path], split=True).collect())) == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_review_source_errors(spark, csv, tmp_path):
     with pytest.raises(ValueError, match="no review files"):
         reviews.load_reviews(spark, [])

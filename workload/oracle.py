@@ -319,6 +319,9 @@ QUERIES = {
             SELECT polarity, word, count(*) AS n, row_number() OVER (PARTITION BY polarity ORDER BY count(*) DESC, word) AS rank
             FROM words WHERE polarity IS NOT NULL AND word NOT IN ({_stops(REPORT_STOP_WORDS)}) GROUP BY polarity, word)
         WHERE rank <= 20""",
+    "reviews_csv": """
+        SELECT CAST(doc_id AS VARCHAR) AS product_id, reviewer_id AS product_brand, product_id AS site_category_lv1, overall_rating, md5(review_text) AS text_md5
+        FROM v_docs WHERE doc_id IS NOT NULL AND review_title IS NOT NULL""",
     "text_profile": """
         SELECT count(*) AS reviews, count(DISTINCT reviewer_id) AS reviewers, count(DISTINCT product_id) AS products,
                (SELECT CAST(sum(len(t)) AS BIGINT) FROM tokens) AS tokens,

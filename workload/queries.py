@@ -27,6 +27,7 @@ from opinarium.plans import build, evaluation
 from opinarium.plans import sentiment as sentiment_plan
 from opinarium.session import broadcast_if_small, materialize, scratch_path
 from opinarium.sources import artifacts
+from opinarium.sources.reviews import load_reviews
 from opinarium.streaming.scoring import score_arrivals
 from workload import views
 
@@ -88,13 +89,25 @@ def build_counts(spark, d):
     """Products of the storefront that a build writes, and of its recommendable part."""
     path = scratch_path(spark, "build")
     build.build(views.reviews(spark, d), path, vectors.hashing_encoder(16), "hashed")
-    return artifacts.load_corpus(spark, f"{path}/storefront").agg(
+    return artifacts.load_corpus(spark, f"{artifacts.published(spark, path)}/storefront").agg(
         F.count(F.lit(1)).alias("storefront"),
         F.count_if(F.col("num_reviews") >= MIN_REVIEWS).alias("recommendable"),
         F.sum("num_reviews").alias("reviews"),
     )
 
 
+@query
+def reviews_csv(spark, d):
+    """Documents written as CSV and read back by many tasks per file."""
+    path = scratch_path(spark, "reviews-csv")
+    docs = views.documents(spark, d)
+    names = {"product_name": "review_title", "product_brand": "reviewer_id", "site_category_lv1": "product_id", "site_category_lv2": "product_id"}
+    made = docs.select(views.text("doc_id").alias("product_id"), *[F.col(c).alias(n) for n, c in names.items()], "overall_rating", "review_text")
+    artifacts.write_table(made, path, "csv")
+    found = load_reviews(spark, [path], split=True)
+    return found.select("product_id", "product_brand", "site_category_lv1", "overall_rating", F.md5("review_text").alias("text_md5"))
+
+
 # --- exploration ------------------------------------------------------------------
 
 
