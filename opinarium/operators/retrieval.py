@@ -2,7 +2,8 @@
 top-K with calibrated probes.
 
 A block of query vectors meets a block of product vectors as one matrix product
-inside a task, and only the K best of each query leave it. Pairs are never rows.
+inside a task, and only the K best of each query leave it. Pairs are never rows, and block
+sizes bound the matrices, not what is exchanged.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ MAX_QUERIES = 4096
 QUERY_BLOCK = 4096
 PRODUCT_BLOCK = 32_768
 _CELLS_PER_PRODUCT = 4_000_000  # entries of one similarity matrix in memory
+# Rows of one task: a part of the queries and its lists are held, products stream past them.
+_LEAST_QUERIES, _MOST_QUERIES = 256, 32_768
+_LEAST_PRODUCTS, _MOST_PRODUCTS = 4096, 1 << 21
+# Slack of a bound: rounding of a similarity, and the ties that go by id.
+_BOUND_SLACK = 1e-9
 
 
 def _best(query: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int):
@@ -98,42 +104,129 @@ def _with_small_queries(queries: pa.Table, corpus: DataFrame, schema: T.StructTy
     return corpus.mapInArrow(search, schema)
 
 
-def _in_blocks(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, query_block: int, product_block: int) -> DataFrame:
-    """Both sides large: each cell is cut into blocks by a hash of the unique id
-    and every query block of a cell meets every product block of it.
+class _Lists:
+    """The k best products of each query of a block while products stream by.
 
-    Block counts follow the measured size of the cell, so a cell holding a third
-    of all products becomes many tasks of the usual size.
+    A similarity below the K-th one known of its query is dropped at once; the others
+    wait and are sorted in when they are as many as the lists hold.
     """
 
-    def sized(side: DataFrame, block: int, name: str) -> DataFrame:
-        return side.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.floor = np.full(len(queries), -np.inf)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def meet(self, ids: np.ndarray, products: np.ndarray) -> None:
+        step = max(1, _CELLS_PER_PRODUCT // max(1, len(ids)))
+        for start in range(0, len(self.queries), step):
+            sims = self.queries[start : start + step] @ products.T
+            floor = self.floor[start : start + step]
+            if len(ids) > self.k and np.isneginf(floor).any():
+                ranked = np.round(sims, TIE_DECIMALS)
+                floor = np.maximum(floor, np.partition(ranked, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+            row, col = np.nonzero(~(sims < floor[:, None] - _BOUND_SLACK))
+            found = sims[row, col]
+            near = ~(np.round(found, TIE_DECIMALS) < floor[row])
+            part = row[near] + start, ids[col[near]], found[near]
+            if len(part[0]) > 2 * self.k * len(sims):
+                part = _best(*part, self.k)
+            self.parts.append(part)
+            self.waiting += len(part[0])
+        if self.waiting >= len(self.queries) * self.k:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...] | None:
+        """Sorts the waiting ones in; the lists so far."""
+        if not self.parts:
+            return None
+        query, ids, sims = _best(*(np.concatenate(parts) for parts in zip(*self.parts)), self.k)
+        self.parts, self.waiting = [(query, ids, sims)], 0
+        held = np.bincount(query, minlength=len(self.queries))
+        full = held >= self.k
+        self.floor[full] = np.round(sims[np.cumsum(held)[full] - 1], TIE_DECIMALS)
+        return self.parts[0]
+
+
+def _tasks(asked: dict[int, int], found: dict[int, int], parallel: int) -> list[tuple[int, int, int, int]]:
+    """(cell, first task, parts of the queries, parts of the products) of the cells.
+
+    Work is spread over about ``2 * parallel`` tasks by the size of the cells. Queries are
+    cut first, as every product then travels once per part of the queries; products are cut
+    where the queries are too few for that.
+    """
+    cells = sorted(asked.keys() & found.keys())
+    work = sum(asked[c] * found[c] for c in cells)
+    out, first = [], 0
+    for cell in cells:
+        share = -(-2 * parallel * asked[cell] * found[cell] // work)
+        queries = max(-(-asked[cell] // _MOST_QUERIES), min(share, -(-asked[cell] // _LEAST_QUERIES)))
+        products = max(-(-found[cell] // _MOST_PRODUCTS), min(-(-share // queries), -(-found[cell] // _LEAST_PRODUCTS)))
+        out.append((cell, first, queries, products))
+        first += queries * products
+    return out
 
-    # One row of three integers per cell, and cells are no more than centroids.
-    blocks = F.broadcast(sized(queries, query_block, "_nq").join(sized(corpus, product_block, "_np"), "_cell"))
 
-    def spread(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        key = side.columns[0]
-        return side.join(blocks, "_cell").select(
-            key,
-            side.columns[1],
-            "_cell",
-            F.pmod(F.xxhash64(key), F.col(own_n)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other),
+def _in_blocks(queries: DataFrame, corpus: DataFrame, schema: T.StructType, k: int, query_block: int, product_block: int) -> DataFrame:
+    """Both sides large: every task holds a part of the queries of a cell, and a part of the
+    cell's products, mostly all of them, streams past it.
+
+    Blocks of both are met as matrices inside the task, so their sizes do not change what
+    travels: each query once per part of the products, each product once per part of the
+    queries, and lists of K. Parts follow the measured size of the cell, so a cell holding a
+    third of all products is many tasks.
+    """
+    spark = queries.sparkSession
+    sizes = [dict(side.groupBy("_cell").agg(F.count(F.lit(1))).collect()) for side in (queries, corpus)]
+    plan = _tasks(*sizes, spark.sparkContext.defaultParallelism)
+    if not plan:
+        return spark.createDataFrame([], schema)
+    tasks = plan[-1][1] + plan[-1][2] * plan[-1][3]
+    # One row of four integers per cell, and cells are no more than centroids.
+    places = F.broadcast(spark.createDataFrame(plan, "_cell int, _first int, _nq int, _np int"))
+
+    def spread(side: DataFrame, number: int, own: str, other: str, task) -> DataFrame:
+        key, vector = side.columns[:2]
+        part = F.pmod(F.xxhash64(key), F.col(own)).cast("int")
+        ids = [F.col(key) if i == number else F.lit(None).cast(schema.fields[i].dataType) for i in (0, 1)]
+        return side.join(places, "_cell").select(
+            F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda i: F.col("_first") + task(part, i))).alias("_task"),
+            F.lit(number).alias("_side"),
+            ids[0].alias("_query"),
+            ids[1].alias("_product"),
+            F.col(vector).alias("_vector"),
         )
 
-    left = spread(queries, "_q", "_nq", "_p", "_np").groupBy("_cell", "_q", "_p")
-    right = spread(corpus, "_p", "_np", "_q", "_nq").groupBy("_cell", "_q", "_p")
+    left = spread(queries, 0, "_nq", "_np", lambda own, other: own * F.col("_np") + other)
+    right = spread(corpus, 1, "_np", "_nq", lambda own, other: other * F.col("_np") + own)
     names = [f.name for f in schema.fields]
 
-    def meet(one: pa.Table, many: pa.Table) -> pa.Table:
-        asked, found = one.column(0), many.column(0)
-        if not len(asked) or not len(found):
-            return pa.table([pa.array([], asked.type), pa.array([], found.type), pa.array([], pa.float64())], names)
-        query, ids, sims = _match(_matrix(_whole(one.column(1))), _ids(_whole(found)), _matrix(_whole(many.column(1))), k)
-        return pa.table([_whole(asked).take(pa.array(query)), pa.array(ids, found.type), pa.array(sims)], names)
-
-    return left.cogroup(right).applyInArrow(meet, schema)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, matrices, blocks, kind = [], [], [], None
+        for batch in batches:
+            _, side, query, product, vector = batch.columns
+            own = int(np.count_nonzero(side.to_numpy() == 0))
+            if own:
+                asked.append(query.slice(0, own))
+                matrices.append(_matrix(vector.slice(0, own)))
+            if own == len(side) or not asked:
+                continue
+            if not blocks:
+                matrix = np.concatenate(matrices)
+                blocks = [_Lists(matrix[at : at + query_block], k) for at in range(0, len(matrix), query_block)]
+            product, kind = product.slice(own), product.type
+            ids, products = _ids(product), _matrix(vector.slice(own))
+            for at in range(0, len(ids), product_block):
+                for block in blocks:
+                    block.meet(ids[at : at + product_block], products[at : at + product_block])
+        for number, block in enumerate(blocks):
+            query, ids, sims = block.settle()
+            rows = pa.concat_arrays(asked).take(pa.array(query + number * query_block))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(ids, kind), pa.array(sims)], names)
+
+    # Queries come first in a task and stay; products follow batch by batch.
+    met = left.unionByName(right).repartitionById(tasks, F.col("_task")).sortWithinPartitions("_side")
+    return met.mapInArrow(meet, schema)
 
 
 def _schema(queries: DataFrame, corpus: DataFrame, query_id: str, product_id: str) -> T.StructType:
@@ -166,7 +259,7 @@ def topk(
     """The exact K nearest eligible products of every query vector.
 
     ``(query_id, product_id, similarity)``; both ids are unique on their side.
-    Both sides are written once and cut into blocks that meet as matrices.
+    Both sides are written once and meet as matrices of ``query_block`` x ``product_block``.
     """
     schema, queries, corpus = _search_sides(queries, corpus, min_reviews, query_id, query_vector, product_id, vector)
     cell = F.lit(0).alias("_cell")
@@ -259,7 +352,7 @@ def approximate_topk(
     """Top-K among the products of the ``probes`` cells nearest to each query;
     similarities are exact, and so is the list when every cell is probed.
 
-    Cells are assigned once and written, as they are read to size the blocks and
+    Cells are assigned once and written, as they are read to size the tasks and
     to fill them.
     """
     schema = _schema(queries, corpus, query_id, product_id)
@@ -311,10 +404,6 @@ def calibrate_probes(
     return max(1, len(centroids))
 
 
-# Slack of a bound: rounding of a similarity, and the ties that go by id.
-_BOUND_SLACK = 1e-9
-
-
 def _cell_bounds(vectors: np.ndarray, centroids: Cells, stats: np.ndarray) -> np.ndarray:
     """Upper bounds (query, cell) of the similarity to any product of the cell.
 

@@ -90,6 +90,27 @@ def test_blocked_search_gives_the_same(points):
     assert lists(found) == brute(rows, 7)
 
 
+def test_blocks_do_not_change_what_travels(points):
+    """Copies of a vector follow the tasks; block sizes only bound a matrix."""
+    rows, corpus, queries = points
+    plan = retrieval._tasks({0: 720_000}, {0: 720_000}, 12)
+    assert plan == [(0, 0, 24, 1)]
+    # A lone query is spread over its products, a cell without products is left out.
+    assert retrieval._tasks({0: 1, 1: 5}, {0: 100_000}, 4) == [(0, 0, 1, 8)]
+    assert retrieval._tasks({}, {}, 4) == []
+    found = retrieval.topk(queries, corpus, k=7, query_block=5, product_block=3)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionById") + found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+    assert lists(found) == brute(rows, 7)
+
+
+def test_equal_similarities_go_by_id(spark):
+    rows = [(f"p{i:03d}", [1.0, 0.0], 1) for i in range(90)]
+    corpus = spark.createDataFrame(rows, "product_id string, embedding array<float>, num_reviews long").repartition(3)
+    queries = corpus.select(F.col("product_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = lists(retrieval.topk(queries, corpus, k=4, query_block=16, product_block=7))
+    assert len(found) == 90 and all(f == ["p000", "p001", "p002", "p003"] for f in found.values())
+
+
 def test_probing_every_cell_is_exact_and_few_cells_recall_well(points):
     rows, corpus, queries = points
     cells = retrieval.train_cells(corpus, 6)
