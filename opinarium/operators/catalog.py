@@ -56,8 +56,14 @@ def build_catalog(
         )
         .filter(F.col("num_reviews") >= min_reviews)
     )
-    products = catalog_columns(products)
-    return products if limit is None else in_catalog_order(products).limit(limit)
+    return cut_catalog(catalog_columns(products), limit=limit)
+
+
+def cut_catalog(catalog: DataFrame, min_reviews: int = 1, limit: int | None = None) -> DataFrame:
+    """The products of enough reviews, the first ``limit`` of them in catalog order."""
+    if min_reviews > 1:
+        catalog = catalog.filter(F.col("num_reviews") >= min_reviews)
+    return catalog if limit is None else in_catalog_order(catalog).limit(limit)
 
 
 def in_catalog_order(catalog: DataFrame) -> DataFrame:

@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 from opinarium.functions.scorers import Scorer, label_scorer
 from opinarium.functions.vectors import QUERY_INSTRUCTION, EncoderFactory, query_text
-from opinarium.operators.catalog import build_catalog, counted_catalog
+from opinarium.operators.catalog import build_catalog, counted_catalog, cut_catalog
 from opinarium.operators.features import embed
 from opinarium.operators.ranking import MIN_REVIEWS
+from opinarium.session import materialize
 from opinarium.sources import artifacts
 
 
 def corpus(reviews: DataFrame, encoder: EncoderFactory, scorer: Scorer | None = None, min_reviews: int = 1, limit: int | None = None) -> DataFrame:
     """Catalog rows with the vector of their title as a document."""
-    return embed(build_catalog(reviews, scorer or label_scorer(), min_reviews, limit), "product_name", encoder)
+    return _titled(build_catalog(reviews, scorer or label_scorer(), min_reviews, limit), encoder)
+
+
+def _titled(catalog: DataFrame, encoder: EncoderFactory) -> DataFrame:
+    return embed(catalog, "product_name", encoder)
 
 
 def storefront(reviews: DataFrame, encoder: EncoderFactory, scorer: Scorer | None = None, limit: int | None = None) -> DataFrame:
     """Every product with the vector of its title as a query."""
-    catalog = build_catalog(reviews, scorer or label_scorer(), 1, limit)
+    return _asked(build_catalog(reviews, scorer or label_scorer(), 1, limit), encoder)
+
+
+def _asked(catalog: DataFrame, encoder: EncoderFactory) -> DataFrame:
     asked = embed(catalog.withColumn("_query", query_text(F.col("product_name"))), "_query", encoder)
     return asked.drop("_query")
 
@@ -53,9 +61,11 @@ def build(
     """
     spark = reviews.sparkSession
     counts, made = {}, {}
+    # Both sides of the same reviews are cut from one catalog, written once.
+    whole = materialize(build_catalog(reviews, scorer or label_scorer()), "whole-catalog")
     sides = {
-        "corpus": corpus(reviews, encoder, scorer, min_reviews, limit),
-        "storefront": storefront(storefront_reviews if storefront_reviews is not None else reviews, encoder, scorer, limit),
+        "corpus": _titled(cut_catalog(whole, min_reviews, limit), encoder),
+        "storefront": _asked(cut_catalog(whole, limit=limit), encoder) if storefront_reviews is None else storefront(storefront_reviews, encoder, scorer, limit),
     }
     for name, table in sides.items():
         made[name], counts[name] = counted_catalog(table, name)
