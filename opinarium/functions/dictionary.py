@@ -7,7 +7,7 @@ all of it also works on streams in append mode.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 
 from opinarium.session import MAX_BROADCAST_BYTES, materialize, payload_bytes
 
+# Entries of a list column looked up at once.
+PIECE = 1 << 18
+
 
 def load_if_small(table: DataFrame, key: str, columns: Sequence[str], limit: int = MAX_BROADCAST_BYTES) -> pa.Table | None:
     """The rows of ``(key, *columns)`` in key order if their measured payload fits
@@ -46,14 +49,26 @@ def _offsets(lists: pa.Array) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)))
 
 
+def pieces(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows with at most ``most`` entries (default ``PIECE``) of the list
+    column 1, or a single row."""
+    ends, at = _offsets(batch.column(1)), 0
+    while at < len(batch):
+        to = max(int(np.searchsorted(ends, ends[at] + (most or PIECE), side="right")) - 1, at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _map(rows: DataFrame, key: str, lists: str, output: str, kind: str, shared: tuple, look_up) -> DataFrame:
-    """``(key, output)`` with ``look_up(lists, *shared)`` of every batch."""
+    """``(key, output)`` with ``look_up(lists, *shared)`` of every batch, cut into pieces of
+    about ``PIECE`` entries, so that memory does not follow the length of the texts."""
     values = rows.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches):
-        for batch in batches:
-            found = look_up(batch.column(1), *values.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], [key, output])
+        for whole in batches:
+            for batch in pieces(whole):
+                found = look_up(batch.column(1), *values.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), found], [key, output])
 
     schema = T.StructType([rows.schema[key], *T.StructType.fromDDL(f"{output} {kind}").fields])
     return rows.select(key, lists).mapInArrow(run, schema)

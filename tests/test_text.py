@@ -156,3 +156,16 @@ def test_answers(spark):
 def test_neutral_filter_keeps_missing_ratings(spark):
     df = spark.createDataFrame([(3,), (None,), (5,)], "r int")
     assert sorted(r[0] or 0 for r in df.filter(labels.not_neutral(F.col("r"))).collect()) == [0, 5]
+
+
+def test_long_lists_are_looked_up_in_pieces():
+    import pyarrow as pa
+
+    from opinarium.functions.dictionary import pieces
+
+    lists = [["a"] * n for n in (3, 0, 9, 2, 2, 0, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], ["key", "words"])
+    cut = list(pieces(batch, 4))
+    assert [part.column(0).to_pylist() for part in cut] == [[0, 1], [2], [3, 4, 5], [6, 7]]
+    assert pa.Table.from_batches(cut).column(1).to_pylist() == lists
+    assert list(pieces(batch.slice(0, 0))) == []
