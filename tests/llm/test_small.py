@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,34 @@ def test_quality(spark):
     assert {(r.score, r.predicted) for r in quality.score(docs, None).collect()} == {(0.5, 1)}
 
 
+def test_quality_learns_from_every_label(spark):
+    """Weights of all pairs and the cut of all scores, not those of drawn ones."""
+    pick = np.random.default_rng(5)
+    texts = [(i, "".join(pick.choice(list("ab. #"), 12))) for i in range(700)]
+    labelled = [(i, int(i % 5 > 0)) for i, _ in texts if zlib.crc32(str(i).encode()) % 5]
+    docs, labels = frame(spark, texts), spark.createDataFrame(labelled, "doc_id long, quality int")
+    model = quality.fit(docs, labels, group=10_000)
+    rows = quality.features(pa.array([dict(texts)[i] for i, _ in labelled]))
+    good = np.array([q for _, q in labelled]) == 1
+    assert model.center == pytest.approx(rows.mean(axis=0))
+    scaled = (rows - model.center) / model.spread
+    rare, other = scaled[~good], scaled[good]
+    # Of one group per part: each of the rarer class meets every other document once.
+    pairs = [(i, j) for i in range(len(other)) for j in range(len(rare))]
+    want = quality.ranking_weights(other[[i for i, _ in pairs]], rare[[j for _, j in pairs]])
+    assert model.weights == pytest.approx(want, abs=1e-6)
+    scores = scaled @ model.weights
+    assert model.cut == pytest.approx(quality.quantile_cut(scores, np.ones(len(scores)), (~good).mean()), abs=1e-9)
+    assert quality.fit(docs, labels, group=8).weights == pytest.approx(want, abs=0.3)
+
+
+def test_cut_of_a_table(spark):
+    values = np.concatenate((np.random.default_rng(2).normal(size=400), np.full(50, 0.25), [1e9]))
+    table = spark.createDataFrame([(float(v),) for v in values], "score double")
+    for below in (1, 5, 200, 260, 449, 450):
+        assert quality.cut_at(table, below) == pytest.approx(np.sort(values)[below - 1 : below + 1].mean(), rel=1e-12)
+
+
 def test_ranking_weights_gradient():
     pick = np.random.default_rng(0)
     better, worse = pick.normal(size=(500, 4)) + 0.3, pick.normal(size=(500, 4))
