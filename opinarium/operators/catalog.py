@@ -10,6 +10,8 @@ from opinarium.schemas import CATALOG, CATALOG_ATTRIBUTES
 from opinarium.session import materialize
 
 _TOTALS = -1
+# A product of more reviews than this, and than this part of all, is too much for one task.
+CROWDED, _CROWDED_PART = 1 << 18, 1000
 
 
 def _cell(attribute: int, value: Column, hits: Column, base: Column) -> Column:
@@ -28,8 +30,9 @@ def build_catalog(
 
     Counting goes by (product, attribute, value) before one row per product is
     formed, so a product holding a third of the reviews spreads over many tasks
-    and no task holds all values of it. Ties take the smallest value; a product
-    without any value gets a blank.
+    and no task holds all values of it. Reviews that are partitioned by product already
+    are not shuffled again; leave :func:`crowded_products` out of such. Ties take the
+    smallest value; a product without any value gets a blank.
     """
     share = scorer(reviews)
     none = F.lit(None).cast("long")
@@ -59,6 +62,17 @@ def build_catalog(
     return cut_catalog(catalog_columns(products), limit=limit)
 
 
+def crowded_products(reviews: DataFrame, least: int = CROWDED) -> tuple[list[str], int]:
+    """Products whose reviews are too many for one task, by a sketch of frequent ids that
+    misses none of a thousandth of all rows, and the number of reviews; one pass, and one
+    sketch a task travels."""
+    top = f"approx_top_k(product_id, {_CROWDED_PART}, {20 * _CROWDED_PART})"
+    named = reviews.filter(F.col("product_id").isNotNull())
+    row = named.agg(F.expr(top).alias("top"), F.count(F.lit(1)).alias("n")).first()
+    most = max(least, row["n"] // _CROWDED_PART)
+    return sorted(item["item"] for item in row["top"] if item["count"] > most), row["n"]
+
+
 def cut_catalog(catalog: DataFrame, min_reviews: int = 1, limit: int | None = None) -> DataFrame:
     """The products of enough reviews, the first ``limit`` of them in catalog order."""
     if min_reviews > 1:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +13,15 @@ from opinarium.operators.exploration import category_ratings
 from opinarium.session import materialize
 
 
-def graded_products(reviews: DataFrame, min_reviews: int = 5) -> DataFrame:
-    """Relevance of every product in every category it was reviewed under.
+def graded_products(reviews: DataFrame | Sequence[DataFrame], min_reviews: int = 5) -> DataFrame:
+    """Relevance of every product in every category it was reviewed under; several tables
+    hold the reviews of different products.
 
     The ratings are read for the bounds of each category and for each use in an
     evaluation, so they are written once."""
-    return metrics.add_relevance(materialize(category_ratings(reviews, min_reviews), "ratings"))
+    tables = [reviews] if isinstance(reviews, DataFrame) else reviews
+    rated = reduce(DataFrame.unionByName, [category_ratings(table, min_reviews) for table in tables])
+    return metrics.add_relevance(materialize(rated, "ratings"))
 
 
 def evaluate(recommendations: DataFrame, graded: DataFrame, queries: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from opinarium.functions.scorers import Share, label_scorer, rating_scorer
 from opinarium.operators import browse, catalog, exploration, sentiment
+from opinarium.plans import evaluation
 from tests.conftest import REVIEW_SCHEMA
+from workload import views
 
 
 def by_id(df, *columns):
@@ -124,3 +126,41 @@ def test_review_page_projection(spark):
     assert (shown.reviewer_id, shown.review_title, shown.reviewer_birth_year) == ("abcdefgh...", "", 1980)
     assert (shown.submission_date, shown.sentiment_label, shown.sentiment_confidence) == ("2018-01-01", "negative", 0.75)
     assert browse.review_page(df.drop("pred_label", "pred_prob")).first().sentiment_label is None
+
+
+def test_crowded_products(spark):
+    ids = [("hot",)] * 40 + [(f"p{i}",) for i in range(30)] + [(None,)] * 50
+    rows = spark.createDataFrame(ids, "product_id string")
+    assert catalog.crowded_products(rows, 10) == (["hot"], 70)
+    assert catalog.crowded_products(rows, 40) == ([], 70)
+    assert catalog.crowded_products(rows.limit(0)) == ([], 0)
+
+
+def test_catalog_of_dealt_lines(spark, tmp_path, monkeypatch):
+    """Lines dealt by product give the catalog and the grades of spread ones, with one shuffle."""
+    lines = [(i, 7 if i % 3 == 0 else i % 20, i % 4, i % 7 + 1, float(i % 50 + 1), i % 10 / 10, "ANR"[i % 3], "OF"[i % 2]) for i in range(600)]
+    lines += [(900 + i, None, 1, 1, 5.0, 0.5, "A", "O") for i in range(5)]
+    types = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
+    dates = F.lit("1995-01-01").cast("timestamp").alias("l_shipdate"), F.lit(1.0).alias("l_extendedprice")
+    made = {
+        "lineitem": spark.createDataFrame(lines, types).select("*", *dates),
+        "part": spark.createDataFrame([(i, f"part {i % 6}", f"type {i % 3}", i % 5) for i in range(15)], "p_partkey long, p_name string, p_type string, p_size int"),
+        "supplier": spark.createDataFrame([(i, f"maker {i}") for i in range(4)], "s_suppkey long, s_name string"),
+    }
+    for name, table in made.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(views, "TASK_LINES", 100)
+    folder, scorer = str(tmp_path), label_scorer()
+    whole = catalog.build_catalog(views.reviews(spark, folder), scorer)
+    one, many = views.by_product(spark, folder), views.by_product(spark, folder, least=100)
+    assert len(one) == 1 and len(many) == 2
+    expected = sorted(map(tuple, whole.collect()))
+    assert len(expected) == 15
+    for tables in (one, many):
+        found = [tuple(r) for rows in tables for r in catalog.build_catalog(rows, scorer).collect()]
+        assert sorted(found) == expected
+    assert sorted(map(tuple, views.catalog(spark, folder).collect())) == expected
+    plan = catalog.build_catalog(one[0], scorer)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Exchange ") == plan.count("- Exchange hashpartitioning(product_id") == 1
+    plain = sorted(map(tuple, evaluation.graded_products(views.reviews(spark, folder, brands=False), 5).collect()))
+    assert sorted(map(tuple, evaluation.graded_products(many, 5).collect())) == plain

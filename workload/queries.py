@@ -615,7 +615,7 @@ def resume_pending(spark, d):
 
 
 def _graded(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.graded_products(views.reviews(spark, d, brands=False), MIN_REVIEWS)
+    return evaluation.graded_products(views.by_product(spark, d, brands=False), MIN_REVIEWS)
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:

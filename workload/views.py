@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinarium.functions import labels
 from opinarium.functions.scorers import label_scorer
-from opinarium.operators.catalog import build_catalog
+from opinarium.operators.catalog import CROWDED, build_catalog, crowded_products
 from opinarium.session import broadcast_if_small, materialize
 
+# Lines of a task where they are dealt by product; its sums then fit in memory.
+TASK_LINES = 250_000
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -26,18 +31,41 @@ def reviews(spark: SparkSession, folder: str, names: bool = True, brands: bool =
     last: where lines are shuffled for them, the lines of a product then lie in one task, so
     that sums per product are nearly whole before the next shuffle.
     """
-    lines = table(spark, folder, "lineitem")
+    return _as_reviews(_lines(spark, folder), spark, folder, names, brands)
+
+
+def by_product(spark: SparkSession, folder: str, brands: bool = True, least: int = CROWDED) -> list[DataFrame]:
+    """The reviews in one or two tables of different products: those of ordinary products, whose
+    lines are dealt by product before parts and suppliers widen them, so that nothing per
+    product is shuffled again, and those of crowded products, whose lines stay spread."""
+    lines = _lines(spark, folder)
+    crowded, number = crowded_products(lines, least)
+    ordinary = lines.filter(~F.col("product_id").isin(crowded)) if crowded else lines
+    tables = [ordinary.repartition(-(-number // TASK_LINES) or 1, "product_id")]
+    if crowded:
+        tables.append(lines.filter(F.col("product_id").isin(crowded)))
+    return [_as_reviews(lines, spark, folder, True, brands, dealt=True) for lines in tables]
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "lineitem").withColumn("product_id", text("l_partkey"))
+
+
+def _as_reviews(lines: DataFrame, spark: SparkSession, folder: str, names: bool, brands: bool, dealt: bool = False) -> DataFrame:
     if brands:
         suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name")
         lines = lines.join(broadcast_if_small(suppliers, F.col("s_name")), F.col("l_suppkey") == F.col("s_suppkey"))
     if names:
-        lines = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        parts = table(spark, folder, "part").withColumn("_part", text("p_partkey"))
+        # Lines dealt by the text of a key meet the parts by it, and stay where they are.
+        same = F.col("product_id") == F.col("_part") if dealt else F.col("l_partkey") == F.col("p_partkey")
+        lines = lines.join(parts, same)
     rating = F.when(F.col("l_linenumber") != 7, F.floor((F.col("l_quantity") - 1) / 10).cast("int") + 1)
     probability = F.round(F.col("l_discount") * 10, 4)
     columns = {
         "review_id": F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey")),
         "reviewer_id": F.md5(text("l_orderkey")),
-        "product_id": text("l_partkey"),
+        "product_id": F.col("product_id"),
         "overall_rating": rating,
         "polarity": labels.polarity(rating),
         "recommend_to_a_friend": F.when(F.col("l_linestatus") == "O", "Yes").otherwise("No"),
@@ -94,7 +122,8 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, folder: str, min_reviews: int = 1) -> DataFrame:
-    return build_catalog(reviews(spark, folder), label_scorer(), min_reviews)
+    parts = [build_catalog(rows, label_scorer(), min_reviews) for rows in by_product(spark, folder)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
