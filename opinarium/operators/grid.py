@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 # Non-zero values multiplied at once, and features of one range of a gradient.
 _BLOCK, _RANGE = 1 << 15, 4096
 _HISTORY = 10
+# Values a row holds on average from which rows are taken one by one.
+_LONG = 16
 
 
 @dataclass(frozen=True)
@@ -116,6 +118,10 @@ def _rows(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, ...]]:
 def _margins(edges: np.ndarray, place: np.ndarray, number: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Rows x models products with the coefficient columns, intercepts added."""
     out = np.tile(points[-1], (len(edges) - 1, 1))
+    if len(place) >= _LONG * len(out):
+        for row, (start, end) in enumerate(zip(edges[:-1], edges[1:])):
+            out[row] += number[start:end] @ points[place[start:end]]
+        return out
     full = np.flatnonzero(edges[:-1] < edges[1:])
     if len(full):
         values = points[place]
@@ -128,6 +134,23 @@ def _mask(fold: np.ndarray, left_out: np.ndarray) -> np.ndarray:
     return (fold[:, None] != left_out[None, :]).astype(float)
 
 
+def _add_gradient(out: np.ndarray, edges: np.ndarray, place: np.ndarray, number: np.ndarray, rest: np.ndarray) -> None:
+    """Adds value times residual of every value to the row of its feature."""
+    back = np.flatnonzero(np.diff(place) <= 0) + 1
+    if len(place) >= _LONG * len(rest) and np.isin(back, edges).all():
+        # Features ascend in each row, so none is met twice in one sum.
+        for row, (start, end) in enumerate(zip(edges[:-1], edges[1:])):
+            out[place[start:end]] += number[start:end, None] * rest[row]
+        return
+    order = np.argsort(place, kind="stable")
+    sorted_place = place[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_place[1:] != sorted_place[:-1])))
+    spread = np.repeat(np.arange(len(rest)), np.diff(edges))[order]
+    values = rest[spread]
+    values *= number[order][:, None]
+    out[sorted_place[first]] += np.add.reduceat(values, first, axis=0)
+
+
 def _part(batches, points: np.ndarray, left_out: np.ndarray) -> np.ndarray:
     """Rows of the task's sums: gradient per feature, of the intercept, the loss, the weight."""
     size = len(points) - 1
@@ -138,13 +161,7 @@ def _part(batches, points: np.ndarray, left_out: np.ndarray) -> np.ndarray:
             own = weight[:, None] * _mask(fold, left_out)
             rest = own * (1 / (1 + np.exp(-np.clip(margin, -700, 700))) - label[:, None])
             if len(place):
-                order = np.argsort(place, kind="stable")
-                sorted_place = place[order]
-                first = np.flatnonzero(np.concatenate(([True], sorted_place[1:] != sorted_place[:-1])))
-                spread = np.repeat(np.arange(len(label)), np.diff(edges))[order]
-                values = rest[spread]
-                values *= number[order][:, None]
-                out[sorted_place[first]] += np.add.reduceat(values, first, axis=0)
+                _add_gradient(out, edges, place, number, rest)
             out[size] += rest.sum(axis=0)
             signed = np.where(label[:, None] > 0.5, -margin, margin)
             out[size + 1] += (own * np.logaddexp(0, signed)).sum(axis=0)

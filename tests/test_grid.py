@@ -70,3 +70,22 @@ def test_search(table):
     found = training.grid_search(table, (0.01, 1.0), 200)
     assert set(found.scores) == {0.01, 1.0} and found.best_f1 == max(found.scores.values())
     assert found.passes < 60 and math.isfinite(found.model.intercept)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+@pytest.mark.parametrize("width", [0, 3, 40])
+def test_sums_of_a_block(width, twice):
+    """Long rows, short ones, and rows that hold a feature twice give the plain sums."""
+    draw = np.random.default_rng(width)
+    size, models, rows = 60, 3, 7
+    widths = [width, 0, width, width, 2, width, width]
+    edges = np.concatenate(([0], np.cumsum(widths)))
+    place = np.concatenate([np.sort(draw.choice(size, n, replace=False)) for n in widths]).astype(np.int64)
+    if twice and width:
+        place[1] = place[0]
+    number, points, rest = draw.random(edges[-1]), draw.random((size + 1, models)), draw.random((rows, models))
+    table, gradient = np.zeros((rows, size)), np.zeros((size + 3, models))
+    np.add.at(table, (np.repeat(np.arange(rows), widths), place), number)
+    assert np.allclose(grid._margins(edges, place, number, points), table @ points[:-1] + points[-1])
+    grid._add_gradient(gradient, edges, place, number, rest)
+    assert np.allclose(gradient[:size], table.T @ rest) and not gradient[size:].any()
