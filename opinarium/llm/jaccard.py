@@ -18,14 +18,14 @@ A block of ``BLOCK_BITS`` bits is kept as a 64-bit code of its set bits.
 All keys go through one exchange on the key; those that one class alone has, most of
 them, fall away there.
 
-Equal sets are one class. In each block group every class is verified against one leader,
-the member with the fewest shingles of its own; verified classes belong to their leader's
-cluster, and own shingles alone rule most other pairs out. Clusters that meet in a block group and are
-not connected yet compare their leaders, and only members whose measured distances
-to one of the leaders leave room for a link are compared. So no component is split.
-Links inside a component are not all verified, and none are returned or counted. Many texts
-from one template whose variable parts are shared by others, near each other but not
-linked, own no shingle and are all leaders: these are compared pair by pair.
+Equal sets are one class. In each block group every class meets one leader, the member with
+the fewest shingles of its own, and is measured against the best of its leaders, its pivot; linked
+classes belong to the pivot's cluster. Classes of one pivot link only if they differ from it
+in some of the same shingles, so those not connected yet meet in the rarest of these.
+Clusters of different pivots that meet in a block group and are not connected compare their
+leaders, and members that the distances to a leader leave room for meet in the same way. So no
+component is split. Links inside a component are not all verified, and none are returned or
+counted. Leaders of different pivots, near each other but not linked, are compared pair by pair.
 
 Defined cases. Null and empty texts have no shingles, size 0 and link with
 nothing; texts with fewer words than a shingle are one shingle. Repeated rows
@@ -370,19 +370,26 @@ def links(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tupl
     to_leader = blocks.filter(_similar_size(rule, "n", "leader_n") & (F.struct("leader_slack", "leader") > F.struct("slack", "node")))
     to_leader = to_leader.groupBy("node", "n").agg(F.max(F.struct("leader_slack", "leader", "leader_n")).alias("lead"))
     to_leader = to_leader.select(F.col("lead.leader").alias("a"), F.col("node").alias("b"), F.col("lead.leader_n").alias("na"), F.col("n").alias("nb"))
-    verified = materialize(_distance(to_leader, sets).filter(_linked(rule)), "verified")
+    limit = 3 * (100 - rule.percent) / 100 + 1e-9
+    near = materialize(_distance(to_leader, sets).filter(_jaccard_distance() <= limit), "near-leaders")
+    verified = near.filter(_linked(rule))
     roots = components(verified.select("a", "b"), "roots")
 
-    # Clusters meeting in a block group without being connected.
-    home = verified.select(F.col("b").alias("node"), F.col("a").alias("center"), F.col("na").alias("center_n"), "d")
+    # A leader of others is a pivot and the center of its cluster, the classes linked to it. Classes
+    # near it that are not linked to it have it as pivot too, but are centers of their own.
+    pivots = near.select(F.col("a").alias("b")).distinct()
+    home = near.join(pivots, "b", "left_anti").select(
+        F.col("b").alias("node"), F.col("a").alias("pivot"), "d", F.when(_linked(rule), F.struct(F.col("a").alias("node"), F.col("na").alias("n"))).alias("center")
+    )
     placed = (
         blocks.select("key", "node", "n", "need", "own", "slack")
         .join(home, "node", "left")
         .join(roots, "node", "left")
         .select(
             "key", "node", "n", "need", "own", "slack",
-            F.coalesce("center", "node").alias("center"),
-            F.coalesce("center_n", "n").alias("center_n"),
+            F.coalesce("center.node", "node").alias("center"),
+            F.coalesce("center.n", "n").alias("center_n"),
+            F.coalesce("pivot", "node").alias("pivot"),
             F.coalesce("d", F.lit(0)).alias("d"),
             F.coalesce("root", "node").alias("root"),
         )
@@ -390,29 +397,79 @@ def links(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tupl
     placed = materialize(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("key")
     placed = materialize(placed.join(open_keys, "key", "left_semi"), "open-blocks")
-    met = placed.groupBy("key", "center", "center_n", "root").agg(F.max("slack").alias("slack"), F.min("need").alias("need"))
-    other = met.select("key", F.col("need").alias("_need"), F.col("center").alias("b"), F.col("center_n").alias("nb"), F.col("root").alias("_root"), F.col("slack").alias("_slack"))
-    limit = (100 - rule.percent) / 100
-    centers = met.join(other, "key").filter("center < b and root <> _root and slack + _slack >= 0")
-    centers = centers.filter(1.0 - F.least("center_n", "nb") / F.greatest("center_n", "nb") <= 3 * limit + 1e-9)
+    members = materialize(placed.select("center", "pivot", "node", "n", "own", "d", "root").distinct(), "members")
+    inside = _inside_groups(members, sets, rule)
+
+    # Clusters of different pivots that meet in a block group without being connected.
+    met = placed.groupBy("key", "center", "center_n", "pivot", "root").agg(F.max("slack").alias("slack"), F.min("need").alias("need"))
+    other = met.select(
+        "key", F.col("need").alias("_need"), F.col("center").alias("b"), F.col("center_n").alias("nb"), F.col("pivot").alias("_pivot"), F.col("root").alias("_root"), F.col("slack").alias("_slack")
+    )
+    centers = met.join(other, "key").filter("center < b and pivot <> _pivot and root <> _root and slack + _slack >= 0")
+    centers = centers.filter(1.0 - F.least("center_n", "nb") / F.greatest("center_n", "nb") <= limit)
     centers = centers.select("key", F.col("center").alias("a"), "b", F.col("center_n").alias("na"), "nb", F.greatest("need", "_need").alias("need"))
     centers = _often_enough(centers, "a", "b", "na", "nb")
-    measured = _distance(centers, sets).withColumn("dist", _jaccard_distance())
-    measured = materialize(measured.filter(F.col("dist") <= 3 * limit + 1e-9), "centers")
-    joined = measured.filter(_linked(rule)).select("a", "b").unionByName(verified.select("a", "b"))
+    measured = materialize(_distance(centers, sets).filter(_jaccard_distance() <= limit), "centers")
+    joined = measured.filter(_linked(rule)).select("a", "b").unionByName(verified.select("a", "b")).unionByName(inside)
     joined = materialize(joined, "links")
-    members = materialize(placed.select("center", "node", "n", "own", "slack", "d").distinct(), "members")
-    return found, classes, joined.unionByName(_between_clusters(measured.filter(~_linked(rule)), placed, members, joined, sets, rule))
+    return found, classes, joined.unionByName(_between_clusters(measured.filter(~_linked(rule)), members, joined, sets, rule))
+
+
+def _inside_groups(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links between classes of one pivot, of which one at least is not linked to the pivot."""
+    apart = members.filter("node = center and node <> pivot")
+    linked = members.filter("node <> center").join(apart.select("pivot").distinct(), "pivot", "left_semi")
+    apart, linked = (_differences(side, sets) for side in (apart, linked))
+    pairs = _overlapping(linked, apart, rule).unionByName(_overlapping(apart, apart, rule))
+    return _distance(pairs, sets).filter(_linked(rule)).select("a", "b")
 
 
-def _between_clusters(grey: DataFrame, placed: DataFrame, members: DataFrame, joined: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _differences(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored ``entries`` ``(pivot, node, n, d, root)`` with ``diff``, the ``d`` shingles in which node and pivot differ."""
+    entries = materialize(entries.select("pivot", "node", "n", "d", "root"), "differing")
+    own = prefilter(sets.withColumnRenamed("set", "_own"), entries, "node")
+    pivot = prefilter(sets.select(F.col("node").alias("pivot"), F.col("set").alias("_pivot")), entries, "pivot")
+    diff = F.concat(F.array_except("_own", "_pivot"), F.array_except("_pivot", "_own"))
+    return materialize(entries.join(own, "node").join(pivot, "pivot").select("pivot", "node", "n", "d", "root", diff.alias("diff")), "differences")
+
+
+def _overlapping(ones: DataFrame, twos: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs ``(a, b, na, nb)`` of one pivot, from ``ones`` and ``twos``, that may link; all that do are among them.
+
+    ``d(x, y) = dx + dy - 2 * (shingles in both differences)``, so x and y link only if their
+    differences share ``(excess(x) + excess(y)) / (2 * (100 + percent))`` shingles, with
+    ``excess = (100 + percent) * d - (100 - percent) * n``: one at least, where not both are linked
+    to the pivot. With the least excess of the other side that is a number for x alone, and of
+    the differences that the other side has too x needs only the rarest: all but that number less one.
+    """
+    both = 2 * (100 + rule.percent)
+    excess = (100 + rule.percent) * F.col("d") - (100 - rule.percent) * F.col("n")
+    cells = [side.select("pivot", "node", "n", "root", excess.alias("excess"), F.explode("diff").alias("shingle")) for side in (ones, twos)]
+    owners = [side.groupBy("pivot", "shingle").agg(F.count("*").alias(name)) for side, name in zip(cells, ("_ones", "_twos"))]
+    crowd = owners[0].join(owners[1], ["pivot", "shingle"]).select("pivot", "shingle", (F.col("_ones") + F.col("_twos")).alias("crowd"))
+    # Of one table alone, a shingle of one class is counted twice.
+    crowd = materialize(crowd.filter("crowd > 2") if ones is twos else crowd, "crowds")
+
+    def rarest(side: DataFrame, other: DataFrame) -> DataFrame:
+        least = other.groupBy("pivot").agg(F.min(excess).alias("_least"))
+        own = Window.partitionBy("pivot", "node")
+        shared = side.join(crowd, ["pivot", "shingle"]).withColumns({"common": F.count("*").over(own), "_place": F.row_number().over(own.orderBy("crowd", "shingle"))})
+        needed = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("_least")) / both))
+        return shared.join(least, "pivot").filter(F.col("_place") <= F.col("common") - needed + 1).select("pivot", "shingle", "node", "n", "root", "excess", "common")
+
+    left, right = rarest(cells[0], twos), rarest(cells[1], ones)
+    right = right.select("pivot", "shingle", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "root", "excess", "common")])
+    room = (both * F.least("common", "_common") >= F.col("excess") + F.col("_excess")) & (F.col("root") != F.col("_root")) & _similar_size(rule, "n", "_n")
+    met = left.join(right, ["pivot", "shingle"]).filter(room & (F.col("node") < F.col("_node")) if ones is twos else room)
+    return met.select(F.col("node").alias("a"), F.col("_node").alias("b"), F.col("n").alias("na"), F.col("_n").alias("nb")).distinct()
+
+
+def _between_clusters(grey: DataFrame, members: DataFrame, joined: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links between members of clusters whose leaders are near but not linked.
 
     Members ``y`` of the smaller cluster are measured against the leader ``a`` of
-    the larger one. For members ``x`` of the larger one the difference sets to
-    ``a`` meet in none of the own shingles, so
-    ``d(x, y) >= d(x, a) + d(y, a) - 2 * min(d(x, a) - own(x), d(y, a) - own(y))``;
-    only pairs of a common block group that pass this are verified.
+    the larger one. Members ``x`` of the larger one meet those that are not linked to ``a``
+    in the shingles in which both differ from it.
     """
     sizes = members.groupBy("center").agg(
         F.count("*").alias("members"),
@@ -425,25 +482,19 @@ def _between_clusters(grey: DataFrame, placed: DataFrame, members: DataFrame, jo
     turned = pairs.select(
         *[F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("b", "a"), ("a", "b"), ("nb", "na"), ("na", "nb"))], "d"
     )
-    near = turned.join(members.select(F.col("center").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("own").alias("own_y")), "b")
+    near = turned.join(members.select(F.col("center").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny")), "b")
     others = near.filter("y <> b").select("a", F.col("y").alias("b"), "na", F.col("ny").alias("nb")).distinct()
     measured = materialize(_distance(others, sets), "members-to-leaders")
     roots = components(joined.unionByName(measured.filter(_linked(rule)).select("a", "b")), "roots")
     # Larger clusters that have members beside their leader, and what those can give at most.
-    to_leader = turned.select("a", "b", "na", "nb", "d").unionByName(measured).join(sided("a"), "a")
+    to_leader = turned.select("a", "b", "na", "nb", "d").unionByName(measured.filter(~_linked(rule))).join(sided("a"), "a")
     possible = (100 + rule.percent) * (F.col("d") - F.col("_a.give")) <= (100 - rule.percent) * (F.col("nb") + F.col("_a.most_n"))
-    rest = materialize(to_leader.filter(possible).select("a", F.col("b").alias("y"), F.col("d").alias("dy")).distinct(), "rest")
-    rooted = placed.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("root", F.coalesce("_root", "node"))
-    ys = rooted.select("key", F.col("need").alias("need_y"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"), F.col("root").alias("ry"))
-    xs = rooted.filter("node <> center").select(
-        "key", F.col("need").alias("need_x"), F.col("center").alias("a"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("d").alias("dx"), F.col("root").alias("rx")
-    )
-    least = F.greatest(F.col("ox") + F.col("oy"), F.col("dx") + F.col("dy") - 2 * F.least(F.col("dx") - F.col("ox"), F.col("dy") - F.col("oy")))
-    room = (100 + rule.percent) * least <= (100 - rule.percent) * (F.col("nx") + F.col("ny"))
-    met = rest.join(ys, "y").join(xs, ["key", "a"]).filter(room & (F.col("rx") != F.col("ry"))).filter(_similar_size(rule, "nx", "ny"))
-    met = met.select("key", F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.greatest("need_x", "need_y").alias("need"))
-    checked = _distance(_often_enough(met, "a", "b", "na", "nb"), sets)
-    return checked.filter(_linked(rule)).select("a", "b").unionByName(measured.filter(_linked(rule)).select("a", "b"))
+    rest = to_leader.filter(possible).select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("nb").alias("n"), "d").distinct()
+    rooted = lambda side: side.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _differences(rooted(rest), sets)
+    clusters = members.filter("node <> center").drop("root").join(rest.select("pivot").distinct(), "pivot", "left_semi")
+    pairs = _overlapping(_differences(rooted(clusters), sets), rest, rule)
+    return _distance(pairs, sets).filter(_linked(rule)).select("a", "b").unionByName(measured.filter(_linked(rule)).select("a", "b"))
 
 
 def _rooted(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:

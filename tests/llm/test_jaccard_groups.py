@@ -60,3 +60,58 @@ def test_representatives_exchange_no_texts_of_single_rows(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "LeftSemi" in plan
     assert sum(r.doc_id is None for r in kept.collect()) == 1
+
+
+def near_copies(seed, number=120):
+    """One template, and pairs of texts that share up to five changes to it and no others."""
+    pick, base = random.Random(seed), prose(500 + seed, 150)
+    rows = [(0, " ".join(base))]
+    for i in range(number):
+        words, places = list(base), pick.sample(range(150), pick.randint(4, 7))
+        for at in places[2:]:
+            words[at] = f"new{i}at{at}"
+        # Shorter than the template, which therefore leads.
+        words[places[0]] = ""
+        rows.append((2 * i + 1, " ".join(words)))
+        words[places[1]] = f"own{i}"
+        rows.append((2 * i + 2, " ".join(words)))
+    return rows
+
+
+def test_near_copies_of_one_text_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rule, seen, distance = jaccard.Rule(5, 80), [], jaccard._distance
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return distance(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "_distance", counted)
+    rows = near_copies(1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in jaccard.linked_components(docs, rule).collect()}
+    assert got == brute_components(rows, rule)
+    assert len({root for _, _, root in got}) > 10
+    assert sum(seen) <= 10 * len(rows), seen
+
+
+def test_classes_of_one_pivot_meet_in_what_they_share_beside_it(spark):
+    rule, pick = jaccard.Rule(5, 80), random.Random(3)
+    pivot = set(range(90))
+    sets = {0: pivot}
+    for i in range(1, 120):
+        gone = set(pick.sample(range(40), pick.randint(1, 14)))
+        sets[i] = pivot - gone | {100 + x for x in pick.sample(range(40), pick.randint(0, 14))}
+    apart = lambda x, y: len(sets[x] ^ sets[y])
+    linked = lambda x, y: 180 * apart(x, y) <= 20 * (len(sets[x]) + len(sets[y]))
+    rows = [(0, i, len(s), apart(0, i), i, sorted(s ^ pivot), linked(0, i)) for i, s in sets.items() if s != pivot]
+    table = spark.createDataFrame(rows, "pivot long, node long, n long, d long, root long, diff array<long>, near boolean")
+    ones, twos = table.filter("near").drop("near"), table.filter("not near").drop("near")
+    links = set()
+    for left, right in ((ones, twos), (twos, twos)):
+        found = {tuple(sorted((r.a, r.b))) for r in jaccard._overlapping(left, right, rule).collect()}
+        x, y = ([r.node for r in side.collect()] for side in (left, right))
+        every = {tuple(sorted((a, b))) for a in x for b in y if a != b}
+        wanted = {pair for pair in every if linked(*pair)}
+        assert wanted <= found <= every
+        links |= wanted
+    assert links
