@@ -189,6 +189,12 @@ def _differing(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _unsent(made: DataFrame) -> DataFrame:
+    """``made``, neither it nor what it is joined with being broadcast: Spark takes the
+    size of what Python makes for that of the rows it was made from, 96 keys or 2 081 points each."""
+    return made.hint("merge")
+
+
 def links(found: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between the distinct values of ``found.fp``. Their components
     are those of all linked pairs, and every edge is a linked pair."""
@@ -196,14 +202,14 @@ def links(found: DataFrame) -> DataFrame:
     groups = materialize(groups.filter("n > 1"), "code-groups")
     alone = groups.filter(F.col("n") == 2).filter(_differing("a", "b") <= ERRORS).select("a", "b")
     larger = groups.filter("n > 2").select("key", "n")
-    members = materialize(prefilter(_entries(found), larger, "key").join(larger, "key"), "code-members")
+    members = materialize(_unsent(prefilter(_entries(found), larger, "key")).join(larger, "key"), "code-members")
     small = members.filter(F.col("n") <= CROWD)
     ones, others = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
     met = ones.join(others, (ones["key"] == others["key"]) & (F.col("a") < F.col("b")) & (_differing("a", "b") <= ERRORS)).select("a", "b")
     crowd = materialize(members.filter(F.col("n") > CROWD).select("fp").distinct(), "crowd")
     points = _ball(crowd)
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("point", "a")
-    reached = points.join(least, "point").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    reached = _unsent(points).join(least, "point").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return alone.unionByName(met).unionByName(reached).distinct()
 
 

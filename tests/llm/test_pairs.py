@@ -121,6 +121,25 @@ def test_crowded_fingerprints(spark, monkeypatch, crowd):
     assert {v: find(v) for v in values} == want
 
 
+def test_keys_and_points_are_not_broadcast(spark, monkeypatch):
+    """What Python makes of few fingerprints is far larger than Spark takes it to be."""
+    kept, plans = simhash.materialize, []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return df
+
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: kept(planned(df), name))
+    found = kept(spark.createDataFrame([(1 << a | 1 << b,) for a in range(20) for b in range(a)], "fp long"), "clouds")
+    planned(simhash.links(found))
+    assert len(plans) == 4 and any("MapInArrow" in line for line in plans[-1])
+    for lines in plans:
+        for at, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                inside = itertools.takewhile(lambda below: below.find("- ") > line.find("- "), lines[at + 1 :])
+                assert not any("MapInArrow" in below for below in inside)
+
+
 def test_fingerprints_keep_columns(spark):
     rows = spark.createDataFrame([("x", 1, "y")], "fingerprint string, texts int, text string")
     out = simhash.fingerprints(rows).collect()[0].asDict()
