@@ -86,6 +86,66 @@ def replace(rows: DataFrame, key: str, words: str, table: pa.Table, word: str, v
     return _map(rows, key, words, output, "array<string>", (_column(table, word), _column(table, value)), look_up)
 
 
+def count_ngrams(rows: DataFrame, key: str, tokens: str, low: int, high: int, output: str) -> DataFrame:
+    """``(key, output)`` with the sorted ``array<struct<term, tf>>`` of the n-grams of
+    ``low`` to ``high`` (at most 2) tokens, joined by a blank, counted inside the row.
+
+    Tokens hold no sign below a letter or digit, so the order of (first, second) is that
+    of the joined texts and only distinct tokens are sorted as texts."""
+
+    def count(lists):
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        words, place = coded.dictionary.take(pa.array(order)), np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        at, base = place[coded.indices.to_numpy()], len(order) + 1
+        row = np.repeat(np.arange(len(lists)), np.diff(_offsets(lists)))
+        found = []
+        if low == 1:
+            found.append((row * base + at) * base)
+        if high == 2:
+            pair = np.flatnonzero(row[1:] == row[:-1])
+            found.append((row[pair] * base + at[pair]) * base + at[pair + 1] + 1)
+        codes, counts = np.unique(np.concatenate(found), return_counts=True)
+        first, second = codes // base % base, codes % base - 1
+        heads, tails = words.take(pa.array(first)), words.take(pa.array(second, mask=second < 0))
+        terms = pc.binary_join_element_wise(heads, tails, pa.scalar(" ", words.type), null_handling="skip")
+        cells = pa.StructArray.from_arrays([terms, pa.array(counts, pa.int64())], ["term", "tf"])
+        ends = np.concatenate(([0], np.cumsum(np.bincount(codes // base // base, minlength=len(lists)))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+
+    if not 1 <= low <= high <= 2:
+        raise ValueError(f"n-gram range must satisfy 1 <= low <= high <= 2, got ({low}, {high})")
+    return _map(rows, key, tokens, output, "array<struct<term: string, tf: bigint>>", (), count)
+
+
+def partial_counts(rows: DataFrame, terms: str) -> DataFrame:
+    """``(term, df, tf)`` summed over runs of rows with ``(term, tf)`` pairs; a null term has
+    the number of rows as ``df``. Sums by term are left to the caller."""
+
+    def run(batches):
+        for whole in batches:
+            yield _counts(None, [len(whole)], [0])
+            for batch in pieces(pa.RecordBatch.from_arrays([whole.column(0), whole.column(0)], ["_", terms]), _SUMMED):
+                words, counts = batch.column(1).flatten().flatten()
+                sums = pa.table([words, counts], ["term", "tf"]).group_by("term").aggregate([("tf", "count"), ("tf", "sum")])
+                if len(sums):
+                    sums = sums.combine_chunks()
+                    yield _counts(_column(sums, "term"), _column(sums, "tf_count"), _column(sums, "tf_sum"))
+
+    return rows.select(terms).mapInArrow(run, "term string, df long, tf long")
+
+
+# Entries of term lists summed at once.
+_SUMMED = 1 << 20
+
+
+def _counts(terms: pa.Array | None, df, tf) -> pa.RecordBatch:
+    terms = pa.array([None], pa.string()) if terms is None else terms.cast(pa.string())
+    return pa.RecordBatch.from_arrays([terms, pa.array(df, pa.int64()), pa.array(tf, pa.int64())], ["term", "df", "tf"])
+
+
 def _raw_weights(lists: pa.Array, terms: pa.Array, idf: np.ndarray):
     """(row, place in the dictionary, raw weight, word) of all known terms of a batch."""
     words, counts = lists.flatten().flatten()
@@ -111,6 +171,20 @@ def unit_weights(rows: DataFrame, key: str, terms: str, vocabulary: pa.Table, ou
     return _map(rows, key, terms, output, "array<struct<term: string, weight: double>>", shared, weigh)
 
 
+def numbered_weights(rows: DataFrame, key: str, terms: str, vocabulary: pa.Table, output: str) -> DataFrame:
+    """``(key, output)`` with an ``array<struct<term_id, raw>>`` of the known terms of
+    ``(term, tf)`` pairs: their numbers and sublinear tf times idf."""
+
+    def weigh(lists, words, idf, numbers):
+        row, at, raw, _ = _raw_weights(lists, words, idf)
+        cells = pa.StructArray.from_arrays([pa.array(numbers[at], pa.int32()), pa.array(raw)], ["term_id", "raw"])
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(lists)))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+
+    shared = (_column(vocabulary, "term"), *(_column(vocabulary, c).to_numpy() for c in ("idf", "term_id")))
+    return _map(rows, key, terms, output, "array<struct<term_id: int, raw: double>>", shared, weigh)
+
+
 def linear_margins(rows: DataFrame, key: str, terms: str, model: pa.Table, output: str) -> DataFrame:
     """``(key, output)``: the sum of coefficient times unit weight over the known terms;
     0 without any."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium.functions import text
-from opinarium.functions.dictionary import load_if_small, one_per_key, replace, unit_weights
+from opinarium.functions.dictionary import count_ngrams, load_if_small, numbered_weights, one_per_key, partial_counts, replace, unit_weights
 from opinarium.functions.vectors import EncoderFactory, encode
 from opinarium.session import materialize
 
@@ -50,8 +50,8 @@ def document_terms(docs: DataFrame, key: str, column: str, mode: str = "both") -
     """``(key, terms)`` with the ``(term, tf)`` pairs of each document, counted
     inside its row."""
     low, high = text.NGRAM_MODES[mode]
-    terms = text.ngrams(text.analyzer_tokens(F.coalesce(F.col(column), F.lit(""))), low, high)
-    return docs.select(F.col(key), text.term_frequencies(terms).alias("terms"))
+    tokens = docs.select(F.col(key), text.analyzer_tokens(F.coalesce(F.col(column), F.lit(""))).alias("_tokens"))
+    return count_ngrams(tokens, key, "_tokens", low, high, "terms")
 
 
 def fit_vocabulary(terms: DataFrame, min_df: int = 2, max_features: int | None = MAX_FEATURES) -> DataFrame:
@@ -61,14 +61,12 @@ def fit_vocabulary(terms: DataFrame, min_df: int = 2, max_features: int | None =
     One pass over the documents and one shuffle, on the term, after a map-side
     sum; the number of documents comes out of the same sums as the count of a
     null term, and the counts are written. ``terms`` are the training documents
-    only. The outer form of ``inline`` is used throughout because the inner one
-    makes the optimizer add a filter that counts all terms twice.
+    only.
     """
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
     counts = (
-        terms.select(F.inline_outer(F.concat("terms", marker)))
+        partial_counts(terms, "terms")
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+        .agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
         .filter((F.col("df") >= min_df) | F.col("term").isNull())
     )
     counts = materialize(counts, "term-counts")
@@ -134,23 +132,24 @@ def _tfidf_by_join(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFra
 
 
 def sparse_rows(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """``(key, features)`` with the struct layout of an ML sparse vector, built
-    without Python. Documents without a known term get an empty vector.
+    """``(key, features)`` with the struct layout of an ML sparse vector. Documents
+    without a known term get an empty vector.
 
-    Per-document arrays are bounded by the vocabulary.
+    A vocabulary of small measured size goes to the documents, and only known
+    terms are exchanged; a larger one is joined. Per-document arrays are bounded by
+    the vocabulary.
     """
-    weights = (
-        terms.select(key, F.inline_outer("terms"))
-        .join(vocabulary.select("term", "idf", "term_id"), "term", "left")
-        .select(key, "term_id", raw_weight(F.col("tf"), F.col("idf")).alias("raw"))
-        .groupBy(key)
-        .agg(
-            F.sort_array(
-                F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("term_id", "raw")))
-            ).alias("cells"),
-            F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"),
+    table = load_if_small(vocabulary, "term", ["idf", "term_id"])
+    if table is None:
+        weights = _numbered_by_join(terms, vocabulary, key)
+    else:
+        cells = numbered_weights(terms, key, "terms", table, "cells")
+        square = F.aggregate("cells", F.lit(0.0), lambda sum_, cell: sum_ + cell.getField("raw") * cell.getField("raw"))
+        weights = (
+            cells.withColumn("square", square)
+            .groupBy(key)
+            .agg(F.sort_array(F.flatten(F.collect_list("cells"))).alias("cells"), F.sqrt(F.sum("square")).alias("length"))
         )
-    )
     size = vocabulary.select(F.count(F.lit(1))).scalar().cast("int")
     return weights.select(
         key,
@@ -163,6 +162,22 @@ def sparse_rows(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _numbered_by_join(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """``(key, cells, length)``: known terms in the order of their numbers and the length of their weights."""
+    return (
+        terms.select(key, F.inline_outer("terms"))
+        .join(vocabulary.select("term", "idf", "term_id"), "term", "left")
+        .select(key, "term_id", raw_weight(F.col("tf"), F.col("idf")).alias("raw"))
+        .groupBy(key)
+        .agg(
+            F.sort_array(
+                F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("term_id", "raw")))
+            ).alias("cells"),
+            F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"),
+        )
+    )
+
+
 def embed(rows: DataFrame, column: str, factory: EncoderFactory, batch_size: int = 32, output: str = "embedding") -> DataFrame:
     """Adds the unit vector of a text column under a user encoder."""
     return rows.withColumn(output, encode(F.col(column), factory, batch_size))

@@ -23,10 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Non-zero values multiplied at once, and features of one range of a gradient.
-_BLOCK, _RANGE = 1 << 15, 4096
+_BLOCK, _RANGE = 1 << 18, 4096
 _HISTORY = 10
-# Values a row holds on average from which rows are taken one by one.
-_LONG = 16
 
 
 @dataclass(frozen=True)
@@ -116,17 +114,17 @@ def _rows(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _margins(edges: np.ndarray, place: np.ndarray, number: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Rows x models products with the coefficient columns, intercepts added."""
+    """Rows x models products with the coefficient columns, intercepts added.
+
+    One model at a time: its column stays in the processor's cache (``points`` in column order)."""
     out = np.tile(points[-1], (len(edges) - 1, 1))
-    if len(place) >= _LONG * len(out):
-        for row, (start, end) in enumerate(zip(edges[:-1], edges[1:])):
-            out[row] += number[start:end] @ points[place[start:end]]
-        return out
     full = np.flatnonzero(edges[:-1] < edges[1:])
     if len(full):
-        values = points[place]
-        values *= number[:, None]
-        out[full] += np.add.reduceat(values, edges[:-1][full], axis=0)
+        place = place.astype(np.intp, copy=False)
+        for model in range(points.shape[1]):
+            values = points[:, model].take(place)
+            values *= number
+            out[full, model] += np.add.reduceat(values, edges[:-1][full])
     return out
 
 
@@ -135,26 +133,19 @@ def _mask(fold: np.ndarray, left_out: np.ndarray) -> np.ndarray:
 
 
 def _add_gradient(out: np.ndarray, edges: np.ndarray, place: np.ndarray, number: np.ndarray, rest: np.ndarray) -> None:
-    """Adds value times residual of every value to the row of its feature."""
-    back = np.flatnonzero(np.diff(place) <= 0) + 1
-    if len(place) >= _LONG * len(rest) and np.isin(back, edges).all():
-        # Features ascend in each row, so none is met twice in one sum.
-        for row, (start, end) in enumerate(zip(edges[:-1], edges[1:])):
-            out[place[start:end]] += number[start:end, None] * rest[row]
-        return
-    order = np.argsort(place, kind="stable")
-    sorted_place = place[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_place[1:] != sorted_place[:-1])))
-    spread = np.repeat(np.arange(len(rest)), np.diff(edges))[order]
-    values = rest[spread]
-    values *= number[order][:, None]
-    out[sorted_place[first]] += np.add.reduceat(values, first, axis=0)
+    """Adds value times residual of every value to the row of its feature, one model at a time."""
+    place, widths = place.astype(np.intp, copy=False), np.diff(edges)
+    for model in range(rest.shape[1]):
+        values = np.repeat(rest[:, model], widths)
+        values *= number
+        sums = np.bincount(place, values)
+        out[: len(sums), model] += sums
 
 
 def _part(batches, points: np.ndarray, left_out: np.ndarray) -> np.ndarray:
     """Rows of the task's sums: gradient per feature, of the intercept, the loss, the weight."""
     size = len(points) - 1
-    out = np.zeros((size + 3, points.shape[1]))
+    points, out = np.asfortranarray(points), np.zeros((size + 3, points.shape[1]), order="F")
     for batch in batches:
         for edges, place, number, label, weight, fold in _rows(batch, size):
             margin = _margins(edges, place, number, points)
@@ -228,6 +219,7 @@ def held_out_counts(table: DataFrame, problems: Sequence[Problem], points: np.nd
 
     def passed(batches):
         points, left_out = shared.value
+        points = np.asfortranarray(points)
         out = np.zeros((4, points.shape[1]), dtype=np.int64)
         for batch in batches:
             for edges, place, number, label, _, fold in _rows(batch, len(points) - 1):

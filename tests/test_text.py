@@ -134,6 +134,32 @@ def test_sparse_rows_keep_documents_without_terms(spark):
     assert got[1].indices == [0, 1] and got[1]["values"] == pytest.approx([math.sqrt(0.5)] * 2)
 
 
+ODD_TEXTS = ["aa bb aa  bb-aa", "ab a abc ab_c ab abc", "Żółw Żółw 𝒜𝒷𝒸 ١٢٣ éa e\u0301a", "", None, "x", "zz " * 700 + "aa"]
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 3])
+@pytest.mark.parametrize("mode", ["unigrams", "bigrams", "both"])
+def test_terms_counted_in_batches_equal_the_expression(spark, monkeypatch, mode, piece):
+    monkeypatch.setattr("opinarium.functions.dictionary.PIECE", piece)
+    df = spark.createDataFrame([(i % 5 or None, t) for i, t in enumerate(ODD_TEXTS)], "doc int, t string")
+    grams = text.ngrams(text.analyzer_tokens(F.coalesce("t", F.lit(""))), *text.NGRAM_MODES[mode])
+    want = df.select("doc", text.term_frequencies(grams).alias("terms"))
+    assert features.document_terms(df, "doc", "t", mode).collect() == want.collect()
+
+
+def test_sparse_rows_without_moving_all_terms(spark, monkeypatch):
+    """Rows of one key, null ones too, are one vector as in the join."""
+    df = spark.createDataFrame([(i % 3 or None, t) for i, t in enumerate(ODD_TEXTS * 2)], "doc int, t string").repartition(3)
+    terms = features.document_terms(df, "doc", "t", "both")
+    vocabulary = features.index_vocabulary(features.fit_vocabulary(terms, max_features=4))
+    found = features.sparse_rows(terms, vocabulary, "doc")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(features, "load_if_small", lambda *_: None)
+    rows = lambda out: {r.doc: (r.features.size, r.features.indices, [round(v, 12) for v in r.features["values"]]) for r in out.collect()}
+    assert rows(found) == rows(features.sparse_rows(terms, vocabulary, "doc"))
+    assert features.sparse_rows(terms, vocabulary, "doc").count() == found.count() == 3
+
+
 def test_lemmas_keep_order_and_drop_stop_words(spark):
     docs = spark.createDataFrame([(1, "Os carros são bons 2 carros"), (2, "os Os"), (3, None)], "doc int, t string")
     table = spark.createDataFrame([("carros", "carro"), ("são", "Ser"), ("bons", "bom")], "form string, lemma string")
